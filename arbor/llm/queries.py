@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arbor.llm import chat, packing, shard
+from arbor.llm import chat, decontaminate, packing, shard
 from arbor.llm.common import table
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(decontaminate.hit_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.read_back(chat.format_prefix_targets(conversations.unionByName(chat.control_conversation(spark))))
@@ -22,7 +26,7 @@ def op9_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op9_best_fit_pack": op9_best_fit_pack, "op5_chat_format": op5_chat_format, "op6_shard": op6_shard}
+    return {"op3_decontaminate": op3_decontaminate, "op9_best_fit_pack": op9_best_fit_pack, "op5_chat_format": op5_chat_format, "op6_shard": op6_shard}
 
 
 def oracle_sql() -> dict:
