@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arbor.llm import chat, decontaminate, packing, shard
+from arbor.llm import chat, decontaminate, packing, shard, spans
 from arbor.llm.common import table
 
 
@@ -21,12 +21,16 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_sentences", "n_removed", "removed")
+
+
 def op9_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {"op3_decontaminate": op3_decontaminate, "op9_best_fit_pack": op9_best_fit_pack, "op5_chat_format": op5_chat_format, "op6_shard": op6_shard}
+    return {"op8_sentence_spans": op8_sentence_spans, "op3_decontaminate": op3_decontaminate, "op9_best_fit_pack": op9_best_fit_pack, "op5_chat_format": op5_chat_format, "op6_shard": op6_shard}
 
 
 def oracle_sql() -> dict:
