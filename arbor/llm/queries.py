@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from arbor.llm import chat, decontaminate, order_minhash, packing, shard, spans
-from arbor.llm.common import table
+from arbor.llm import chat, decontaminate, order_minhash, packing, quality, shard, spans
+from arbor.llm.common import held_out, table
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality.train(documents, table(spark, sf_dir, "labels"))
+    return quality.scored(documents, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +41,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op10_order_minhash": op10_order_minhash, "op8_sentence_spans": op8_sentence_spans, "op3_decontaminate": op3_decontaminate, "op9_best_fit_pack": op9_best_fit_pack, "op5_chat_format": op5_chat_format, "op6_shard": op6_shard}
+    return {"op1_quality_rules": op1_quality_rules, "op10_order_minhash": op10_order_minhash, "op8_sentence_spans": op8_sentence_spans, "op3_decontaminate": op3_decontaminate, "op9_best_fit_pack": op9_best_fit_pack, "op5_chat_format": op5_chat_format, "op6_shard": op6_shard}
 
 
 def oracle_sql() -> dict:
