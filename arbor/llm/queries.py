@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbor.llm import chat, decontaminate, order_minhash, packing, quality, shard, spans
+from arbor.llm import chat, decontaminate, langid, order_minhash, packing, quality, shard, spans
 from arbor.llm.common import held_out, table
 
 
@@ -15,6 +15,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(documents, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op2_langid_marginal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = langid.train(documents.select("doc_id", "text", "lang"))
+    found = langid.predicted(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.hit_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -41,7 +48,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_quality_rules": op1_quality_rules, "op10_order_minhash": op10_order_minhash, "op8_sentence_spans": op8_sentence_spans, "op3_decontaminate": op3_decontaminate, "op9_best_fit_pack": op9_best_fit_pack, "op5_chat_format": op5_chat_format, "op6_shard": op6_shard}
+    return {"op1_quality_rules": op1_quality_rules, "op2_langid_marginal": op2_langid_marginal, "op10_order_minhash": op10_order_minhash, "op8_sentence_spans": op8_sentence_spans, "op3_decontaminate": op3_decontaminate, "op9_best_fit_pack": op9_best_fit_pack, "op5_chat_format": op5_chat_format, "op6_shard": op6_shard}
 
 
 def oracle_sql() -> dict:
