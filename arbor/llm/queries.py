@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbor.llm import chat, decontaminate, langid, order_minhash, packing, quality, shard, spans
+from arbor.llm import chat, decontaminate, langid, license_scan, lz_fingerprint, order_minhash, packing, quality, shard, spans
 from arbor.llm.common import held_out, table
 
 
@@ -26,6 +26,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.hit_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op4_license_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.read_back(chat.format_prefix_targets(conversations.unionByName(chat.control_conversation(spark))))
@@ -35,6 +39,10 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_sentences", "n_removed", "removed")
 
@@ -48,7 +56,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_quality_rules": op1_quality_rules, "op2_langid_marginal": op2_langid_marginal, "op10_order_minhash": op10_order_minhash, "op8_sentence_spans": op8_sentence_spans, "op3_decontaminate": op3_decontaminate, "op9_best_fit_pack": op9_best_fit_pack, "op5_chat_format": op5_chat_format, "op6_shard": op6_shard}
+    return {"op1_quality_rules": op1_quality_rules, "op2_langid_marginal": op2_langid_marginal, "op4_license_zstd": op4_license_zstd, "op7_lz_fingerprint": op7_lz_fingerprint, "op10_order_minhash": op10_order_minhash, "op8_sentence_spans": op8_sentence_spans, "op3_decontaminate": op3_decontaminate, "op9_best_fit_pack": op9_best_fit_pack, "op5_chat_format": op5_chat_format, "op6_shard": op6_shard}
 
 
 def oracle_sql() -> dict:
