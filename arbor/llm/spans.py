@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbor.llm.common import WordHashes, rolling, signed, words
+from arbor.llm.common import rolling, signed, words
 
 #: Sentences of a span, and the fewest words a span needs: shorter ones recur by chance.
 SENTENCES = 3
@@ -18,8 +18,8 @@ LEAST_WORDS = 12
 #: A sentence of more words is taken as several, cut at its commas and the like or else after so many words.
 LONGEST = 24
 
-_END = re.compile(r"(?<=[.!?。！？])\s+|\s*\n\s*")
-_CLAUSE = re.compile(r"(?<=[,;:|])\s+")
+_END = re.compile(r"[.!?\n。！？]\s+|\n")
+_CLAUSE = re.compile(r"[,;:|]\s+")
 _SPACE = re.compile(r"\s+")
 
 
@@ -54,33 +54,34 @@ def sentences(text: str, longest: int = LONGEST) -> list[tuple[int, int]]:
     return out
 
 
-def _spans(text: str | None, cache: WordHashes, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the spans of a text that count, and the sentence each begins at. Sentences without a word are passed over."""
-    if not text:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    own, size, at = [], [], []
-    for k, (a, b) in enumerate(sentences(text)):
+def _spans(text: str | None, n: int, least: int) -> tuple[list[tuple[int, int]], np.ndarray, list[int], np.ndarray]:
+    """The sentences of a text, the hashes of its spans that count, the sentences that have a word, and where among these
+    each span begins. Sentences without a word are passed over by spans."""
+    from xxhash import xxh3_64_intdigest
+
+    cut = sentences(text) if text else []
+    own, size, worded = [], [], []
+    for k, (a, b) in enumerate(cut):
         ws = words(text[a:b])
         if ws:
-            own.append(cache[b" ".join(ws)])
+            own.append(xxh3_64_intdigest(b" ".join(ws)))
             size.append(len(ws))
-            at.append(k)
+            worded.append(k)
     if len(own) < n:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return cut, np.empty(0, np.uint64), worded, np.empty(0, np.int64)
     total = np.concatenate([[0], np.cumsum(size)])
-    long = total[n:] - total[:-n] >= least
-    return rolling(np.array(own, np.uint64), n)[long], np.arange(len(own) - n + 1)[long]
+    long = np.flatnonzero(total[n:] - total[:-n] >= least)
+    return cut, rolling(np.array(own, np.uint64), n)[long], worded, long
 
 
 def span_hashes(documents: DataFrame, n: int = SENTENCES, least: int = LEAST_WORDS) -> DataFrame:
     """One row for each different span of a document: h, doc_id (0 for a null one)."""
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHashes(200_000)
         for batch in batches:
             h, ids = [], []
             for i, text in zip(batch["doc_id"], batch["text"]):
-                own = np.unique(_spans(text, cache, n, least)[0])
+                own = np.unique(_spans(text, n, least)[1])
                 h.append(own)
                 ids.append(np.full(len(own), i, np.int64))
             if h:
@@ -100,32 +101,27 @@ def repeated_spans(documents: DataFrame, n: int = SENTENCES, least: int = LEAST_
 def _removal(n: int, least: int):
     @F.pandas_udf("text string, n_sentences int, n_removed int, removed array<array<int>>")
     def remove(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        cache, rows = WordHashes(200_000), []
+        rows = []
         for text, of in zip(texts, spans):
             if text is None:
                 rows.append((None, 0, 0, []))
                 continue
-            cut = sentences(text)
-            gone = np.zeros(len(cut) + 1, np.int64)
-            h, at = _spans(text, cache, n, least)
-            if len(h):
-                seen: set[int] = set()
-                again = np.zeros(len(h), bool)
-                for k, x in enumerate(h.tolist()):
-                    again[k] = x in seen
-                    seen.add(x)
-                if of is not None and len(of):
-                    again |= np.isin(h, np.asarray(of, np.int64).view(np.uint64))
-                worded = np.array([k for k, (a, b) in enumerate(cut) if words(text[a:b])])
-                for k in at[again]:
-                    gone[worded[k] : worded[k + n - 1] + 1] = 1
-            if gone.any():
-                kept = "".join(text[a:b] for (a, b), g in zip(cut, gone) if not g)
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], gone])))
-                removed = [[cut[a][0], cut[b - 1][1]] for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
-                rows.append((kept.rstrip(), len(cut), int(gone.sum()), removed))
-            else:
+            cut, h, worded, at = _spans(text, n, least)
+            again = np.zeros(len(h), bool)
+            if of is not None and len(of):
+                again = np.isin(h, np.asarray(of, np.int64).view(np.uint64))
+            if len(set(h.tolist())) < len(h):  # also within the document
+                again |= pd.Series(h).duplicated().to_numpy()
+            if not again.any():
                 rows.append((text, len(cut), 0, []))
+                continue
+            gone = np.zeros(len(cut) + 1, np.int64)
+            for k in at[again]:
+                gone[worded[k] : worded[k + n - 1] + 1] = 1
+            kept = "".join(text[a:b] for (a, b), g in zip(cut, gone) if not g)
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], gone])))
+            removed = [[cut[a][0], cut[b - 1][1]] for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
+            rows.append((kept.rstrip(), len(cut), int(gone.sum()), removed))
         return pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed", "removed"])
 
     return remove
