@@ -1,13 +1,563 @@
-"""Queries over the shared test tables, one per operator family, with their SQL counterparts."""
+"""Queries over the shared test tables, one for each operator, with SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from arbor import clients
+from arbor.functions import text as T
+from arbor.operators import corpus, index, search, toc, tree
+from arbor.plans import views as V
+from arbor.settings import Settings
+from arbor.sources import files
+
 FLAGSHIP = "search_corpus"
+QUERY = "the of and"
+PHRASED = '"of the" and that'
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_SQL)
+
+
+def _index(spark: SparkSession, sf_dir: str) -> index.Index:
+    return index.build_index(V.doc_nodes(spark, sf_dir), Settings(index_include_text=True), composed=True)
+
+
+def _asked(spark: SparkSession, text: str = QUERY) -> DataFrame:
+    return search.analysed(spark.createDataFrame([(0, text)], "qid int, query string"), composed=True)
+
+
+# Text
+
+
+@query(f"select doc_id, {V.norm_sql('text')} as norm from documents")
+def normalize_text(spark, sf_dir):
+    return V.table(spark, sf_dir, "documents").select("doc_id", T.normalized(F.col("text")).alias("norm"))
+
+
+@query(f"select doc_id, cast(len({V.tokens_sql(V.norm_sql('text'))}) as int) as n_tokens, array_to_string({V.tokens_sql(V.norm_sql('text'))}, ' ') as tokens from documents")
+def tokenize(spark, sf_dir):
+    toks = T.tokens(T.normalized(F.col("text"), composed=True))
+    return V.table(spark, sf_dir, "documents").select("doc_id", F.size(toks).alias("n_tokens"), F.array_join(toks, " ").alias("tokens"))
+
+
+@query(f"select doc_id, term, count(*) as tf from (select doc_id, unnest({V.tokens_sql(V.norm_sql('text'))}) as term from documents) group by doc_id, term")
+def term_counts(spark, sf_dir):
+    rows = V.table(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens(T.normalized(F.col("text"), True))).alias("term"))
+    return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
+@query(
+    "select item_id, term, array_to_string(list(pos order by pos), ',') as positions from (select item_id, unnest(toks) as term, unnest(range(0, len(toks))) as pos "
+    f"from (select item_id, {V.tokens_sql(V.norm_sql('text'))} as toks from benchmark)) group by item_id, term"
+)
+def term_positions(spark, sf_dir):
+    rows = V.table(spark, sf_dir, "benchmark").select("item_id", T.tokens(T.normalized(F.col("text"), True)).alias("toks"))
+    return rows.select("item_id", F.explode(T.term_counts(F.col("toks"))).alias("t")).select("item_id", "t.term", F.array_join(F.transform("t.positions", lambda x: x.cast("string")), ",").alias("positions"))
+
+
+@query(f"select item_id, {V.norm_sql(V.FIRST_WORDS.format('text', 3))} as phrase from benchmark")
+def extract_phrases(spark, sf_dir):
+    asked = F.concat(F.lit('x "'), V.first_words(F.col("text"), 3), F.lit('" "" tail'))
+    return V.table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.phrases(asked)).alias("phrase"))
+
+
+# Trees
+
+
+@query(f"with {V.NODES} select doc_id, node_idx, node_id, title, start_index, end_index, depth, parent_id, path, is_leaf from nodes")
+def document_nodes(spark, sf_dir):
+    n = V.doc_nodes(spark, sf_dir)
+    return n.select("doc_id", "node_idx", "node_id", "title", "start_index", "end_index", "depth", "parent_id", F.array_join("path_titles", " ").alias("path"), "is_leaf")
+
+
+def _geo(spark, sf_dir) -> DataFrame:
+    r, n, c = (V.table(spark, sf_dir, x) for x in ("region", "nation", "customer"))
+    rows = r.select(F.col("r_regionkey").cast("long").alias("k"), F.lit(None).cast("long").alias("up"), F.col("r_name").alias("title"))
+    rows = rows.unionByName(n.select((F.col("n_nationkey") + 1000).cast("long").alias("k"), F.col("n_regionkey").cast("long").alias("up"), F.col("n_name").alias("title")))
+    rows = rows.unionByName(c.select((F.col("c_custkey") + 10_000).alias("k"), (F.col("c_nationkey") + 1000).cast("long").alias("up"), F.col("c_name").alias("title")))
+    rows = rows.select(F.lit("geo").alias("doc_id"), F.col("k").alias("pos"), F.col("up").alias("parent_pos"), "title")
+    return rows.withColumn("node_id", F.concat(F.lit("n"), F.col("pos").cast("string")))
+
+
+_GEO = """
+geo as (
+  select 'n' || cast(r_regionkey as varchar) as node_id, 1 as depth, cast(null as varchar) as parent_id, r_name as path, exists (select 1 from nation where n_regionkey = r_regionkey) as has, '' as ancestors from region
+  union all select 'n' || cast(n_nationkey + 1000 as varchar), 2, 'n' || cast(n_regionkey as varchar), r_name || ' > ' || n_name, exists (select 1 from customer where c_nationkey = n_nationkey), 'n' || cast(n_regionkey as varchar) from nation join region on n_regionkey = r_regionkey
+  union all select 'n' || cast(c_custkey + 10000 as varchar), 3, 'n' || cast(c_nationkey + 1000 as varchar), r_name || ' > ' || n_name || ' > ' || c_name, false, 'n' || cast(n_regionkey as varchar) || ',n' || cast(c_nationkey + 1000 as varchar)
+    from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
+)"""
+
+
+@query(f"with {_GEO} select node_id, depth, parent_id, path, ancestors, not has as is_leaf from geo")
+def flatten_geo(spark, sf_dir):
+    n = tree.linked_nodes(_geo(spark, sf_dir))
+    return n.select("node_id", "depth", "parent_id", F.array_join("path_titles", " > ").alias("path"), F.array_join("ancestor_ids", ",").alias("ancestors"), "is_leaf")
+
+
+@query("select 'n' || cast(n_nationkey + 1000 as varchar) as node_id, string_agg('n' || cast(c_custkey + 10000 as varchar), ',' order by c_custkey) as children from nation join customer on c_nationkey = n_nationkey group by n_nationkey")
+def children_lists(spark, sf_dir):
+    n = tree.linked_nodes(_geo(spark, sf_dir)).where("depth = 2 and not is_leaf")
+    return n.select("node_id", F.array_join("child_ids", ",").alias("children"))
+
+
+@query("""with """ + _GEO + """ select node_id, repeat('  ', depth - 1) || string_split(path, ' > ')[-1] as line from geo""")
+def outline(spark, sf_dir):
+    n = tree.linked_nodes(_geo(spark, sf_dir)).withColumn("node_idx", F.col("node_idx"))
+    return tree.outline(n).join(n.select("node_idx", "node_id"), "node_idx").select("node_id", "line")
+
+
+@query(f"with {V.HEADINGS} select h.doc_id, h.pos, h.level, (select max(p.pos) from headings p where p.doc_id = h.doc_id and p.pos < h.pos and p.level < h.level) as parent_pos from headings h")
+def heading_parent(spark, sf_dir):
+    return tree.with_parents(V.heading_rows(spark, sf_dir)).select("doc_id", "pos", "level", "parent_pos")
+
+
+@query(
+    f"with {V.HEADINGS}, ends as (select h.*, coalesce((select min(n.pos) from headings n where n.doc_id = h.doc_id and n.pos > h.pos and n.level <= h.level) - 1, (select max(m.pos) from headings m where m.doc_id = h.doc_id)) as end_pos from headings h) "
+    "select e.doc_id, e.pos, e.end_pos, (select cast(sum(x.own_tokens) as bigint) from headings x where x.doc_id = e.doc_id and x.pos between e.pos and e.end_pos) as subtree_tokens from ends e"
+)
+def subtree_tokens(spark, sf_dir):
+    return tree.subtree_tokens(V.heading_rows(spark, sf_dir)).select("doc_id", "pos", "end_pos", "subtree_tokens")
+
+
+@query(f"with {V.HEADINGS} select doc_id, pos, case when pos <= 10000 then lpad(cast(pos - 1 as varchar), 4, '0') else cast(pos - 1 as varchar) end as node_id from headings")
+def node_numbering(spark, sf_dir):
+    return tree.numbered(V.heading_rows(spark, sf_dir)).select("doc_id", "pos", "node_id")
+
+
+@query()
+def thinning(spark, sf_dir):
+    return tree.thinned(V.heading_rows(spark, sf_dir), 60).select("doc_id", "pos", "level", F.length("text").alias("n_chars"))
+
+
+def _marked(spark, sf_dir) -> DataFrame:
+    """Documents as Markdown: every seventh line a heading, some indented, and fences around some."""
+    lines = V.doc_lines(spark, sf_dir)
+    k = F.col("line_no")
+    line = F.when(k % 11 == 0, F.lit("```")).when(k % 7 == 1, F.concat(F.repeat(F.lit("#"), (k % 3 + 1)), F.lit(" "), V.first_words(F.col("line"), 3))).when(k % 7 == 3, F.concat(F.lit("  ## "), F.col("line"))).otherwise(F.col("line"))
+    return lines.select("doc_id", "line_no", line.alias("line"))
+
+
+_MARKED = (
+    V.LINES
+    + ", marked as (select doc_id, line_no, case when line_no % 11 = 0 then '```' when line_no % 7 = 1 then repeat('#', line_no % 3 + 1) || ' ' || "
+    + V.FIRST_WORDS.format("line", 3)
+    + " when line_no % 7 = 3 then '  ## ' || line else line end as line, cast(sum(case when line_no % 11 = 0 then 1 else 0 end) over (partition by doc_id order by line_no) as int) % 2 = 1 as fenced, line_no % 7 = 1 and line_no % 11 <> 0 as head from lines), "
+    + "heads as (select *, head and not fenced as is_head, sum(case when head and not fenced then 1 else 0 end) over (partition by doc_id order by line_no) as pos from marked)"
+)
+
+
+@query(f"with {_MARKED} select doc_id, line_no, cast(line_no % 3 + 1 as int) as level, trim(substr(line, cast(line_no % 3 + 3 as int))) as title from heads where is_head")
+def markdown_headings(spark, sf_dir):
+    return tree.markdown_headings(_marked(spark, sf_dir)).where("level is not null").select("doc_id", "line_no", "level", "title")
+
+
+@query(f"with {_MARKED} select doc_id, cast(pos as int) as pos, min(line_no) as line_num, trim(string_agg(line, chr(10) order by line_no)) as text from heads where pos > 0 group by doc_id, pos")
+def section_text(spark, sf_dir):
+    s = tree.sections(tree.markdown_headings(_marked(spark, sf_dir)), "line_no", "line")
+    return s.select("doc_id", "pos", "line_num", "text")
+
+
+@query("select role, case when regexp_matches(style, '^heading [1-9]$') then cast(style[-1] as int) when style = 'title' then 0 end as level from (select distinct role, case role when 'system' then 'title' when 'user' then 'heading 2' else 'body' end as style from conversations)")
+def paragraph_style_level(spark, sf_dir):
+    style = F.when(F.col("role") == "system", "Title").when(F.col("role") == "user", "Heading 2").otherwise("Body")
+    return V.table(spark, sf_dir, "conversations").select("role", tree.style_level(style).alias("level")).distinct()
+
+
+@query(f"with {V.PAGES} select n.doc_id, n.node_id, string_agg(p.text, '' order by p.page_no) as text from (select doc_id, 'a' as node_id, 1 as s, 2 as e from paged group by doc_id union all select doc_id, 'b', 2, 4 from paged group by doc_id having max(page_no) >= 2) n join paged p on p.doc_id = n.doc_id and p.page_no between s and e group by 1, 2")
+def page_text(spark, sf_dir):
+    p = V.paged(spark, sf_dir)
+    size = p.groupBy("doc_id").agg(F.max("page_no").alias("m"), F.lit("").alias("text"))
+    a = size.select("doc_id", F.lit("a").alias("node_id"), F.lit(1).alias("start_index"), F.lit(2).alias("end_index"), "text")
+    b = size.where("m >= 2").select("doc_id", F.lit("b").alias("node_id"), F.lit(2).alias("start_index"), F.lit(4).alias("end_index"), "text")
+    return tree.page_text(a.unionByName(b), p).where("text != ''").select("doc_id", "node_id", "text")
+
+
+@query(f"with {V.PAGES} select doc_id, cast(max(page_no) as int) as end_index, left(trim(string_agg(text, chr(10) order by page_no)), 400) as summary from paged group by doc_id")
+def whole_file_node(spark, sf_dir):
+    p = V.paged(spark, sf_dir)
+    return tree.whole_file_nodes(p, p.select("doc_id", F.col("doc_id").alias("stem")).distinct()).select("doc_id", "end_index", "summary")
+
+
+@query(r"select page_id, n as line_no, cast(nullif(regexp_extract(block, '^<[hH]([1-6])', 1), '') as int) as level, text from (select page_id, n, block, trim(regexp_replace(regexp_replace(block, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) as text from (select page_id, unnest(b) as block, cast(unnest(range(1, len(b) + 1)) as int) as n from (select page_id, regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?is)<(?:h[1-6]|p|li)\b[^>]*>.*?</(?:h[1-6]|p|li)>') as b from pages))) where text <> ''")
+def html_blocks(spark, sf_dir):
+    p = V.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html")
+    b = files.html_blocks(p.withColumn("html", F.regexp_replace("html", r"(?is)<title\b.*?</title>", " ")))
+    return b.select(F.col("doc_id").alias("page_id"), "line_no", "level", "text")
+
+
+# Tables of contents
+
+
+_STRIPPED = r"regexp_replace(trim(regexp_replace(line, '\s+', ' ', 'g')), '^[-*• ]+', '')"
+_PARSED = (
+    V.TOC
+    + r""", stripped as (select *, regexp_replace(trim(regexp_replace(line, '\s+', ' ', 'g')), '^[-*• ]+|[-*• ]+$', '', 'g') as l from toc_lines),
+bodied as (select *, regexp_extract(l, '^(.+?)(?:\s*:\s*|\s+)(\d{1,4})$', 2) as page, regexp_replace(regexp_extract(l, '^(.+?)(?:\s*:\s*|\s+)(\d{1,4})$', 1), '^[ :-]+|[ :-]+$', '', 'g') as body from stripped where not contains(lower(l), '| page ')),
+entries as (select doc_id, line_no, case when regexp_matches(body, '^(\d+(?:\.\d+)*|[A-Z])[.)]\s+(.+)$') then regexp_extract(body, '^(\d+(?:\.\d+)*|[A-Z])[.)]\s+(.+)$', 1) when regexp_matches(body, '^(\d+(?:\.\d+)*)\s+(.+)$') then regexp_extract(body, '^(\d+(?:\.\d+)*)\s+(.+)$', 1) end as structure,
+  case when regexp_matches(body, '^(\d+(?:\.\d+)*|[A-Z])[.)]\s+(.+)$') then regexp_extract(body, '^(\d+(?:\.\d+)*|[A-Z])[.)]\s+(.+)$', 2) when regexp_matches(body, '^(\d+(?:\.\d+)*)\s+(.+)$') then regexp_extract(body, '^(\d+(?:\.\d+)*)\s+(.+)$', 2) else body end as title, cast(page as int) as page from bodied where page <> '' and body <> '')"""
+)
+
+
+@query(f"with {_PARSED} select doc_id, line_no, structure, title, page from entries")
+def toc_parse(spark, sf_dir):
+    rows = V.toc_lines(spark, sf_dir).select("doc_id", "line_no", toc.parsed_line(F.col("line")).alias("e")).where("e is not null")
+    return rows.select("doc_id", "line_no", "e.structure", "e.title", "e.page")
+
+
+@query(f"with {_PARSED} select doc_id, structure, title, page from (select *, row_number() over (partition by doc_id, structure, lower(title), page order by line_no) as k from entries) where k = 1 qualify count(*) over (partition by doc_id) >= 3")
+def toc_dedupe(spark, sf_dir):
+    return toc.toc_entries(V.toc_lines(spark, sf_dir)).select("doc_id", "structure", "title", "page")
+
+
+@query(r"select p_partkey, (case when lower(p_type) in ('overview', 'summary') then -40 else 0 end) + (case when regexp_matches(p_name, '(?i)\b(table|figure|appendix|exhibit|chart)\b') then 100 else 0 end) + (case when len(string_split(p_name, ' ')) >= 5 then 20 else 0 end) + 20 as score from part")
+def title_specificity(spark, sf_dir):
+    title = F.concat(F.col("p_partkey").cast("string"), F.lit(" "), F.col("p_name"))
+    long = F.when(F.size(F.split("p_name", " ")) == 4, -20).otherwise(0)
+    return V.table(spark, sf_dir, "part").select("p_partkey", (toc.specificity(title) + long).cast("int").alias("score"))
+
+
+@query(f"with {V.LINES} select doc_id, cast((line_no - 1) // {V.PAGE} + 1 as int) as page_no, true as is_toc from lines where len({_STRIPPED} || ' 12') >= 15 group by 1, 2 having count(*) >= 2")
+def toc_detect(spark, sf_dir):
+    p = V.paged(spark, sf_dir).select("doc_id", "page_no", F.concat(F.lit("Contents\n"), F.replace("text", F.lit("\n"), F.lit(" 12\n")), F.lit(" 12")).alias("text"))
+    return p.select("doc_id", "page_no", toc.is_toc_page(F.col("text")).alias("is_toc")).where("is_toc")
+
+
+_OFFSETS = "pairs as (select n_regionkey as r, n_name as title, n_nationkey as pos, n_nationkey + 1 as page, n_nationkey + 1 + (case when n_nationkey % 4 = 0 then 9 else 3 + n_regionkey end) as physical_index from nation)"
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
+    n = V.table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("doc_id"), F.col("n_nationkey").alias("pos"), F.col("n_name").alias("title"), (F.col("n_nationkey") + 1).alias("page"), F.col("n_regionkey").alias("r"))
+    found = n.select("doc_id", "pos", "title", (F.col("page") + F.when(F.col("pos") % 4 == 0, 9).otherwise(3 + F.col("r"))).alias("physical_index"), F.lit(1).alias("start_page"))
+    return toc.matching_pages(n.select("doc_id", "pos", "title", "page"), found)
+
+
+@query(f"with {_OFFSETS} select doc_id, o as \"offset\" from (select cast(r as varchar) as doc_id, physical_index - page as o, row_number() over (partition by r order by count(*) desc, min(pos)) as k from pairs group by r, physical_index - page) where k = 1")
+def page_offset_mode(spark, sf_dir):
+    return toc.page_offset(_pairs(spark, sf_dir))
+
+
+@query(f"with {_OFFSETS}, best as (select r, o from (select r, physical_index - page as o, row_number() over (partition by r order by count(*) desc, min(pos)) as k from pairs group by r, physical_index - page) where k = 1) select title, cast(page + o as int) as physical_index from pairs join best using (r)")
+def page_offset_apply(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)
+    return toc.with_offset(pairs.select("doc_id", "title", "page"), toc.page_offset(pairs)).select("title", "physical_index")
+
+
+def _toc_rows(spark, sf_dir) -> DataFrame:
+    """Entries on the lines of an order: physical pages ascend with the position."""
+    h = V.heading_rows(spark, sf_dir)
+    return h.select("doc_id", "pos", "title", (F.col("pos") * 2 + F.col("level") % 2).cast("int").alias("physical_index"), F.when(F.col("level") % 2 == 0, "yes").otherwise("no").alias("appear_start"))
+
+
+_TOC_ROWS = V.HEADINGS + ", toc as (select doc_id, pos, title, cast(pos * 2 + level % 2 as int) as physical_index, level % 2 = 0 as at_top from headings), last_page as (select doc_id, max(pos) * 2 + 3 as n from toc group by doc_id)"
+
+
+def _last_pages(spark, sf_dir) -> DataFrame:
+    return _toc_rows(spark, sf_dir).groupBy("doc_id").agg((F.max("pos") * 2 + 3).cast("int").alias("page_no"))
+
+
+@query(f"with {_TOC_ROWS} select doc_id, pos, physical_index as start_index, cast(coalesce(lead(physical_index - case when at_top then 1 else 0 end) over (partition by doc_id order by pos), n) as int) as end_index from toc join last_page using (doc_id)")
+def end_pages(spark, sf_dir):
+    out = tree.ends_of_sections(_toc_rows(spark, sf_dir), _last_pages(spark, sf_dir))
+    return out.select("doc_id", "pos", "start_index", F.col("end_index").cast("int").alias("end_index"))
+
+
+@query(f"with {_TOC_ROWS} select doc_id, pos, cast(coalesce(last_value(p ignore nulls) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) as int) as low, cast(coalesce(first_value(p ignore nulls) over (partition by doc_id order by pos rows between 1 following and unbounded following), n) as int) as high from (select *, case when pos % 3 <> 0 then physical_index end as p from toc) join last_page using (doc_id)")
+def missing_page_bounds(spark, sf_dir):
+    rows = _toc_rows(spark, sf_dir).withColumn("physical_index", F.when(F.col("pos") % 3 != 0, F.col("physical_index")))
+    out = toc.neighbours(rows, _last_pages(spark, sf_dir).withColumnRenamed("page_no", "last_page"))
+    return out.select("doc_id", "pos", F.col("low").cast("int").alias("low"), F.col("high").cast("int").alias("high"))
+
+
+@query("select p_brand as doc_id, p.p_partkey as pos, (select max(q.p_partkey) from part q where q.p_brand = p.p_brand and q.p_partkey % 3 = 0 and cast(q.p_size as varchar) = cast(p.p_size as varchar) and p.p_partkey % 3 <> 0 and q.p_partkey < p.p_partkey) as parent_pos from part p")
+def dotted_parent(spark, sf_dir):
+    p = V.table(spark, sf_dir, "part")
+    code = F.when(F.col("p_partkey") % 3 == 0, F.col("p_size").cast("string")).otherwise(F.concat_ws(".", F.col("p_size").cast("string"), F.col("p_partkey").cast("string")))
+    return toc.parents_by_code(p.select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("pos"), code.alias("structure"))).select("doc_id", "pos", "parent_pos")
+
+
+_HEADING = r"""len(l) between 4 and 120 and not regexp_matches(l, '[.;:?!]$') and len(regexp_extract_all(l, '[A-Za-z]')) >= 2 and (regexp_matches(l, '^\d+\.\d+') or regexp_matches(l, '^[A-Z][A-Za-z\s\-/]{3,}$') or regexp_matches(l, '^\d+(?:\.\d+){0,3}\s+[A-Za-z]')
+ or (regexp_matches(l, '\p{L}') and not regexp_matches(regexp_replace(l, '\p{Lu}', '', 'g'), '\p{L}')) or (len(regexp_extract_all(l, '[A-Za-z0-9][A-Za-z0-9\-]*')) between 2 and 12 and len(list_filter(regexp_extract_all(l, '[A-Za-z0-9][A-Za-z0-9\-]*'), lambda w: regexp_matches(w, '^[A-Z0-9]'))) >= 0.6 * len(regexp_extract_all(l, '[A-Za-z0-9][A-Za-z0-9\-]*'))))"""
+
+
+@query(f"with {V.LINES}, clean as (select doc_id, line_no, regexp_replace({V.FIRST_WORDS.format('line', 4)}, '[.,]$', '') as l from lines) select doc_id, line_no, l as title from clean where {_HEADING}")
+def heading_lines(spark, sf_dir):
+    rows = V.doc_lines(spark, sf_dir).select("doc_id", "line_no", toc.heading_line(F.regexp_replace(V.first_words(F.col("line"), 4), "[.,]$", "")).alias("title"))
+    return rows.where(toc.looks_like_heading(F.col("title")))
+
+
+@query()
+def heading_children(spark, sf_dir):
+    """Children of whole documents whose pages begin with a few words as a heading."""
+    p = V.paged(spark, sf_dir).withColumn("text", F.concat(F.regexp_replace(V.first_words(F.col("text"), 3), "[.,]$", ""), F.lit("\n"), F.col("text")))
+    parents = p.groupBy("doc_id").agg(F.max("page_no").alias("end_index")).withColumn("parent_title", F.lit("whole"))
+    return toc.children_of(toc.heading_candidates(p, parents.select("doc_id", "parent_title")), parents)
+
+
+@query()
+def page_groups(spark, sf_dir):
+    return toc.grouped_pages(V.paged(spark, sf_dir), 300).select("doc_id", "part", F.length("text").alias("n_chars"))
+
+
+# Index
+
+
+@query(f"with {V.POSTINGS} select doc_id, field, term, node_idx, tf, array_to_string(positions, ',') as positions from postings")
+def postings(spark, sf_dir):
+    p = _index(spark, sf_dir).postings
+    return p.select("doc_id", "field", "term", "node_idx", "tf", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
+
+
+@query(f"with {V.POSTINGS} select doc_id, field, term, df from term_stats")
+def doc_frequency(spark, sf_dir):
+    return _index(spark, sf_dir).term_stats
+
+
+@query(f"with {V.POSTINGS} select doc_id, field, n_nodes, round(avg_len, 6) as avg_len from field_stats")
+def field_lengths(spark, sf_dir):
+    return _index(spark, sf_dir).field_stats.select("doc_id", "field", "n_nodes", F.round("avg_len", 6).alias("avg_len"))
+
+
+@query(f"with {V.NODES} select doc_id, node_id from nodes where {V.norm_sql('title')} = 'src1'")
+def title_lookup(spark, sf_dir):
+    return _index(spark, sf_dir).nodes.where(F.col("norms.title") == "src1").select("doc_id", "node_id")
+
+
+def _holding(spark, sf_dir, term: str) -> DataFrame:
+    return _index(spark, sf_dir).postings.where(F.col("term") == term).select("doc_id", "node_idx").distinct()
+
+
+def _set_sql(op: str) -> str:
+    return f"with {V.POSTINGS} select doc_id, node_idx from (select doc_id, node_idx from postings where term = 'the' {op} select doc_id, node_idx from postings where term = 'of')"
+
+
+@query(_set_sql("union"))
+def postings_union(spark, sf_dir):
+    return _holding(spark, sf_dir, "the").union(_holding(spark, sf_dir, "of")).distinct()
+
+
+@query(_set_sql("intersect"))
+def postings_intersect(spark, sf_dir):
+    return _holding(spark, sf_dir, "the").join(_holding(spark, sf_dir, "of"), ["doc_id", "node_idx"], "left_semi")
+
+
+@query(_set_sql("except"))
+def postings_difference(spark, sf_dir):
+    return _holding(spark, sf_dir, "the").join(_holding(spark, sf_dir, "of"), ["doc_id", "node_idx"], "left_anti")
+
+
+# Candidates and filters
+
+
+@query(f"with {V.POSTINGS} select distinct doc_id, node_idx from postings where term in ('the', 'of', 'and')")
+def candidates(spark, sf_dir):
+    return search.candidates(_index(spark, sf_dir), _asked(spark)).select("doc_id", "node_idx")
+
+
+def _filter_query(where: str, request: search.Request):
+    def run(spark, sf_dir):
+        return search.allowed(V.doc_nodes(spark, sf_dir), request).select("doc_id", "node_idx")
+
+    return run, f"with {V.NODES} select doc_id, node_idx from nodes where {where}"
+
+
+for _name, _where, _request in (
+    ("filter_leaf", "is_leaf", search.Request(leaf_only=True)),
+    ("filter_depth", "depth = 2", search.Request(depth=2)),
+    ("filter_page_range", "greatest(start_index, 3) <= least(end_index, 6)", search.Request(min_page=3, max_page=6)),
+    ("filter_page_single", "start_index <= 4 and end_index >= 4", search.Request(min_page=4)),
+):
+    _QUERIES[_name], _SQL[_name] = _filter_query(_where, _request)
+
+
+# Scores
+
+_HITS = (
+    V.POSTINGS
+    + """, hits as (
+  select doc_id, field, term, node_idx, positions, ord, (case field when 'title' then 5.0 when 'path_titles' then 3.5 when 'summary' then 3.0 when 'prefix_summary' then 2.5 else 1.0 end) * ln(1 + (n_nodes - df + 0.5) / (df + 0.5)) * 2.2 * tf / (1.2 * (0.25 + 0.75 * greatest(field_len, 1) / (case when avg_len > 0 then avg_len else 1 end)) + tf) as part
+  from postings join term_stats using (doc_id, field, term) join field_stats using (doc_id, field) join (values @TERMS@) q(term, ord) using (term)
+)"""
+)
+_PLAIN = _HITS.replace("@TERMS@", "('the', 0), ('of', 1), ('and', 2)")
+
+
+@query(f"with {_PLAIN} select doc_id, node_idx, field, term, round(part, 6) as part from hits")
+def bm25_field(spark, sf_dir):
+    return search.hits(_index(spark, sf_dir), _asked(spark)).select("doc_id", "node_idx", "field", "term", F.round("part", 6).alias("part"))
+
+
+@query(f"with {_PLAIN} select doc_id, node_idx, round(sum(part), 5) as score from hits group by doc_id, node_idx")
+def bm25_total(spark, sf_dir):
+    h = search.hits(_index(spark, sf_dir), _asked(spark))
+    return h.groupBy("doc_id", "node_idx").agg(F.round(F.sum("part"), 5).alias("score"))
+
+
+_SCORES = """, prox as (
+  select a.doc_id, a.node_idx, max(1.5 / (1 + gap)) as v from (select a.doc_id, a.node_idx, a.field, a.ord, (select min(abs(x.p - y.p)) from (select unnest(a.positions) as p) x, (select unnest(b.positions) as p) y) as gap
+  from hits a join hits b on a.doc_id = b.doc_id and a.node_idx = b.node_idx and a.field = b.field and b.ord = a.ord + 1) a where gap <= 12 group by 1, 2
+), bm as (select doc_id, node_idx, sum(part) as v, count(distinct term) as n from hits group by 1, 2),
+phr as (select doc_id, node_idx, 3.0 * count(*) as v, max(case when field = 'title' and norm = '{phrase}' then 5.0 else 0 end) as title from field_rows where contains(norm, '{phrase}') group by 1, 2),
+scores as (select n.*, bm.v + coalesce(phr.v, 0) + coalesce(phr.title, 0) + coalesce(prox.v, 0) + case when is_leaf then 1.0 else 0 end + case when bm.n = {n} then 2.0 else 0 end as raw
+  from bm join nodes n using (doc_id, node_idx) left join phr using (doc_id, node_idx) left join prox using (doc_id, node_idx))"""
+_PHRASED = _HITS.replace("@TERMS@", "('of', 0), ('the', 1), ('and', 2), ('that', 3)") + _SCORES.format(phrase="of the", n=4)
+
+
+@query(f"with {_PHRASED} select doc_id, node_idx, round(raw, 6) as score from scores")
+def score_full(spark, sf_dir):
+    s = search.scored(_index(spark, sf_dir), spark.createDataFrame([(0, PHRASED)], "qid int, query string"), search.Request(10, 1, False), composed=True)
+    return s.select("doc_id", "node_idx", "score")
+
+
+@query(f"with {_PHRASED} select doc_id, node_idx, round(v, 6) as bonus from prox")
+def proximity_bonus(spark, sf_dir):
+    s = search.scored(_index(spark, sf_dir), spark.createDataFrame([(0, PHRASED)], "qid int, query string"), search.Request(10, 1, False), composed=True)
+    return s.where("near.value > 0").select("doc_id", "node_idx", F.round("near.value", 6).alias("bonus"))
+
+
+@query(f"with {_PHRASED} select doc_id, node_idx, cast(v as double) as bonus from phr join (select doc_id, node_idx from scores) using (doc_id, node_idx)")
+def phrase_bonus(spark, sf_dir):
+    s = search.scored(_index(spark, sf_dir), spark.createDataFrame([(0, PHRASED)], "qid int, query string"), search.Request(10, 1, False), composed=True)
+    return s.where("phrase_bonus > 0").select("doc_id", "node_idx", F.col("phrase_bonus").cast("double").alias("bonus"))
+
+
+@query(f"with {V.NODES} select doc_id, node_idx, 5.0::double as bonus from nodes where {V.norm_sql('title')} = 'src3'")
+def exact_title_bonus(spark, sf_dir):
+    s = search.scored(_index(spark, sf_dir), spark.createDataFrame([(0, "SRC3")], "qid int, query string"), search.Request(10, 1, False), composed=True)
+    return s.where("exact_bonus > 0").select("doc_id", "node_idx", F.col("exact_bonus").cast("double").alias("bonus"))
+
+
+@query(f"with {V.NODES} select doc_id, node_idx, 5.0::double as bonus from nodes where node_id = '0003'")
+def node_id_bonus(spark, sf_dir):
+    s = search.scored(_index(spark, sf_dir), spark.createDataFrame([(0, " 0003 ")], "qid int, query string"), search.Request(10, 1, False), composed=True)
+    return s.where("id_bonus > 0").select("doc_id", "node_idx", F.col("id_bonus").cast("double").alias("bonus"))
+
+
+# Selection and results
+
+
+@query(
+    f"with {_PHRASED}, ranked as (select *, row_number() over (partition by doc_id, {V.norm_sql('title')}, start_index, end_index order by round(raw, 6) desc, node_idx) as k from scores) select doc_id, node_idx from ranked where k = 1"
+)
+def dedupe(spark, sf_dir):
+    s = search.scored(_index(spark, sf_dir), spark.createDataFrame([(0, PHRASED)], "qid int, query string"), search.Request(10, 1, False), composed=True)
+    return search.deduplicated(s).select("doc_id", "node_idx")
+
+
+_RANKED = _PHRASED + ", ranked as (select *, row_number() over (partition by doc_id order by round(raw, 6) desc, start_index, node_id) as k from scores)"
+
+
+@query(f"with {_RANKED}, first as (select * from ranked where k = 1) select doc_id, node_id from first")
+def best_of_each_document(spark, sf_dir):
+    s = search.search_queries(_index(spark, sf_dir), spark.createDataFrame([(0, PHRASED)], "qid int, query string"), search.Request(top_k=1), composed=True)
+    return s.select("doc_id", "node_id")
+
+
+@query()
+def diversity_topk(spark, sf_dir):
+    s = search.search_queries(_index(spark, sf_dir), spark.createDataFrame([(0, PHRASED)], "qid int, query string"), search.Request(top_k=5), composed=True)
+    return s.select("doc_id", "rank", "node_id", "score")
+
+
+@query(
+    f"with {V.LINES} select a.doc_id, a.line_no, round(greatest(0, least(a.e, b.e) - greatest(a.s, b.s) + 1) / cast(least(a.e - a.s + 1, b.e - b.s + 1) as double), 6) as ratio "
+    "from (select doc_id, line_no, line_no as s, line_no + 4 as e from lines) a join (select doc_id, line_no, line_no - 1 as s, line_no + 1 as e from lines) b on a.doc_id = b.doc_id and b.line_no = a.line_no + 2"
+)
+def overlap_ratio(spark, sf_dir):
+    lines = V.doc_lines(spark, sf_dir).select("doc_id", "line_no")
+    k = F.col("line_no")
+    ratio = search.overlap_ratio(k, k + 4, k + 1, k + 3)
+    following = lines.select("doc_id", (F.col("line_no") - 2).alias("line_no"))
+    return lines.join(following, ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", F.round(ratio, 6).alias("ratio"))
+
+
+_COMPACT = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+
+
+@query(
+    f"select doc_id, case when hit is null then trim(left(t, 280)) || case when n > len(trim(left(t, 280))) then '...' else '' end else (case when s > 0 then '...' else '' end) || trim(substr(t, s + 1, e - s)) || (case when e < n then '...' else '' end) end as snippet "
+    f"from (select *, case when e0 - s0 < 320 and s0 > 0 then greatest(0, e0 - 320) else s0 end as s, e0 as e from (select *, greatest(0, hit - 120) as s0, least(n, greatest(0, hit - 120) + 320) as e0 from "
+    f"(select doc_id, {_COMPACT} as t, len({_COMPACT}) as n, nullif(strpos(lower({_COMPACT}), 'ation'), 0) - 1 as hit from documents)))"
+)
+def snippet(spark, sf_dir):
+    made = search.snippet({"text": F.col("text"), "summary": F.lit(None).cast("string"), "prefix_summary": F.lit(None).cast("string"), "title": F.lit(None).cast("string")}, F.array(F.lit("ation")), 320, 120)
+    return V.table(spark, sf_dir, "documents").select("doc_id", made["snippet"].alias("snippet"))
+
+
+@query()
+def search_results(spark, sf_dir):
+    """Up to three results in each document for a query of three words from each of the benchmark's items."""
+    asked = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), V.first_words(F.col("text"), 3).alias("query"))
+    s = search.search_queries(_index(spark, sf_dir), asked, search.Request(top_k=3), composed=True)
+    return s.select("qid", "doc_id", "rank", "node_id", "title", "score", "snippet", F.array_join("matched_terms", " ").alias("matched_terms"))
+
+
+# Corpus
+
+
+@query(f"with {V.CATALOG} select count(*) as n_documents, array_to_string(list(distinct doc_type order by doc_type), ',') as doc_types, array_to_string(list(distinct source order by source), ',') as sources from catalog")
+def catalog_summary(spark, sf_dir):
+    s = corpus.summary(V.catalog(spark, sf_dir))
+    return s.select("n_documents", F.array_join("doc_types", ",").alias("doc_types"), F.array_join("sources", ",").alias("sources"))
+
+
+def _catalog_query(where: str, wanted: corpus.CorpusFilter):
+    def run(spark, sf_dir):
+        return corpus.filtered(V.catalog(spark, sf_dir), wanted).select("doc_id", "doc_name")
+
+    return run, f"with {V.CATALOG} select doc_id, doc_name from catalog where {where}"
+
+
+for _name, _where, _wanted in (
+    ("filter_metadata", "doc_type = 'en' and source = 'src1'", corpus.CorpusFilter(doc_type="en", source="src1")),
+    ("filter_tags", "list_contains(tags, 'review') or list_contains(tags, 'other')", corpus.CorpusFilter(tags=("review", "other"))),
+    ("filter_created_at", "created_at between timestamp '2024-03-01' and timestamp '2024-03-31'", corpus.CorpusFilter(created_from="2024-03-01", created_to="2024-03-31T00:00:00")),
+):
+    _QUERIES[_name], _SQL[_name] = _catalog_query(_where, _wanted)
+
+
+@query("select p_partkey, case when k = 1 then b else b || '-' || cast(k as varchar) end as doc_id from (select p_partkey, b, row_number() over (partition by b order by path) as k from (select p_partkey, replace(lower(p_brand || ' ' || p_type), ' ', '-') as b, '/' || lpad(cast(p_partkey as varchar), 9, '0') || '/' || p_brand || ' ' || p_type || '.md' as path from part))")
+def document_ids(spark, sf_dir):
+    path = F.concat(F.lit("/"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"), F.lit("/"), F.col("p_brand"), F.lit(" "), F.col("p_type"), F.lit(".md"))
+    return files.with_doc_ids(V.table(spark, sf_dir, "part").select("p_partkey", path.alias("path"))).select("p_partkey", "doc_id")
+
+
+@query(
+    f"with {_RANKED} select doc_id, node_id, score, cast(row_number() over (order by score desc, doc_id, start_index, node_id) as int) as rank from (select doc_id, node_id, round(raw, 6) as score, start_index from ranked join (select distinct cast(doc_id as varchar) as doc_id from documents where lang = 'en') using (doc_id) where k = 1) "
+    "qualify row_number() over (order by score desc, doc_id, start_index, node_id) <= 1"
+)
+def search_corpus(spark, sf_dir):
+    c = corpus.Corpus(V.catalog(spark, sf_dir), _index(spark, sf_dir))
+    asked = spark.createDataFrame([(0, PHRASED)], "qid int, query string")
+    s = corpus.search_corpus(c, asked, corpus.CorpusFilter(doc_type="en"), search.Request(top_k=1), composed=True)
+    return s.select("doc_id", "node_id", "score", "rank")
+
+
+@query("select n_regionkey as qid, n_name as node_id, cast(row_number() over (partition by n_regionkey order by case when n_nationkey % 3 = 0 then n_nationkey end desc nulls last, n_nationkey) as int) as new_rank from nation")
+def rerank_permutation(spark, sf_dir):
+    n = V.table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("qid"), F.col("n_nationkey").alias("rank"), F.col("n_name").alias("node_id"))
+    order = n.where("rank % 3 = 0").select("qid", (-F.col("rank")).alias("place"), "node_id")
+    order = order.unionByName(n.select("qid", F.lit(5).alias("place"), F.lit("unknown").alias("node_id")))
+    return clients.reranked(n, order).select("qid", "node_id", "new_rank")
