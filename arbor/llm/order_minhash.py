@@ -8,6 +8,7 @@ threshold leaves room for.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +22,12 @@ from arbor.llm.components import components
 SHINGLE = 5
 SIMILARITY = 0.8
 #: (shingles from which it holds, shingles in a sketch, sketches). At a similarity of 0.8 a pair meets in one of the
-#: sketches with a probability of over 0.999; at 0.33 with about 0.006 in the last row.
-LEVELS = ((0, 2, 10), (16, 4, 18), (64, 8, 40))
-#: Leaders of a bucket with which its open members are compared in a later round.
-LEADERS = 64
+#: sketches with a probability of over 0.999.
+LEVELS = ((0, 2, 10), (16, 4, 18))
+#: Buckets of up to so many members compare all of them; larger ones compare members with leaders.
+SMALL_BUCKET = 24
+#: A large bucket goes on to its next leader until so many in a row have won no member.
+PATIENCE = 2
 
 
 def labelled_shingles(hashes: np.ndarray, n: int = SHINGLE) -> np.ndarray:
@@ -55,15 +58,15 @@ def sketches(shingles: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray
     for level in _levels(len(shingles), similarity):
         _, size, times = LEVELS[level]
         size = min(size, len(shingles))
-        salt = seeds(times, 1000 * (level + 1))
-        for k in range(times):
-            drawn = (shingles ^ salt[k]) * np.uint64(0x9E3779B97F4A7C15)
-            drawn ^= drawn >> np.uint64(32)
-            drawn *= np.uint64(0xBF58476D1CE4E5B9)
-            at = np.argpartition(drawn, size - 1)[:size] if size < len(drawn) else np.arange(len(drawn))
-            at.sort()
-            out.append(rolling(shingles[at], size)[0] ^ salt[k])
-    return mixed(np.array(out, np.uint64))
+        factors = seeds(times, 1000 * (level + 1))
+        drawn = np.multiply.outer(factors, shingles)
+        at = np.argpartition(drawn, size - 1, axis=1)[:, :size] if size < len(shingles) else np.tile(np.arange(size), (times, 1))
+        kept = shingles[np.sort(at, axis=1)]
+        sketch = factors
+        for k in range(size):
+            sketch = sketch * np.uint64(0x9E3779B97F4A7C15) + kept[:, k]
+        out.append(sketch)
+    return mixed(np.concatenate(out))
 
 
 def signatures(documents: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -102,35 +105,37 @@ def _matched_runs(a: list, b: list, most: int) -> list[int] | None:
         return [head, tail] if x_end - head + y_end - head else [n]
     if abs(n - m) > most:
         return None
-    furthest = {1: head}
+    # furthest[most + 1 + k] is the furthest x on diagonal k; trace[d] holds those of step d, k = -d, -d + 2, ... d.
+    furthest, zero = [head] * (2 * most + 3), most + 1
     trace = []
     for d in range(most + 1):
-        now: dict[int, int] = {}
+        now = array("i")
         for k in range(-d, d + 1, 2):
-            x = furthest[k + 1] if k == -d or (k != d and furthest[k - 1] < furthest[k + 1]) else furthest[k - 1] + 1
+            low, high = furthest[zero + k - 1], furthest[zero + k + 1]
+            x = (high if k == -d or (k != d and low < high) else low + 1) if d else head
             y = x - k
             while x < x_end and y < y_end and a[x] == b[y]:
                 x += 1
                 y += 1
-            now[k] = x
+            now.append(x)
             if x >= x_end and y >= y_end:
                 trace.append(now)
-                return _runs_back(trace, k, x, head, tail)
+                return _runs_back(trace, k, x, tail)
+        furthest[zero - d : zero + d + 1 : 2] = now
         trace.append(now)
-        furthest = now
     return None
 
 
-def _runs_back(trace: list[dict[int, int]], k: int, x: int, head: int, tail: int) -> list[int]:
+def _runs_back(trace: list, k: int, x: int, tail: int) -> list[int]:
     """Follows the furthest-reaching points back to the start; each step's diagonal part is a matched run."""
     runs, run = [], tail
     for d in range(len(trace) - 1, 0, -1):
-        before = trace[d - 1]
-        down = k == -d or (k != d and before[k - 1] < before[k + 1])
-        x_start = before[k + 1] if down else before[k - 1] + 1
+        before, at = trace[d - 1], (k + d) // 2  # before[at] is diagonal k + 1, before[at - 1] is k - 1
+        down = k == -d or (k != d and before[at - 1] < before[at])
+        x_start = before[at] if down else before[at - 1] + 1
         runs.append(run + x - x_start)
         run = 0
-        k, x = (k + 1, before[k + 1]) if down else (k - 1, before[k - 1])
+        k, x = (k + 1, before[at]) if down else (k - 1, before[at - 1])
     runs.append(run + x)
     return runs
 
@@ -195,15 +200,15 @@ def _merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     return cut(old.unionByName(over.join(labels, "node", "left_anti")))
 
 
-def near_classes(documents: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, leaders: int = LEADERS) -> DataFrame:
+def near_classes(documents: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row for each row of ``documents``: doc_id and class_id, the lowest doc_id among its near-duplicates.
 
     Documents with the same words are copies; of each set of copies the lowest doc_id goes on. Documents whose texts keep a
     share of ``similarity`` of their runs of ``shingle`` words in an alignment are linked; classes are what links connect.
-    In a bucket members are first compared with the lowest one. Those that stay apart from it are compared in rounds with
-    leaders drawn from the whole bucket, until each has led or has joined a leader's class, so a group of n copies costs
-    about n comparisons and none is left out. Rows that share a doc_id are one document. A row without an id or without a
-    word is in no group: its class_id is its doc_id.
+    The members of a small bucket are all compared. In a large one they are compared with its most central member, which
+    shares most buckets with others and so is what copies were made from, if anything; those that stay apart from it take
+    the most central of themselves, and so on while leaders win members. So n copies cost about n comparisons. Rows that
+    share a doc_id are one document. A row without an id or without a word is in no group: its class_id is its doc_id.
     """
     signed_rows = cut(signatures(documents, shingle, similarity))
     first = signed_rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
@@ -211,33 +216,35 @@ def near_classes(documents: DataFrame, shingle: int = SHINGLE, similarity: float
     entries = signed_rows.join(first.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"]).select(
         F.explode("sketches").alias("key"), F.col("doc_id").alias("node")
     )
-    shared = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    shared = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "n")
     members = cut(entries.join(shared, "key").distinct())
     copy_edges = copies.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     labels = None
     if not members.isEmpty():
-        ids = members.select("node").distinct()
+        central = members.groupBy("node").agg(F.sum("n").alias("c"))
         source = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("node"), "text")
-        texts = cut(source.join(ids, "node", "left_semi"))
-        still, tested, turn = members, None, 0
+        texts = cut(source.join(central.select("node"), "node", "left_semi"))
+        small = members.where(F.col("n") <= SMALL_BUCKET).select("key", "node")
+        pairs = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
+        still = cut(members.where(F.col("n") > SMALL_BUCKET).select("key", "node").join(central, "node").select("key", "node", "c", F.lit(0).alias("missed")))
+        tested = None
         while True:
-            lead = still.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n"))
-            if turn:
-                drawn = members.join(lead.select("key"), "key", "left_semi")
-                size = drawn.groupBy("key").agg(F.count("*").alias("all"))
-                more = drawn.join(size, "key").where(F.pmod(F.xxhash64("key", "node", F.lit(turn)), F.col("all")) < leaders).select("key", F.col("node").alias("lead"))
-                lead = cut(lead.select("key", "lead").unionByName(more).distinct())
-            pairs = _labelled(_labelled(still.join(lead.select("key", "lead"), "key"), labels, "node", "ln"), labels, "lead", "ll")
-            pairs = pairs.where("ln != ll").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+            lead = still.groupBy("key").agg(F.min(F.struct((-F.col("c")).alias("c"), "node"))["node"].alias("lead"), F.count("*").alias("n"))
+            led = _labelled(_labelled(still.join(lead, "key"), labels, "node", "ln"), labels, "lead", "ll").where("ln != ll")
+            led = led.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
+            pairs = (pairs.unionByName(led) if tested is None else led).distinct()
             pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+            tested = pairs if tested is None else tested.unionByName(pairs)
             edges = cut(_verified(pairs, texts, shingle, similarity))
             if not edges.isEmpty():
                 labels = _merged(labels, edges)
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            # Open: members that are in the class of no leader of their bucket so far.
-            led = _labelled(lead.select("key", "lead"), labels, "lead", "label").select("key", "label").distinct()
-            still = cut(_labelled(still, labels, "node", "label").join(led, ["key", "label"], "left_anti").select("key", "node"))
-            turn += 1
+            # Open: members outside their leader's class. A bucket whose leader won nobody has missed once more.
+            apart = _labelled(_labelled(still.join(lead, "key"), labels, "node", "ln"), labels, "lead", "ll").where("ln != ll")
+            left = apart.groupBy("key").agg(F.count("*").alias("m"))
+            missed = F.when(F.col("m") == F.col("n") - 1, F.col("missed") + 1).otherwise(0)
+            still = cut(
+                apart.join(left.where("m > 1"), "key").select("key", "node", "c", missed.alias("missed")).where(F.col("missed") < PATIENCE)
+            )
             if still.isEmpty():
                 break
     # Copies share their representative's class; rows with the same doc_id join theirs.
