@@ -1,10 +1,12 @@
 """Registered queries against their SQL, on the smallest shared tables, and the entry points without the optional parts."""
 
 import glob
+import numbers
 import os
 import subprocess
 import sys
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -19,7 +21,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no shared table
 
 def rows_of(frame):
     cols = sorted(frame.columns)
-    plain = lambda v: None if pd.isna(v) else f"{float(v):.5f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    plain = lambda v: None if pd.isna(v) else f"{float(v):.5f}" if isinstance(v, numbers.Number) and not isinstance(v, (bool, np.bool_)) else str(v)
     return sorted(tuple(map(str, map(plain, r))) for r in frame[cols].itertuples(index=False))
 
 
