@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbor.functions.text import word_count
+
 
 class Client(Protocol):
     """Anything that answers a prompt with a text."""
@@ -100,6 +102,25 @@ def answered(prompts: DataFrame, make: Callable[[], Client], concurrency: int =
     return rows.mapInPandas(ask, "key string, prompt string, answer string")
 
 
+def summarised(nodes: DataFrame, make: Callable[[], Client], least: int = 200, concurrency: int = 2, per_minute: float = 12) -> DataFrame:
+    """``nodes`` (doc_id, node_id, is_leaf, text, ...) with summary for leaves and prefix_summary for inner nodes: the text
+    itself if it has fewer than ``least`` words, else what a model says of it."""
+    key = F.to_json(F.struct("doc_id", "node_id"))
+    long = word_count(F.col("text")) >= least
+    prompts = nodes.where(long).select(key.alias("key"), F.concat(F.lit("Summarise this section in a few sentences.\n"), F.col("text")).alias("prompt"))
+    said = answered(prompts, make, concurrency, per_minute).select("key", "answer")
+    out = nodes.drop("summary", "prefix_summary").withColumn("key", key).join(said, "key", "left").withColumn("_said", F.coalesce("answer", "text"))
+    return out.withColumns({"summary": F.when(F.col("is_leaf"), F.col("_said")), "prefix_summary": F.when(~F.col("is_leaf"), F.col("_said"))}).drop("key", "answer", "_said")
+
+
+def described(nodes: DataFrame, make: Callable[[], Client], concurrency: int = 2, per_minute: float = 12) -> DataFrame:
+    """doc_id and doc_description: a sentence by a model on each document's titles and summaries."""
+    line = F.concat_ws(": ", "title", F.coalesce("summary", "prefix_summary"))
+    whole = nodes.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_idx", line.alias("line")))), lambda x: x["line"]), "\n").alias("t"))
+    prompts = whole.select(F.col("doc_id").alias("key"), F.concat(F.lit("Describe this document in one sentence.\n"), F.col("t")).alias("prompt"))
+    return answered(prompts, make, concurrency, per_minute).select(F.col("key").alias("doc_id"), F.col("answer").alias("doc_description"))
+
+
 def reranked(results: DataFrame, order: DataFrame) -> DataFrame:
     """``results`` (qid, rank, node_id, ...) permuted by a model's ``order`` (qid, place, node_id): ids it names first, by
     their first place; unknown ids are passed over and unnamed results follow in their old order."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from arbor.operators import index as I
 from arbor.operators import search as S
 from arbor.operators import tree
+from arbor.operators.pages import page_tree
 from arbor.settings import Settings
 from arbor.sources import files
 
@@ -71,15 +72,21 @@ def _nodes(sections: DataFrame, first_id: int) -> DataFrame:
     return tree.with_summaries(nodes)
 
 
+def markdown_tree(markdown: DataFrame) -> DataFrame:
+    """Nodes of Markdown texts (doc_id, value)."""
+    return _nodes(tree.sections(tree.markdown_headings(tree.markdown_lines(markdown)), "line_no", "line"), 1)
+
+
+def word_tree(paragraphs: DataFrame) -> DataFrame:
+    """Nodes of Word paragraphs (doc_id, par_no, style, text, stem)."""
+    return _nodes(tree.paragraph_sections(paragraphs), 1)
+
+
 def directory_nodes(scanned: DataFrame, extract: files.Extractor | None = None) -> DataFrame:
-    """Nodes of scanned documents, all types together. PDF files become one node each here; heading splits are on pages."""
-    markdown = tree.sections(tree.markdown_headings(tree.markdown_lines(files.markdown_files(scanned))), "line_no", "line")
-    word = tree.paragraph_sections(files.word_paragraphs(scanned))
-    found = [I.complete(_nodes(markdown, 1)), I.complete(_nodes(word, 1))]
+    """Nodes of scanned documents, all types together."""
+    found = [I.complete(markdown_tree(files.markdown_files(scanned))), I.complete(word_tree(files.word_paragraphs(scanned)))]
     if extract is not None:
-        stems = scanned.where("doc_type = 'pdf'").select("doc_id", files.stem(F.col("path")).alias("stem"))
-        pages = files.pdf_pages(scanned, extract)
-        found.append(I.complete(tree.linked_nodes(tree.whole_file_nodes(pages, stems))))
+        found.append(I.complete(page_tree(files.pdf_pages(scanned, extract))))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

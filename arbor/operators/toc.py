@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbor.functions.text import SPACE
+from arbor.operators.lineage import cut
 from arbor.operators.tree import in_document
 from arbor.settings import HEADING_PATTERNS
 
@@ -321,20 +322,22 @@ def physical_number(value: Column) -> Column:
 def recursive_split(nodes: DataFrame, pages: DataFrame, most_depth: int = 3, least_pages: int = 4, least_tokens: int = 2000, patterns: Iterable[str] = HEADING_PATTERNS) -> DataFrame:
     """Large leaves split at the headings in their pages, down to ``most_depth`` levels, in as many rounds.
 
-    ``nodes``: doc_id, path (the titles above and the own one, as a key), title, start_index, end_index, level. Returns all
-    nodes, old and new. In a round a leaf's pages are looked through as a document of its own.
+    ``nodes``: doc_id, key, title, start_index, end_index. ``key`` is an array of numbers; a child's is its parent's and
+    its rank. Returns the new nodes only. In a round a leaf's pages are looked through as a document of its own.
     """
     pages = pages.select("doc_id", "page_no", "text", "token_count")
-    done, open_nodes = nodes, nodes
-    for level in range(1, most_depth):
-        keyed = open_nodes.select(F.col("doc_id").alias("_doc"), F.to_json(F.struct("doc_id", "path")).alias("doc_id"), "path", "title", "start_index", "end_index")
+    nodes = nodes.select("doc_id", "key", "title", "start_index", "end_index")
+    done, open_nodes = nodes.where("false"), nodes
+    for _ in range(1, most_depth):
+        keyed = open_nodes.select(F.col("doc_id").alias("_doc"), F.to_json(F.struct("doc_id", "key")).alias("doc_id"), "key", "title", "start_index", "end_index")
         own = keyed.join(pages.withColumnRenamed("doc_id", "_doc"), "_doc").where("page_no between start_index and end_index")
         size = own.groupBy("doc_id").agg(F.sum("token_count").alias("_tokens"))
         large = keyed.join(size, "doc_id").where((F.col("end_index") - F.col("start_index") + 1 >= least_pages) | (F.col("_tokens") >= least_tokens))
         parents = large.select("doc_id", F.col("title").alias("parent_title"), "end_index")
         found = heading_candidates(own.join(large.select("doc_id"), "doc_id", "left_semi").select("doc_id", "page_no", "text"), parents.select("doc_id", "parent_title"), patterns)
-        new = children_of(found, parents).join(large.select("doc_id", "_doc", F.col("path").alias("_path")), "doc_id")
-        new = new.select(F.col("_doc").alias("doc_id"), F.concat("_path", F.array("title")).alias("path"), "title", "start_index", "end_index", F.lit(level + 1).alias("level"))
+        new = children_of(found, parents).join(large.select("doc_id", "_doc", F.col("key").alias("_key")), "doc_id")
+        new = new.select(F.col("_doc").alias("doc_id"), F.concat("_key", F.array("rank")).alias("key"), "title", "start_index", "end_index")
+        new = cut(new)
         if new.isEmpty():
             break
         done, open_nodes = done.unionByName(new), new

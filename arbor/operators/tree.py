@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbor.functions import text as T
+from arbor.operators.lineage import cut
 
 #: The highest heading level looked at.
 LEVELS = 9
@@ -156,7 +157,7 @@ def numbered(rows: DataFrame, first: int = 0) -> DataFrame:
 def linked_nodes(rows: DataFrame, most_depth: int = 64) -> DataFrame:
     """Nodes from rows (doc_id, pos, parent_pos, node_id, title and others): node_idx, depth, parent_id, ancestor_ids,
     path_titles, child_ids, is_leaf. One join for each level of depth; documents of all sizes go through the same joins."""
-    base = rows.withColumn("node_idx", F.row_number().over(in_document("pos")) - 1)
+    base = cut(rows).withColumn("node_idx", F.row_number().over(in_document("pos")) - 1)
     name = F.when(F.coalesce("title", F.lit("")) != "", F.array("title")).otherwise(F.array().cast("array<string>"))
     level = base.where("parent_pos is null").select("doc_id", "pos", F.lit(1).alias("depth"), F.lit(None).cast("string").alias("parent_id"), F.array().cast("array<string>").alias("ancestor_ids"), name.alias("path_titles"), F.col("node_id").alias("_own"))
     found = level
@@ -165,6 +166,7 @@ def linked_nodes(rows: DataFrame, most_depth: int = 64) -> DataFrame:
         level = edges.join(level, ["doc_id", "pos"]).select(
             "doc_id", F.col("child_pos").alias("pos"), (F.col("depth") + 1).alias("depth"), F.col("_own").alias("parent_id"), F.concat("ancestor_ids", F.array("_own")).alias("ancestor_ids"), F.concat("path_titles", "child_name").alias("path_titles"), F.col("child_id").alias("_own")
         )
+        level = cut(level)
         if level.isEmpty():
             break
         found = found.unionByName(level)

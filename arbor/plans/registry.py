@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arbor import clients
 from arbor.functions import text as T
-from arbor.operators import corpus, index, search, toc, tree
+from arbor.operators import corpus, index, pages, search, toc, tree
 from arbor.plans import views as V
 from arbor.settings import Settings
 from arbor.sources import files
@@ -316,6 +316,15 @@ def heading_children(spark, sf_dir):
     return toc.children_of(toc.heading_candidates(p, parents.select("doc_id", "parent_title")), parents)
 
 
+@query()
+def page_tree(spark, sf_dir):
+    """Trees of documents as pages that begin with a numbered heading, split there where they are long."""
+    p = V.paged(spark, sf_dir)
+    named = F.concat(F.lit("1."), F.col("page_no").cast("string"), F.lit(" "), F.regexp_replace(V.first_words(F.col("text"), 3), "[.,;:?!]$", ""), F.lit("\n"), F.col("text"))
+    n = pages.page_tree(p.withColumn("text", named))
+    return n.select("doc_id", "node_idx", "node_id", "title", "start_index", "end_index", "depth", "parent_id", "is_leaf")
+
+
 @query()
 def page_groups(spark, sf_dir):
     return toc.grouped_pages(V.paged(spark, sf_dir), 300).select("doc_id", "part", F.length("text").alias("n_chars"))

@@ -29,7 +29,7 @@ def folder(tmp_path_factory):
     (d / "Guide One.md").write_text("# Retrieval\nhow retrieval works\n## Scoring\nranking with weights")
     (d / "sub").mkdir()
     (d / "sub" / "notes.docx").write_bytes(docx([("H1", "Budget"), ("N", ""), ("N", "retrieval of money")]))
-    (d / "sub" / "paper.pdf").write_bytes(b"first page on retrieval\fsecond page")
+    (d / "sub" / "paper.pdf").write_bytes(b"first page on retrieval\n\fsecond page")
     (d / "draft.md").write_text("# Draft\nretrieval draft")
     (d / "skip.txt").write_text("retrieval")
     return str(d)
@@ -132,6 +132,16 @@ def test_clients(spark):
     assert [r.node_id for r in clients.reranked(results, order).orderBy("new_rank").collect()] == ["n3", "n1", "n2", "n4"]
 
 
+def test_summaries_and_descriptions(spark):
+    rows = [("d", 0, "0000", "A", False, "word " * 300), ("d", 1, "0001", "B", True, "short text")]
+    nodes = spark.createDataFrame(rows, "doc_id string, node_idx int, node_id string, title string, is_leaf boolean, text string")
+    make = lambda: clients.Recorded(lambda p: f"said {len(p.splitlines())}")
+    out = clients.summarised(nodes, make, per_minute=1000)
+    got = {r.node_id: (r.summary, r.prefix_summary) for r in out.collect()}
+    assert got == {"0000": (None, "said 2"), "0001": ("short text", None)}
+    assert clients.described(out, make, per_minute=1000).first().doc_description == "said 3"
+
+
 def test_json_tree_as_document(spark, tmp_path):
     (tmp_path / "rep_structure.json").write_text(json.dumps({"structure": [{"title": "Money", "start_index": 1, "end_index": 3, "summary": "about money"}]}))
     ix = service.build_document(spark, str(tmp_path / "rep_structure.json"))

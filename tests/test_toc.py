@@ -67,10 +67,10 @@ def test_heading_lines(spark):
 
 def test_split_without_a_model(spark):
     pages = spark.createDataFrame([("d", k, f"1.{k} Heading number {k}\nsome text that goes on and on.", 100) for k in range(1, 5)], "doc_id string, page_no int, text string, token_count int")
-    nodes = spark.createDataFrame([("d", ["Whole"], "Whole", 1, 4, 1)], "doc_id string, path array<string>, title string, start_index int, end_index int, level int")
-    got = toc.recursive_split(nodes, pages).orderBy("level", "start_index").collect()
-    assert [(r.title, r.start_index, r.end_index) for r in got[1:]] == [(f"1.{k} Heading number {k}", k, k) for k in range(1, 5)]
-    assert got[1].path == ["Whole", "1.1 Heading number 1"]
+    nodes = spark.createDataFrame([("d", [7], "Whole", 1, 4)], "doc_id string, key array<int>, title string, start_index int, end_index int")
+    got = toc.recursive_split(nodes, pages).orderBy("key").collect()
+    assert [(r.title, r.start_index, r.end_index) for r in got] == [(f"1.{k} Heading number {k}", k, k) for k in range(1, 5)]
+    assert got[0].key == [7, 1]
 
 
 def test_candidates_skip_a_title_kept_on_the_page_before(spark):
@@ -86,3 +86,18 @@ def test_groups_of_pages():
     assert toc.page_groups(pages, 100) == ["ab", "bc", "cd", "de", "ef"]
     assert toc.toc_chunks(["x" * 10] * 50, 24, 3500) == ["\n".join(["x" * 10] * 24)] * 2 + ["\n".join(["x" * 10] * 2)]
     assert toc.toc_chunks(["y" * 2000] * 3, 24, 3500) == ["y" * 2000] * 3
+
+
+def test_trees_of_pages(spark):
+    from arbor.operators.pages import page_tree
+
+    body = ["Introduction\nwords", "more", "Methods\nwords", "Data sources\nwords", "tail", "Results\nwords", "end"]
+    contents = "Table of Contents\n1 Introduction ..... 1\n2 Methods ..... 3\n2.1 Data sources .... 4\n3 Results ..... 6"
+    texts = [contents.replace(".....", " ").replace("....", " ").replace("..", " "), *body]
+    rows = [("toc", k, t, len(t.split())) for k, t in enumerate(texts, 1)] + [("plain", k, "nothing here to see, really.", 5) for k in (1, 2)]
+    pages = spark.createDataFrame(rows, "doc_id string, page_no int, text string, token_count int")
+    got = page_tree(pages).orderBy("doc_id", "node_idx").collect()
+    toc_nodes = [(r.title, r.start_index, r.end_index, r.parent_id, r.is_leaf) for r in got if r.doc_id == "toc"]
+    assert toc_nodes == [("Preface", 1, 1, None, True), ("Introduction", 2, 3, None, True), ("Methods", 4, 4, None, False), ("Data sources", 5, 6, "0002", True), ("Results", 7, 8, None, True)]
+    (root,) = [r for r in got if r.doc_id == "plain"]
+    assert (root.title, root.start_index, root.end_index) == ("plain", 1, 2) and root.text.startswith("nothing")
