@@ -204,3 +204,22 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = WIN
         return documents.where(~dirty(indexes[0], F.col("text")))
     found = [documents.where(dirty(index, F.col("text"))).select("text") for index in indexes]
     return documents.join(reduce(DataFrame.unionByName, found).distinct(), "text", "left_anti").select(*documents.columns)
+
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL = f"""
+with d as (select doc_id, coalesce({_WORDS}, []) as w from documents),
+i as (select cast(item_id as varchar) as id, {_WORDS} as w from benchmark where text is not null),
+windows as (
+  select distinct id, n, array_to_string(w[k:k + n - 1], ' ') as s
+  from (select id, w, least(10, len(w)) as n, unnest(range(1, greatest(1, len(w) - 9) + 1)) as k from i where len(w) > 0)
+), places as (
+  select doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') as s
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as k from d, (select distinct n from windows) where len(w) >= n)
+), hits as (select doc_id, k, n, id from places join windows using (n, s)),
+covered as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(k, k + n)) as p from hits) group by doc_id),
+found as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, id from hits) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+from d left join covered using (doc_id) left join found using (doc_id)
+"""

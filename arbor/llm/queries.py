@@ -60,4 +60,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op5_chat_format": chat.ORACLE_SQL}
+    return {"op3_decontaminate": decontaminate.ORACLE_SQL, "op5_chat_format": chat.ORACLE_SQL}
