@@ -211,13 +211,14 @@ def near_classes(documents: DataFrame, shingle: int = SHINGLE, similarity: float
     share a doc_id are one document. A row without an id or without a word is in no group: its class_id is its doc_id.
     """
     signed_rows = cut(signatures(documents, shingle, similarity))
-    first = signed_rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    # Aggregates are cut before they are joined back, so that a hot key's rows meet a plain table and can be split.
+    first = cut(signed_rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))
     copies = signed_rows.select("doc_id", "h1", "h2").join(first, ["h1", "h2"]).select("doc_id", "rep")
     entries = signed_rows.join(first.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"]).select(
         F.explode("sketches").alias("key"), F.col("doc_id").alias("node")
     )
     shared = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "n")
-    members = cut(entries.join(shared, "key").distinct())
+    members = cut(entries.join(cut(shared), "key"))
     copy_edges = copies.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     labels = None
     if not members.isEmpty():
@@ -229,7 +230,7 @@ def near_classes(documents: DataFrame, shingle: int = SHINGLE, similarity: float
         still = cut(members.where(F.col("n") > SMALL_BUCKET).select("key", "node").join(central, "node").select("key", "node", "c", F.lit(0).alias("missed")))
         tested = None
         while True:
-            lead = still.groupBy("key").agg(F.min(F.struct((-F.col("c")).alias("c"), "node"))["node"].alias("lead"), F.count("*").alias("n"))
+            lead = cut(still.groupBy("key").agg(F.min(F.struct((-F.col("c")).alias("c"), "node"))["node"].alias("lead"), F.count("*").alias("n")))
             led = _labelled(_labelled(still.join(lead, "key"), labels, "node", "ln"), labels, "lead", "ll").where("ln != ll")
             led = led.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
             pairs = (pairs.unionByName(led) if tested is None else led).distinct()
@@ -239,11 +240,11 @@ def near_classes(documents: DataFrame, shingle: int = SHINGLE, similarity: float
             if not edges.isEmpty():
                 labels = _merged(labels, edges)
             # Open: members outside their leader's class. A bucket whose leader won nobody has missed once more.
-            apart = _labelled(_labelled(still.join(lead, "key"), labels, "node", "ln"), labels, "lead", "ll").where("ln != ll")
-            left = apart.groupBy("key").agg(F.count("*").alias("m"))
+            apart = cut(_labelled(_labelled(still.join(lead, "key"), labels, "node", "ln"), labels, "lead", "ll").where("ln != ll"))
+            left = cut(apart.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
             missed = F.when(F.col("m") == F.col("n") - 1, F.col("missed") + 1).otherwise(0)
             still = cut(
-                apart.join(left.where("m > 1"), "key").select("key", "node", "c", missed.alias("missed")).where(F.col("missed") < PATIENCE)
+                apart.join(left, "key").select("key", "node", "c", missed.alias("missed")).where(F.col("missed") < PATIENCE)
             )
             if still.isEmpty():
                 break
