@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbor.llm.common import rolling, signed, words
+from arbor.llm.common import cut, rolling, signed, words
 
 #: Sentences of a span, and the fewest words a span needs: shorter ones recur by chance.
 SENTENCES = 3
@@ -95,7 +95,8 @@ def repeated_spans(documents: DataFrame, n: int = SENTENCES, least: int = LEAST_
     """doc_id and the hashes of its spans whose first holder is another document, with the lowest doc_id."""
     spans = span_hashes(documents, n, least)
     first = spans.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
-    return spans.join(first, "h").where("doc_id > first").groupBy("doc_id").agg(F.collect_list("h").alias("spans"))
+    # Cut, so that the rows of a hot span meet a plain table and can be split.
+    return spans.join(cut(first), "h").where("doc_id > first").groupBy("doc_id").agg(F.collect_list("h").alias("spans"))
 
 
 def _removal(n: int, least: int):
