@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -15,12 +16,14 @@ from arbor.llm.common import cut, rolling, signed, words
 #: Sentences of a span, and the fewest words a span needs: shorter ones recur by chance.
 SENTENCES = 3
 LEAST_WORDS = 12
-#: A sentence of more words is taken as several, cut at its commas and the like or else after so many words.
+#: A sentence of more words is taken as several, cut at its commas and the like, or else after words whose hash a number
+#: divides: where a passage without any stop is cut doesn't depend on what stands before it.
 LONGEST = 24
+CHUNK = 8
 
 _END = re.compile(r"[.!?\n。！？]\s+|\n")
 _CLAUSE = re.compile(r"[,;:|]\s+")
-_SPACE = re.compile(r"\s+")
+_WORD = re.compile(r"(\S+)\s*")
 
 
 def _cuts(pattern: re.Pattern, text: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -38,7 +41,8 @@ def sentences(text: str, longest: int = LONGEST) -> list[tuple[int, int]]:
     """(start, end) of each sentence with the white space after it; together they are the whole text.
 
     A sentence ends at a full stop, question or exclamation mark before white space, or at a line's end. One of more than
-    ``longest`` words is cut at commas, colons, semicolons and bars, and what is still longer after ``longest`` words.
+    ``longest`` words is cut at commas, colons, semicolons and bars, and what is still longer after about every eighth word,
+    as the words themselves decide.
     """
     out = []
     for start, end in _cuts(_END, text, 0, len(text)):
@@ -49,8 +53,12 @@ def sentences(text: str, longest: int = LONGEST) -> list[tuple[int, int]]:
             if text.count(" ", a, b) < longest:
                 out.append((a, b))
                 continue
-            gaps = [m.end() for m in _SPACE.finditer(text, a, b)][longest - 1 :: longest]
-            out += [(x, y) for x, y in zip([a, *gaps], [*gaps, b]) if x < y]
+            at = a
+            for m in _WORD.finditer(text, a, b):
+                if crc32(text[m.start(1) : m.end(1)].lower().encode("utf-8", "surrogatepass")) % CHUNK == 0 and m.end() < b:
+                    out.append((at, m.end()))
+                    at = m.end()
+            out.append((at, b))
     return out
 
 

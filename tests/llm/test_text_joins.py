@@ -157,3 +157,14 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 200), (200, 300), (7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 200: 100, 300: 100}
+
+
+def test_a_passage_without_stops_is_found_wherever_it_stands(spark):
+    import random
+
+    r = random.Random(1)
+    some = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(n))
+    passage = some(80)
+    rows = [(1, f"{some(31)} {passage} {some(40)}"), (2, f"{some(44)} {passage} {some(20)}")]
+    got = {x.doc_id: x for x in spans.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_removed == 0 and len(got[2].text.split()) < 44 + 20 + 40
