@@ -24,8 +24,9 @@ END = 2
 #: Lengths of up to this share of the capacity are small: they fill what the configurations leave.
 SMALL = 0.12
 GROUPS = 64
-#: A bin made by a configuration stands if at most this share of it is left once documents have taken the places.
-SLACK = 0.002
+#: A bin made by a configuration stands if at most this share of it is left once documents have taken the places. The plan
+#: is made for each of these, and the one with the fewest bins is taken.
+SLACKS = (0.0, 0.002, 0.01, 0.03)
 
 _SPECIAL = ("<|endoftext|>", 50256)
 #: Beyond these characters the two libraries may know different versions of Unicode.
@@ -146,7 +147,7 @@ def _grouped(counts: dict[int, int], groups: int) -> list[list[int]]:
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, small: float = SMALL, groups: int = GROUPS, slack: float = SLACK) -> list[tuple[tuple[int, ...], int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, small: float = SMALL, groups: int = GROUPS, slacks: tuple[float, ...] = SLACKS) -> list[tuple[tuple[int, ...], int]]:
     """Bins as (lengths in a bin, number of such bins): every piece of ``histogram`` (length to count) is in one bin.
 
     Full pieces are bins of their own. Large lengths are rounded up within groups of equal cardinality and configurations
@@ -155,44 +156,51 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, small: float = SMA
     stays empty, its pieces go with those that the whole parts leave over and the small ones: placed longest first, each
     where the least room is left that holds it, in counts of equal bins at a time.
     """
-    left = {length: n for length, n in histogram.items() if n > 0}
-    bins: dict[tuple[int, ...], int] = defaultdict(int)
-    if left.get(capacity):
-        bins[(capacity,)] = left.pop(capacity)
-    large = {length: n for length, n in left.items() if length > small * capacity}
+    pieces = {length: n for length, n in histogram.items() if n > 0}
+    large = {length: n for length, n in pieces.items() if small * capacity < length < capacity}
+    grouped = _grouped(large, groups) if large else []
+    sizes = np.array([max(g) for g in grouped], int)
+    chosen: list[tuple[np.ndarray, int]] = []
     if large:
-        grouped = _grouped(large, groups)
-        sizes = np.array([max(g) for g in grouped])
         demand = np.array([float(sum(large[x] for x in g)) for g in grouped])
-        chosen = [(c, int(t + 1e-9)) for c, t in _configurations(sizes, demand, capacity)]
-        group_of = {x: g for g, own in enumerate(grouped) for x in own}
-        longest = [sorted(g) for g in grouped]
-        stock = sorted(large)
         # The fullest configurations choose first.
-        for config, times in sorted(chosen, key=lambda x: -int(x[0] @ sizes)):
-            wanted = [int(g) for g in np.flatnonzero(config)[::-1] for _ in range(config[g])]
-            while times > 0:
-                taken: dict[int, int] = defaultdict(int)
-                for k, g in enumerate(wanted):
-                    room = capacity - sum(x * c for x, c in taken.items())
-                    own = stock if k == len(wanted) - 1 else longest[g]
-                    at = bisect_right(own, room) - 1
-                    while at >= 0 and left[own[at]] <= taken[own[at]]:
-                        at -= 1
-                    if at < 0:
-                        break
-                    taken[own[at]] += 1
-                lengths = tuple(sorted((x for x, c in taken.items() for _ in range(c)), reverse=True))
-                if len(lengths) < len(wanted) or capacity - sum(lengths) > slack * capacity:
+        chosen = sorted(((c, int(t + 1e-9)) for c, t in _configurations(sizes, demand, capacity)), key=lambda x: -int(x[0] @ sizes))
+    plans = [_substituted(dict(pieces), grouped, chosen, capacity, slack) for slack in (slacks if large else slacks[:1])]
+    return min(plans, key=lambda bins: sum(n for _, n in bins))
+
+
+def _substituted(left: dict[int, int], grouped: list[list[int]], chosen: list[tuple[np.ndarray, int]], capacity: int, slack: float) -> list[tuple[tuple[int, ...], int]]:
+    """Full pieces as bins, then documents in the places of configurations, then the rest by best fit."""
+    bins: dict[tuple[int, ...], int] = defaultdict(int)
+    if left.get(capacity):
+        bins[(capacity,)] = left.pop(capacity)
+    group_of = {x: g for g, own in enumerate(grouped) for x in own}
+    longest = [sorted(g) for g in grouped]
+    stock = sorted(group_of)
+    for config, times in chosen:
+        wanted = [int(g) for g in np.flatnonzero(config)[::-1] for _ in range(config[g])]
+        while times > 0:
+            taken: dict[int, int] = defaultdict(int)
+            for k, g in enumerate(wanted):
+                room = capacity - sum(x * c for x, c in taken.items())
+                own = stock if k == len(wanted) - 1 else longest[g]
+                at = bisect_right(own, room) - 1
+                while at >= 0 and left[own[at]] <= taken[own[at]]:
+                    at -= 1
+                if at < 0:
                     break
-                n = min([times, *(left[x] // c for x, c in taken.items())])
-                bins[lengths] += n
-                times -= n
-                for x, c in taken.items():
-                    left[x] -= n * c
-                    if left[x] == 0:
-                        longest[group_of[x]].remove(x)
-                        stock.remove(x)
+                taken[own[at]] += 1
+            lengths = tuple(sorted((x for x, c in taken.items() for _ in range(c)), reverse=True))
+            if len(lengths) < len(wanted) or capacity - sum(lengths) > slack * capacity:
+                break
+            n = min([times, *(left[x] // c for x, c in taken.items())])
+            bins[lengths] += n
+            times -= n
+            for x, c in taken.items():
+                left[x] -= n * c
+                if left[x] == 0:
+                    longest[group_of[x]].remove(x)
+                    stock.remove(x)
     return _best_fit(bins, left, capacity)
 
 
