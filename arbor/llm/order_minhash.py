@@ -26,7 +26,7 @@ SIMILARITY = 0.8
 LEVELS = ((0, 2, 10), (16, 4, 18))
 #: Buckets of up to so many members compare all of them; larger ones compare members with leaders.
 SMALL_BUCKET = 24
-#: A large bucket goes on to its next leader until so many in a row have won no member.
+#: A large bucket goes on to its next leader until so many in a row have won no member; what is left is joined exactly.
 PATIENCE = 2
 
 
@@ -200,6 +200,45 @@ def _merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     return cut(old.unionByName(over.join(labels, "node", "left_anti")))
 
 
+def _rest(members: DataFrame, labels: DataFrame | None, texts: DataFrame, shingle: int, similarity: float) -> DataFrame | None:
+    """Pairs (a, b) of different classes among the members of large buckets that aren't of one class; no similar pair is left
+    out. None if there is no such bucket.
+
+    A prefix-filtered join: two similar documents share all but few of their shingles, so in any common order of shingles
+    they share one of the first of each. The order is by how many of these documents hold a shingle; those that only one
+    class holds come first and join nothing.
+    """
+    large = _labelled(members.where(F.col("n") > SMALL_BUCKET).select("key", "node"), labels, "node", "l")
+    large = cut(large)
+    mixed_keys = large.groupBy("key").agg(F.min("l").alias("low"), F.max("l").alias("high")).where("low < high").select("key")
+    nodes = cut(large.join(mixed_keys, "key", "left_semi").select("node", "l").distinct())
+    if nodes.isEmpty():
+        return None
+
+    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = WordHashes()
+        for batch in batches:
+            for node, label, text in zip(batch["node"], batch["l"], batch["text"]):
+                ws = words(text)
+                if len(ws) >= shingle:
+                    own = np.unique(labelled_shingles(cache.of(ws), shingle))
+                    yield pd.DataFrame({"h": signed(own), "node": node, "l": label, "size": len(own)})
+
+    held = texts.join(nodes, "node").select("node", "l", "text").mapInPandas(explode, "h long, node long, l long, size long")
+    shared = held.groupBy("h").agg(F.count("*").alias("f"), F.min("l").alias("low"), F.max("l").alias("high")).where("low < high")
+    ranked = held.join(cut(shared.select("h", "f")), "h").groupBy("node", "l", "size").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("hs"))
+    first = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1 - (F.col("size") - F.size("hs"))
+    prefix = cut(ranked.where(first > 0).select(F.explode(F.slice("hs", F.lit(1), first.cast("int"))["h"]).alias("h"), "node", "l", "size"))
+    # A shingle's most frequent class meets only the others, so a large class isn't joined with itself.
+    most = prefix.groupBy("h", "l").count().groupBy("h").agg(F.max(F.struct("count", "l"))["l"].alias("most"), F.count("*").alias("classes"))
+    prefix = cut(prefix.join(cut(most.where("classes > 1").select("h", "most")), "h"))
+    one = prefix.where("l != most").select("h", F.col("node").alias("x"), F.col("l").alias("lx"), F.col("size").alias("sx"))
+    two = prefix.select("h", F.col("node").alias("y"), F.col("l").alias("ly"), F.col("size").alias("sy"), (F.col("l") == F.col("most")).alias("top"))
+    near = F.least("sx", "sy") >= similarity * F.greatest("sx", "sy") - 1e-9
+    met = one.join(two, "h").where(F.col("lx") != F.col("ly")).where(F.col("top") | (F.col("x") < F.col("y"))).where(near)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_classes(documents: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row for each row of ``documents``: doc_id and class_id, the lowest doc_id among its near-duplicates.
 
@@ -207,8 +246,9 @@ def near_classes(documents: DataFrame, shingle: int = SHINGLE, similarity: float
     share of ``similarity`` of their runs of ``shingle`` words in an alignment are linked; classes are what links connect.
     The members of a small bucket are all compared. In a large one they are compared with its most central member, which
     shares most buckets with others and so is what copies were made from, if anything; those that stay apart from it take
-    the most central of themselves, and so on while leaders win members. So n copies cost about n comparisons. Rows that
-    share a doc_id are one document. A row without an id or without a word is in no group: its class_id is its doc_id.
+    the most central of themselves, and so on while leaders win members. So n copies cost about n comparisons. Members of
+    large buckets that are then of more than one class, joined ones too, meet in an exact join that leaves out only pairs
+    that can't be similar. Rows that share a doc_id are one document. A row without an id or without a word is in no group: its class_id is its doc_id.
     """
     signed_rows = cut(signatures(documents, shingle, similarity))
     # Aggregates are cut before they are joined back, so that a hot key's rows meet a plain table and can be split.
@@ -248,6 +288,11 @@ def near_classes(documents: DataFrame, shingle: int = SHINGLE, similarity: float
             )
             if still.isEmpty():
                 break
+        pairs = _rest(members, labels, texts, shingle, similarity)
+        if pairs is not None:
+            edges = cut(_verified(cut(pairs.join(tested, ["a", "b"], "left_anti")), texts, shingle, similarity))
+            if not edges.isEmpty():
+                labels = _merged(labels, edges)
     # Copies share their representative's class; rows with the same doc_id join theirs.
     extra = copies.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     if not extra.isEmpty():

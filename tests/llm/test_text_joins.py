@@ -168,3 +168,21 @@ def test_a_passage_without_stops_is_found_wherever_it_stands(spark):
     rows = [(1, f"{some(31)} {passage} {some(40)}"), (2, f"{some(44)} {passage} {some(20)}")]
     got = {x.doc_id: x for x in spans.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].n_removed == 0 and len(got[2].text.split()) < 44 + 20 + 40
+
+
+def test_near_pairs_in_a_bucket_whose_leaders_win_nobody(spark):
+    import random
+
+    r = random.Random(3)
+    some = lambda k, n: [f"{k}x{r.randrange(10**6)}" for _ in range(n)]
+    notice, rows = some("n", 176), []
+    for k in range(12):
+        own = some(f"p{k}", 5)
+        rows += [notice + own + some(f"a{k}", 19), notice + own + some(f"b{k}", 19)]
+    rows += [notice + some(f"s{k}", 24) for k in range(40)]
+    want = {k: k - k % 2 if k < 24 else k for k in range(len(rows))}
+    for a in range(len(rows)):
+        for b in range(a):
+            assert (order_minhash.similarity_of(rows[a], rows[b]) > 0) == (want[a] == want[b])
+    d = spark.createDataFrame([(k, " ".join(ws)) for k, ws in enumerate(rows)], "doc_id long, text string")
+    assert {x.doc_id: x.class_id for x in order_minhash.near_classes(d).collect()} == want
