@@ -4,92 +4,125 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbor.llm.common import cut, rolling, signed, words
+from arbor.llm.common import WordHashes, cut, mixed, rolling, seeds, signed, words
 
 #: Sentences of a span, and the fewest words a span needs: shorter ones recur by chance.
 SENTENCES = 3
 LEAST_WORDS = 12
-#: A sentence of more words is taken as several, cut at its commas and the like, or else after words whose hash a number
-#: divides: where a passage without any stop is cut doesn't depend on what stands before it.
-LONGEST = 24
-CHUNK = 8
+#: The fewest words of a sentence, so that any three are a span. None has over 2 * SHORTEST - 1, so that any 27 words of a
+#: text hold three whole ones.
+SHORTEST = 4
+#: Words cut at a time, about.
+AT_ONCE = 200_000
 
-_END = re.compile(r"[.!?\n。！？]\s+|\n")
-_CLAUSE = re.compile(r"[,;:|]\s+")
-_WORD = re.compile(r"(\S+)\s*")
+_WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
+_PLACE = seeds(2 * SHORTEST, 8000)
 
 
-def _cuts(pattern: re.Pattern, text: str, start: int, end: int) -> list[tuple[int, int]]:
-    out, at = [], start
-    for m in pattern.finditer(text, start, end):
-        if m.end() > at:
-            out.append((at, m.end()))
-            at = m.end()
-    if at < end:
-        out.append((at, end))
-    return out
+def _starts(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Where sentences start in the words of texts laid end to end; ``lengths`` are the texts' numbers of words, over 0.
 
+    Words that may start one are taken by the hash of the word and the one before, the least first, as far as those taken
+    stay ``SHORTEST`` apart from each other and from the text's ends. As long as any is left that may, it is taken, so no
+    sentence has ``2 * SHORTEST`` words. The choice depends on the words near by, not on where the text begins.
+    """
+    none = np.uint64(2**64 - 1)
+    ends = np.cumsum(lengths)
+    first = ends - lengths
+    rank = np.full(len(hashes), none)
+    rank[1:] = np.minimum(mixed(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]), none - np.uint64(1))
+    for k in range(SHORTEST):
+        rank[np.minimum(first + k, ends - 1)] = none
+    for k in range(1, SHORTEST):
+        rank[np.maximum(ends - k, first)] = none
+    taken = np.zeros(len(hashes), bool)
+    taken[first] = True
+    for _ in range(5):
+        best = rank < none
+        for k in range(1, SHORTEST):
+            best[k:] &= rank[k:] < rank[:-k]
+            best[:-k] &= rank[:-k] <= rank[k:]
+        at = np.flatnonzero(best)
+        if len(at) == 0:
+            break
+        taken[at] = True
+        for k in range(1 - SHORTEST, SHORTEST):
+            rank[at + k] = none
+    # What a few rounds leave, such as long runs of one word, one by one in the same order.
+    left = np.flatnonzero(rank < none)
+    for i in left[np.argsort(rank[left], kind="stable")].tolist():
+        if rank[i] < none:
+            taken[i] = True
+            rank[i - SHORTEST + 1 : i + SHORTEST] = none
+    return np.flatnonzero(taken)
+
+
+def _cut_words(texts: list[list[bytes]], cache: WordHashes) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """For each text, given as words: the words that start its sentences, the sentences' hashes, its number of words."""
+    at = 0
+    while at < len(texts):
+        some, size = [], 0
+        while at < len(texts) and (not some or size < AT_ONCE):
+            some.append(texts[at])
+            size += len(texts[at])
+            at += 1
+        lengths = np.array([len(ws) for ws in some], np.int64)
+        if size:
+            hashes = np.concatenate([cache.of(ws) for ws in some])
+            starts = _starts(hashes, lengths[lengths > 0])
+            place = np.arange(size) - np.repeat(starts, np.diff(np.append(starts, size)))
+            own = mixed(np.add.reduceat(mixed(hashes * _PLACE[place]), starts))
+        else:
+            starts, own = np.empty(0, np.int64), np.empty(0, np.uint64)
+        ends = np.cumsum(lengths)
+        lows, highs = np.searchsorted(starts, ends - lengths), np.searchsorted(starts, ends)
+        for low, high, first, n in zip(lows.tolist(), highs.tolist(), (ends - lengths).tolist(), lengths.tolist()):
+            yield starts[low:high] - first, own[low:high], n
+
+
+def _places(text: str, starts: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) in the text of the sentences that start at these words."""
+    at = [m.start() for m in _WORD.finditer(text)]
+    edges = [0, *[at[k] for k in starts[1:].tolist()], len(text)]
+    return list(zip(edges[:-1], edges[1:]))
+
+
+def sentences(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each sentence with what stands after it up to the next one's first word; together they are the text.
+
+    Sentences here are runs of ``SHORTEST`` to ``2 * SHORTEST - 1`` words, cut where the words themselves say, without case
+    and punctuation, so equal words get equal cuts but near the ends of what is equal. A text of fewer words is one.
+    """
+    if not text:
+        return []
+    ((starts, _, _),) = _cut_words([words(text)], WordHashes())
+    return _places(text, starts)
 
-def sentences(text: str, longest: int = LONGEST) -> list[tuple[int, int]]:
-    """(start, end) of each sentence with the white space after it; together they are the whole text.
 
-    A sentence ends at a full stop, question or exclamation mark before white space, or at a line's end. One of more than
-    ``longest`` words is cut at commas, colons, semicolons and bars, and what is still longer after about every eighth word,
-    as the words themselves decide.
-    """
-    out = []
-    for start, end in _cuts(_END, text, 0, len(text)):
-        if end - start <= 2 * longest or text.count(" ", start, end) < longest:
-            out.append((start, end))
-            continue
-        for a, b in _cuts(_CLAUSE, text, start, end):
-            if text.count(" ", a, b) < longest:
-                out.append((a, b))
-                continue
-            at = a
-            for m in _WORD.finditer(text, a, b):
-                if crc32(text[m.start(1) : m.end(1)].lower().encode("utf-8", "surrogatepass")) % CHUNK == 0 and m.end() < b:
-                    out.append((at, m.end()))
-                    at = m.end()
-            out.append((at, b))
-    return out
-
-
-def _spans(text: str | None, n: int, least: int) -> tuple[list[tuple[int, int]], np.ndarray, list[int], np.ndarray]:
-    """The sentences of a text, the hashes of its spans that count, the sentences that have a word, and where among these
-    each span begins. Sentences without a word are passed over by spans."""
-    from xxhash import xxh3_64_intdigest
-
-    cut = sentences(text) if text else []
-    own, size, worded = [], [], []
-    for k, (a, b) in enumerate(cut):
-        ws = words(text[a:b])
-        if ws:
-            own.append(xxh3_64_intdigest(b" ".join(ws)))
-            size.append(len(ws))
-            worded.append(k)
+def _spans(own: np.ndarray, starts: np.ndarray, size: int, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a text's spans that count and the sentences where they begin."""
     if len(own) < n:
-        return cut, np.empty(0, np.uint64), worded, np.empty(0, np.int64)
-    total = np.concatenate([[0], np.cumsum(size)])
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    total = np.append(starts, size)
     long = np.flatnonzero(total[n:] - total[:-n] >= least)
-    return cut, rolling(np.array(own, np.uint64), n)[long], worded, long
+    return rolling(own, n)[long], long
 
 
 def span_hashes(documents: DataFrame, n: int = SENTENCES, least: int = LEAST_WORDS) -> DataFrame:
     """One row for each different span of a document: h, doc_id (0 for a null one)."""
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = WordHashes()
         for batch in batches:
             h, ids = [], []
-            for i, text in zip(batch["doc_id"], batch["text"]):
-                own = np.unique(_spans(text, n, least)[1])
+            for i, (starts, own, size) in zip(batch["doc_id"], _cut_words([words(t) for t in batch["text"]], cache)):
+                own = np.unique(_spans(own, starts, size, n, least)[0])
                 h.append(own)
                 ids.append(np.full(len(own), i, np.int64))
             if h:
@@ -111,22 +144,23 @@ def _removal(n: int, least: int):
     @F.pandas_udf("text string, n_sentences int, n_removed int, removed array<array<int>>")
     def remove(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
         rows = []
-        for text, of in zip(texts, spans):
+        for text, of, (starts, own, size) in zip(texts, spans, _cut_words([words(t) for t in texts], WordHashes())):
             if text is None:
                 rows.append((None, 0, 0, []))
                 continue
-            cut, h, worded, at = _spans(text, n, least)
+            h, at = _spans(own, starts, size, n, least)
             again = np.zeros(len(h), bool)
             if of is not None and len(of):
                 again = np.isin(h, np.asarray(of, np.int64).view(np.uint64))
-            if len(set(h.tolist())) < len(h):  # also within the document
+            if len(np.unique(h)) < len(h):  # also within the document
                 again |= pd.Series(h).duplicated().to_numpy()
             if not again.any():
-                rows.append((text, len(cut), 0, []))
+                rows.append((text, max(len(starts), int(text != "")), 0, []))
                 continue
+            cut = _places(text, starts)
             gone = np.zeros(len(cut) + 1, np.int64)
             for k in at[again]:
-                gone[worded[k] : worded[k + n - 1] + 1] = 1
+                gone[k : k + n] = 1
             kept = "".join(text[a:b] for (a, b), g in zip(cut, gone) if not g)
             edges = np.flatnonzero(np.diff(np.concatenate([[0], gone])))
             removed = [[cut[a][0], cut[b - 1][1]] for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]

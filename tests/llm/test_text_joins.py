@@ -186,3 +186,29 @@ def test_near_pairs_in_a_bucket_whose_leaders_win_nobody(spark):
             assert (order_minhash.similarity_of(rows[a], rows[b]) > 0) == (want[a] == want[b])
     d = spark.createDataFrame([(k, " ".join(ws)) for k, ws in enumerate(rows)], "doc_id long, text string")
     assert {x.doc_id: x.class_id for x in order_minhash.near_classes(d).collect()} == want
+
+
+def _removed(spark, first, second):
+    """Words that the second of two texts loses."""
+    d = spark.createDataFrame([(1, first), (2, second)], "doc_id long, text string")
+    got = {x.doc_id: x for x in spans.deduplicated(d).collect()}
+    assert got[1].n_removed == 0
+    return len(words(second)) - len(words(got[2].text))
+
+
+def test_a_passage_inside_other_sentences_is_found_wherever_it_begins():
+    import random
+
+    r = random.Random(5)
+    some = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) + r.choice(["", "", "", "", ",", "."]) for _ in range(n))
+
+    def keys(t):
+        ws = [tuple(words(t[a:b])) for a, b in spans.sentences(t)]
+        return set(zip(ws, ws[1:], ws[2:]))
+
+    for _ in range(300):
+        passage = some(51)
+        assert keys(f"{some(r.randint(5, 60))} {passage} {some(30)}") & keys(f"{some(r.randint(5, 60))} {passage} {some(30)}")
+    for t in [some(n) for n in range(1, 80)] + ["w " * 500]:
+        sizes = [len(words(t[a:b])) for a, b in spans.sentences(t)]
+        assert max(sizes) < 8 and (min(sizes) >= 4 or sum(sizes) < 4)
