@@ -196,6 +196,11 @@ def _removed(spark, first, second):
     return len(words(second)) - len(words(got[2].text))
 
 
+def test_a_passage_of_short_lines_is_found(spark):
+    lines = [f"Ab{k} ce{k * k}!!" for k in range(30)]
+    assert _removed(spark, "\n".join(lines), "Other text here. " + "\n".join(lines)) >= 48
+
+
 def test_a_passage_inside_other_sentences_is_found_wherever_it_begins():
     import random
 
