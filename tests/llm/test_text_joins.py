@@ -217,3 +217,12 @@ def test_a_passage_inside_other_sentences_is_found_wherever_it_begins():
     for t in [some(n) for n in range(1, 80)] + ["w " * 500]:
         sizes = [len(words(t[a:b])) for a, b in spans.sentences(t)]
         assert max(sizes) < 8 and (min(sizes) >= 4 or sum(sizes) < 4)
+
+
+def test_a_passage_with_other_punctuation_is_found(spark):
+    import random
+
+    r = random.Random(6)
+    ws = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(80)]
+    other = " ".join(w.upper() + r.choice(["", ".", ",", " ***", " &&&", " %%%.\n"]) for w in ws)
+    assert _removed(spark, ", ".join(ws), other) == 80
