@@ -64,3 +64,16 @@ def test_licenses(spark, docs):
     assert not m.exact and m.added == ["kindly"] and m.missing == []
     assert got[7].notices[0].exact and rows[0][1][got[1].notices[0].start : got[1].notices[0].end] == "Licensed under the Apache License, Version 2.0."
     assert license_scan.scanned(docs).count() == docs.count()
+
+
+def test_notices_inside_a_paragraph_are_all_found():
+    scanner, t = license_scan.Scanner(), license_scan.TEMPLATES
+    for name in ("MIT", "GPL-3.0"):
+        for n in (20, 80, 500):
+            text = "some other words " * n + t[name] + " and still more of them" * n
+            (found,) = scanner.scan(text)[1]
+            assert found["license"] == name and found["exact"] and text[found["start"] : found["end"]] == t[name]
+    line = f"The code is {t['MIT']} The text is {t['CC-BY-4.0'].upper()} Old parts: {t['GPL-2.0']}"
+    assert [f["license"] for f in scanner.scan(line)[1]] == ["MIT", "CC-BY-4.0", "GPL-2.0"]
+    (lesser,) = scanner.scan(t["LGPL-3.0"].replace("This work", "This small work"))[1]
+    assert lesser["license"] == "LGPL-3.0" and lesser["added"] == ["small"]
