@@ -77,3 +77,10 @@ def test_notices_inside_a_paragraph_are_all_found():
     assert [f["license"] for f in scanner.scan(line)[1]] == ["MIT", "CC-BY-4.0", "GPL-2.0"]
     (lesser,) = scanner.scan(t["LGPL-3.0"].replace("This work", "This small work"))[1]
     assert lesser["license"] == "LGPL-3.0" and lesser["added"] == ["small"]
+
+
+def test_each_template_alone_is_found():
+    scanner = license_scan.Scanner()
+    for name, text in license_scan.TEMPLATES.items():
+        found = {f["license"]: f for f in scanner.scan(f"Words.\n{text}\nWords.")[1]}
+        assert found[name]["exact"] and set(found) <= {name, "Apache-2.0"}
