@@ -38,15 +38,18 @@ def _shingles(hashes: np.ndarray, shingle: int) -> np.ndarray:
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Distinct windows with the items that hold them: words (space-separated), items (sorted array of strings)."""
+    """Distinct windows with the items that hold them: words (space-separated), items (sorted array of strings; items without
+    an id are one null, the last)."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = {(b" ".join(w), str(i)) for i, t in zip(batch["item"], batch["text"]) for w in windows_of(t, size)}
+            rows = {(b" ".join(w), None if i is None else str(i)) for i, t in zip(batch["item"], batch["text"]) for w in windows_of(t, size)}
             yield pd.DataFrame({"words": [w.decode("utf-8", "surrogatepass") for w, _ in rows], "item": [i for _, i in rows]})
 
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item is not null and text is not null")
-    return items.mapInPandas(split, "words string, item string").groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null")
+    # Sets leave nulls out, so the item is collected in an array.
+    held = F.array_sort(F.flatten(F.collect_set(F.array("item"))))
+    return items.mapInPandas(split, "words string, item string").groupBy("words").agg(held.alias("items"))
 
 
 class _Lookup:
@@ -92,9 +95,9 @@ def _frequencies(documents: DataFrame, wanted: np.ndarray, lengths: list[int]) -
 class _Index:
     """The windows of a block under the one shingle of each that is rarest in the corpus."""
 
-    def __init__(self, rows: list[tuple[bytes, list[str]]], frequency: dict[int, int], shingle: int):
+    def __init__(self, rows: list[tuple[bytes, list[str | None]]], frequency: dict[int, int], shingle: int):
         cache = WordHashes()
-        self.windows: dict[int, list[tuple[int, tuple[bytes, ...], list[str]]]] = defaultdict(list)
+        self.windows: dict[int, list[tuple[int, tuple[bytes, ...], list[str | None]]]] = defaultdict(list)
         self.lengths: set[int] = set()
         prefix = []
         for text, items in rows:
@@ -106,7 +109,7 @@ class _Index:
             prefix.append(own[at])
         self.lookup = _Lookup(np.array(prefix, np.uint64))
 
-    def find(self, ws: list[bytes], hashes: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
+    def find(self, ws: list[bytes], hashes: np.ndarray) -> tuple[list[tuple[int, int]], set[str | None]]:
         """The places (start, end) of windows among the words, and the items they are from."""
         places, items = [], set()
         for n in self.lengths:
@@ -129,7 +132,7 @@ def _scan(index: _Index):
         for text in texts:
             ws = words(text)
             places, items = index.find(ws, cache.of(ws))
-            rows.append((len(ws), [list(p) for p in sorted(set(places))], sorted(items)))
+            rows.append((len(ws), [list(p) for p in sorted(set(places))], sorted(items, key=lambda i: (i is None, i or ""))))
         return pd.DataFrame(rows, columns=["n_words", "places", "items"])
 
     return scan
@@ -153,7 +156,8 @@ def _indexes(documents: DataFrame, benchmark: DataFrame, window: int, shingle: i
 
 
 def hit_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """For each document row: doc_id, n_words, places (start and end, in words, of each window that occurs), items (sorted).
+    """For each document row: doc_id, n_words, places (start and end, in words, of each window that occurs), items (sorted;
+    items without an id are one null, which report counts in n_items as the SQL does).
 
     Rows with null text have no words. Every row of ``documents`` is returned, repeated ones too. The benchmark's windows
     are joined in blocks of at most about ``block``; a block's index goes to the executors, so its size is bounded whatever

@@ -226,3 +226,16 @@ def test_a_passage_with_other_punctuation_is_found(spark):
     ws = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(80)]
     other = " ".join(w.upper() + r.choice(["", ".", ",", " ***", " &&&", " %%%.\n"]) for w in ws)
     assert _removed(spark, ", ".join(ws), other) == 80
+
+
+@pytest.mark.parametrize("block", [400_000, 2])
+def test_items_without_an_id_contaminate(spark, block):
+    ws = [f"w{k}" for k in range(40)]
+    d = spark.createDataFrame([(1, " ".join(ws)), (2, "nothing of it"), (3, "alone")], "doc_id long, text string")
+    items = [(None, " ".join(ws[:12])), (None, " ".join(ws[20:31])), (7, " ".join(ws[2:12])), (None, "alone")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.report(decontaminate.hit_spans(d, bench, block=block)).collect()}
+    assert (got[1].n_hit, got[1].n_items, got[1].contaminated) == (23, 2, True) and got[1].items_sha256 == hashlib.sha256(b"7").hexdigest()
+    assert (got[3].n_hit, got[3].n_items, got[3].contaminated) == (1, 1, True) and got[3].items_sha256 == hashlib.sha256(b"").hexdigest()
+    assert not got[2].contaminated
+    assert [r.doc_id for r in decontaminate.decontaminated(d, bench, block=block).collect()] == [2]
