@@ -5,23 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbor.llm.common import cut
+from arbor.llm.common import cut, drop
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and label (the least id of its component) for each id that ``edges`` (columns a, b) holds.
 
-    Each round gives a node the least label among its neighbours and itself, then the label of that label. Rounds end when
-    no label changes; each is cut off at the checkpoint folder, so a lost executor costs one round at most.
+    By local contraction: in each round every node goes over to the one among its neighbours and itself that is first in an
+    order drawn anew for the round, and the edges are carried over to those. That halves the nodes in expectation, whatever
+    the graph looks like, so chains, stars and cliques all take rounds as the logarithm of their size, and rounds need no
+    bound. Edges only shrink; each round is cut off at the checkpoint folder, so a lost executor costs one round at most.
+    Loops and repeated edges do no harm, null ends are passed over, and an empty table gives no rows.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a != b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
-    for _ in range(most):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
-        own = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "m").alias("m"))
-        jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        new = cut(own.join(jump, own["m"] == jump["via"], "left").select("node", F.least("m", "far").alias("label"), (F.least("m", "far") < F.col("label")).alias("moved")))
-        labels = new.select("node", "label")
-        if new.where("moved").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {most} rounds")
+    given = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null")
+    nodes = given.select(F.col("a").alias("node")).union(given.select("b")).distinct()
+    left = cut(given.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    moves: list[DataFrame] = []
+    while not left.isEmpty():
+        ends = left.select("a", "b").union(left.select("b", "a"))
+        place = lambda x: F.struct(F.xxhash64(x, F.lit(len(moves))).alias("h"), F.col(x).alias("to"))
+        near = ends.groupBy("a").agg(F.min(place("b")).alias("best"))
+        move = cut(near.select(F.col("a").alias("node"), F.least("best", place("a"))["to"].alias("to")))
+        moves.append(move)
+        one = move.select(F.col("node").alias("a"), F.col("to").alias("x"))
+        two = move.select(F.col("node").alias("b"), F.col("to").alias("y"))
+        carried = left.join(one, "a").join(two, "b").where("x != y")
+        before, left = left, cut(carried.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        drop(before)
+    if not moves:
+        return nodes.select("node", F.col("node").alias("label"))
+    # From the last round back: where a node went goes on to where that one went.
+    final = moves[-1]
+    for move in reversed(moves[:-1]):
+        on = final.select(F.col("node").alias("to"), F.col("to").alias("end"))
+        final = move.join(on, "to", "left").select("node", F.coalesce("end", "to").alias("to"))
+    final = cut(final)
+    least = final.groupBy("to").agg(F.min("node").alias("label"))
+    named = final.join(least, "to").select("node", "label")
+    out = cut(nodes.join(named, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+    drop(final, left, *moves)
+    return out

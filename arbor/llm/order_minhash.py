@@ -2,21 +2,21 @@
 
 A sketch of a document is the sequence, in text order, of the few occurrence-labelled shingles with the least hashes; two
 documents have equal sketches only if they share those shingles in the same order, which makes it a hash for edit
-similarity. Documents with an equal sketch meet in a bucket; there they are aligned word by word in a band as wide as the
-threshold leaves room for.
+similarity. Documents with an equal sketch meet in a bucket; there their sequences of shingles are aligned in a band as wide
+as the threshold leaves room for.
 """
 
 from __future__ import annotations
 
-from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbor.llm.common import WordHashes, cut, mixed, rolling, seeds, signed, words
+from arbor.llm.common import WordHashes, cut, drop, mixed, rolling, seeds, signed, unused, words
 from arbor.llm.components import components
 
 SHINGLE = 5
@@ -24,10 +24,12 @@ SIMILARITY = 0.8
 #: (shingles from which it holds, shingles in a sketch, sketches). At a similarity of 0.8 a pair meets in one of the
 #: sketches with a probability of over 0.999.
 LEVELS = ((0, 2, 10), (16, 4, 18))
-#: Buckets of up to so many members compare all of them; larger ones compare members with leaders.
-SMALL_BUCKET = 24
-#: A large bucket goes on to its next leader until so many in a row have won no member; what is left is joined exactly.
-PATIENCE = 2
+#: Members of a bucket are compared with so many leaders, one after the other, before what is left is compared exactly.
+LEADERS = 2
+#: Members of a bucket that are still of several classes are compared pair by pair where they are so few, else in blocks.
+PAIRS_UP_TO = 24
+#: A block is of documents with this many characters together, each counted as ``LIGHTEST`` at least.
+BLOCK, LIGHTEST = 1 << 19, 1 << 12
 
 
 def labelled_shingles(hashes: np.ndarray, n: int = SHINGLE) -> np.ndarray:
@@ -90,84 +92,47 @@ def signatures(documents: DataFrame, shingle: int = SHINGLE, similarity: float =
     return rows.mapInPandas(sign, "doc_id long, h1 long, h2 long, sketches array<long>")
 
 
-def _matched_runs(a: list, b: list, most: int) -> list[int] | None:
-    """Lengths of the matched runs of an alignment with the fewest insertions and deletions, or None if it takes over
-    ``most`` of them. The greedy furthest-reaching search stays within the diagonals that are ``most`` away."""
-    n, m = len(a), len(b)
-    head = 0
-    while head < n and head < m and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < n - head and tail < m - head and a[n - 1 - tail] == b[m - 1 - tail]:
-        tail += 1
-    x_end, y_end = n - tail, m - tail
-    if x_end == head or y_end == head:
-        return [head, tail] if x_end - head + y_end - head else [n]
-    if abs(n - m) > most:
-        return None
-    # furthest[most + 1 + k] is the furthest x on diagonal k; trace[d] holds those of step d, k = -d, -d + 2, ... d.
-    furthest, zero = [head] * (2 * most + 3), most + 1
-    trace = []
-    for d in range(most + 1):
-        now = array("i")
-        for k in range(-d, d + 1, 2):
-            low, high = furthest[zero + k - 1], furthest[zero + k + 1]
-            x = (high if k == -d or (k != d and low < high) else low + 1) if d else head
-            y = x - k
-            while x < x_end and y < y_end and a[x] == b[y]:
-                x += 1
-                y += 1
-            now.append(x)
-            if x >= x_end and y >= y_end:
-                trace.append(now)
-                return _runs_back(trace, k, x, tail)
-        furthest[zero - d : zero + d + 1 : 2] = now
-        trace.append(now)
-    return None
-
-
-def _runs_back(trace: list, k: int, x: int, tail: int) -> list[int]:
-    """Follows the furthest-reaching points back to the start; each step's diagonal part is a matched run."""
-    runs, run = [], tail
-    for d in range(len(trace) - 1, 0, -1):
-        before, at = trace[d - 1], (k + d) // 2  # before[at] is diagonal k + 1, before[at - 1] is k - 1
-        down = k == -d or (k != d and before[at - 1] < before[at])
-        x_start = before[at] if down else before[at - 1] + 1
-        runs.append(run + x - x_start)
-        run = 0
-        k, x = (k + 1, before[at]) if down else (k - 1, before[at - 1])
-    runs.append(run + x)
-    return runs
+def alignment(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
+    """The share of two documents' labelled shingles that an alignment keeps: kept / (kept by either). 0 if under ``least``.
+
+    A labelled shingle stands once in a document, so an alignment of the two sequences with the fewest insertions and
+    deletions is a longest increasing run of the places in ``b`` of ``a``'s shingles. Places further apart than the
+    insertions and deletions that ``least`` leaves room for are outside the band. Memory is linear in the documents and time
+    nearly so, whatever their lengths.
+    """
+    na, nb = len(a), len(b)
+    if not na or not nb or min(na, nb) < least * max(na, nb) - 1e-9:
+        return 0.0
+    kept = int(np.ceil(least / (1 + least) * (na + nb) - 1e-9))
+    _, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    near = np.abs(at_a - at_b) <= na + nb - 2 * kept
+    at_a, at_b = at_a[near], at_b[near]
+    if len(at_a) < kept:
+        return 0.0
+    places = at_b[np.argsort(at_a)]
+    if (places[1:] > places[:-1]).all():
+        whole = len(places)
+    else:
+        ends: list[int] = []
+        for p in places.tolist():
+            k = bisect_left(ends, p)
+            ends[k : k + 1] = [p]
+        whole = len(ends)
+    found = whole / (na + nb - whole)
+    return found if found >= least - 1e-9 else 0.0
 
 
 def similarity_of(a: list, b: list, shingle: int = SHINGLE, least: float = SIMILARITY) -> float:
-    """The share of the two documents' shingles that an alignment keeps whole: kept / (kept by either). 0 if under ``least``."""
+    """``alignment`` of two documents given as words. Equal ones are alike, others with less than ``shingle`` words aren't."""
     if not a or not b:
         return 0.0
     if a == b:
         return 1.0
-    na, nb = max(1, len(a) - shingle + 1), max(1, len(b) - shingle + 1)
-    if min(na, nb) < least * max(na, nb) or min(len(a), len(b)) < shingle:
+    if min(len(a), len(b)) < shingle:
         return 0.0
-    # Kept shingles of at least k = least / (1 + least) * (na + nb) leave so many words to insert or delete.
-    kept = int(np.ceil(least / (1 + least) * (na + nb) - 1e-9))
-    most = len(a) + len(b) - 2 * min(len(a), len(b), kept + shingle - 1)
-    sa, sb = _counts(a, shingle), _counts(b, shingle)
-    if sum(min(n, sb.get(s, 0)) for s, n in sa.items()) < kept:
-        return 0.0
-    runs = _matched_runs(a, b, most)
-    if runs is None:
-        return 0.0
-    whole = sum(max(0, r - shingle + 1) for r in runs)
-    found = whole / (na + nb - whole)
-    return found if found >= least else 0.0
-
-
-def _counts(ws: list, shingle: int) -> dict:
-    out: dict = {}
-    for s in zip(*[ws[i:] for i in range(shingle)]):
-        out[s] = out.get(s, 0) + 1
-    return out
+    number: dict = {}
+    one, two = (mixed(np.array([number.setdefault(w, len(number) + 1) for w in ws], np.uint64)) for ws in (a, b))
+    return alignment(labelled_shingles(one, shingle), labelled_shingles(two, shingle), least)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -200,20 +165,37 @@ def _merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     return cut(old.unionByName(over.join(labels, "node", "left_anti")))
 
 
-def _rest(members: DataFrame, labels: DataFrame | None, texts: DataFrame, shingle: int, similarity: float) -> DataFrame | None:
-    """Pairs (a, b) of different classes among the members of large buckets that aren't of one class; no similar pair is left
-    out. None if there is no such bucket.
-
-    A prefix-filtered join: two similar documents share all but few of their shingles, so in any common order of shingles
-    they share one of the first of each. The order is by how many of these documents hold a shingle; those that only one
-    class holds come first and join nothing.
+def _apart(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """key, node and label l of the members of buckets that are of several classes."""
+    rows = _labelled(members.select("key", "node"), labels, "node", "l")
+    several = rows.groupBy("key").agg(F.min("l").alias("low"), F.max("l").alias("high"), F.count("*").alias("n")).where("low < high")
+    return cut(rows.join(cut(several.select("key", "n")), "key"))
+
+
+def _blocks(rows: DataFrame, weight: Column, order: list[str]) -> DataFrame:
+    """``rows`` with ``block``: numbers of runs, in ``order``, of about ``BLOCK`` together by ``weight``."""
+    given = rows.withColumn("weight", weight).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(given.withColumn("at", F.monotonically_increasing_id()))
+    # The part is in the upper bits of ``at``; sums within it run in its order.
+    part = F.shiftright("at", 33)
+    upto = F.sum("weight").over(Window.partitionBy(part).orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    inside = placed.withColumns({"part": part, "upto": F.coalesce(upto, F.lit(0))})
+    # One row for each part: what all parts before it weigh.
+    parts = placed.groupBy(part.alias("part")).agg(F.sum("weight").alias("w"))
+    before = cut(parts.select("part", F.coalesce(F.sum("w").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")))
+    return inside.join(before, "part").withColumn("block", F.floor((F.col("before") + F.col("upto")) / BLOCK)).drop("part", "upto", "before", "weight", "at")
+
+
+def _rest(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) between ``nodes`` of different classes l, enough to connect all that are similar, in an exact way.
+
+    A prefix-filtered join of blocks: two similar documents share all but few of their shingles, so in any common order of
+    shingles they share one of the first of each. The order is by how many of these documents hold a shingle; those that only
+    one class holds come first and join nothing. Documents stand in blocks beside others of their class and of a like least
+    shingle; two blocks meet if a shingle is among the first of both, for documents of different classes, and are compared
+    whole: the numbers of shingles in common are a product of matrices, and only what they leave is aligned. So pairs of
+    documents are never rows, and a text travels once for each block that its own meets.
     """
-    large = _labelled(members.where(F.col("n") > SMALL_BUCKET).select("key", "node"), labels, "node", "l")
-    large = cut(large)
-    mixed_keys = large.groupBy("key").agg(F.min("l").alias("low"), F.max("l").alias("high")).where("low < high").select("key")
-    nodes = cut(large.join(mixed_keys, "key", "left_semi").select("node", "l").distinct())
-    if nodes.isEmpty():
-        return None
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
@@ -222,33 +204,93 @@ def _rest(members: DataFrame, labels: DataFrame | None, texts: DataFrame, shingl
                 ws = words(text)
                 if len(ws) >= shingle:
                     own = np.unique(labelled_shingles(cache.of(ws), shingle))
-                    yield pd.DataFrame({"h": signed(own), "node": node, "l": label, "size": len(own)})
+                    yield pd.DataFrame({"h": signed(own), "node": node, "l": label, "size": len(own), "least": signed(own[:1])[0]})
 
-    held = texts.join(nodes, "node").select("node", "l", "text").mapInPandas(explode, "h long, node long, l long, size long")
+    held = texts.join(nodes, "node").select("node", "l", "text").mapInPandas(explode, "h long, node long, l long, size long, least long")
+    held = cut(held)
     shared = held.groupBy("h").agg(F.count("*").alias("f"), F.min("l").alias("low"), F.max("l").alias("high")).where("low < high")
-    ranked = held.join(cut(shared.select("h", "f")), "h").groupBy("node", "l", "size").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("hs"))
+    ranked = held.join(cut(shared.select("h", "f")), "h").groupBy("node", "l", "size", "least").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("hs"))
     first = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1 - (F.col("size") - F.size("hs"))
-    prefix = cut(ranked.where(first > 0).select(F.explode(F.slice("hs", F.lit(1), first.cast("int"))["h"]).alias("h"), "node", "l", "size"))
-    # A shingle's most frequent class meets only the others, so a large class isn't joined with itself.
-    most = prefix.groupBy("h", "l").count().groupBy("h").agg(F.max(F.struct("count", "l"))["l"].alias("most"), F.count("*").alias("classes"))
-    prefix = cut(prefix.join(cut(most.where("classes > 1").select("h", "most")), "h"))
-    one = prefix.where("l != most").select("h", F.col("node").alias("x"), F.col("l").alias("lx"), F.col("size").alias("sx"))
-    two = prefix.select("h", F.col("node").alias("y"), F.col("l").alias("ly"), F.col("size").alias("sy"), (F.col("l") == F.col("most")).alias("top"))
-    near = F.least("sx", "sy") >= similarity * F.greatest("sx", "sy") - 1e-9
-    met = one.join(two, "h").where(F.col("lx") != F.col("ly")).where(F.col("top") | (F.col("x") < F.col("y"))).where(near)
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    prefixed = cut(ranked.where(first > 0).select("node", "l", "least", F.slice("hs", F.lit(1), first.cast("int"))["h"].alias("hs")))
+    drop(held)
+    classes = cut(prefixed.groupBy("l").agg(F.min("least").alias("place")))
+    lengths = texts.groupBy("node").agg(F.sum(F.length("text")).alias("chars"))
+    heavy = F.greatest("chars", F.lit(LIGHTEST)).cast("long")
+    placed = _blocks(prefixed.join(classes, "l").join(lengths, "node"), heavy, ["place", "l", "least", "node"])
+    placed = cut(placed.select("node", "l", "block", "hs"))
+    at = placed.select("block", "l", F.explode("hs").alias("h")).groupBy("h", "block").agg(F.min("l").alias("low"), F.max("l").alias("high"))
+    several = at.groupBy("h").agg(F.min("low").alias("l0"), F.max("high").alias("l1")).where("l0 < l1").select("h")
+    at = cut(at.join(cut(several), "h"))
+    one, two = (at.select("h", F.col("block").alias(x), F.struct("low", "high").alias(f"of_{x}")) for x in ("i", "j"))
+    # Two blocks of the same single class have nothing to compare.
+    alike = (F.col("of_i") == F.col("of_j")) & (F.col("of_i")["low"] == F.col("of_i")["high"])
+    met = cut(one.join(two, "h").where("i <= j").where(~alike).select("i", "j").distinct())
+    sides = met.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    brought = sides.join(placed.select("block", "node", "l"), "block").join(texts, "node").select("i", "j", "block", "node", "l", "text")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_links(rows, shingle, similarity), columns=["a", "b"], dtype="int64")
+
+    return brought.groupBy("i", "j").applyInPandas(compare, "a long, b long")
+
+
+def _links(rows: pd.DataFrame, shingle: int, similarity: float) -> list[tuple[int, int]]:
+    """Links between the documents of two blocks (columns i, j, block, node, l, text), or within one."""
+    rows = rows.sort_values("node", kind="stable")
+    cache = WordHashes()
+    own = [labelled_shingles(cache.of(words(t)), shingle) for t in rows["text"]]
+    nodes, sizes = rows["node"].tolist(), np.array([len(x) for x in own])
+    left, right = np.flatnonzero(rows["block"] == rows["i"]), np.flatnonzero(rows["block"] == rows["j"])
+    common = _common([own[k] for k in left], [own[k] for k in right])
+    need = np.maximum(1, np.ceil(similarity / (1 + similarity) * (sizes[left][:, None] + sizes[right][None, :]) - 1e-9))
+    labels = rows["l"].to_numpy()
+    open_ = (common >= need) & (labels[left][:, None] != labels[right][None, :])
+    if len(left) == len(right) and (left == right).all():
+        open_ = np.triu(open_, 1)
+    x, y = np.nonzero(open_)
+    up = {int(label): int(label) for label in labels}
+
+    def root(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    out = []
+    # The closest first: what they link needn't be compared again.
+    for k in np.argsort(-(common / need)[x, y], kind="stable").tolist():
+        i, j = int(left[x[k]]), int(right[y[k]])
+        a, b = root(int(labels[i])), root(int(labels[j]))
+        if a != b and alignment(own[i], own[j], similarity):
+            up[max(a, b)] = min(a, b)
+            out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+    return out
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray], at_once: int = 4096) -> np.ndarray:
+    """How many shingles each of ``left`` has in common with each of ``right``."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    values, counts = np.unique(np.concatenate([*left, *right]), return_counts=True)
+    both = values[counts > 1]
+    for k in range(0, len(both), at_once):
+        some = both[k : k + at_once]
+        a, b = (np.stack([np.isin(some, x, assume_unique=True) for x in side]).astype(np.float32) for side in (left, right))
+        out += a @ b.T
+    return out
 
 
 def near_classes(documents: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row for each row of ``documents``: doc_id and class_id, the lowest doc_id among its near-duplicates.
 
-    Documents with the same words are copies; of each set of copies the lowest doc_id goes on. Documents whose texts keep a
-    share of ``similarity`` of their runs of ``shingle`` words in an alignment are linked; classes are what links connect.
-    The members of a small bucket are all compared. In a large one they are compared with its most central member, which
-    shares most buckets with others and so is what copies were made from, if anything; those that stay apart from it take
-    the most central of themselves, and so on while leaders win members. So n copies cost about n comparisons. Members of
-    large buckets that are then of more than one class, joined ones too, meet in an exact join that leaves out only pairs
-    that can't be similar. Rows that share a doc_id are one document. A row without an id or without a word is in no group: its class_id is its doc_id.
+    Documents with the same words are copies; of each set of copies the lowest doc_id goes on. Documents that an alignment
+    keeps a share of ``similarity`` of are linked; classes are what links connect. The members of a bucket are compared with
+    its most central one, which shares most buckets with others and so is what copies were made from, if anything, then with
+    the most central of those that stay apart, so n copies cost about n comparisons. Members of buckets that are still of
+    several classes are then compared in full: pairs in small buckets, and in larger ones by an exact join of blocks, which
+    leaves out only pairs that can't be similar.
+
+    Rows that share a doc_id are one document. A row without an id or without a word is in no group: its class_id is its
+    doc_id. An empty table gives no rows. Columns other than doc_id and text are not looked at.
     """
     signed_rows = cut(signatures(documents, shingle, similarity))
     # Aggregates are cut before they are joined back, so that a hot key's rows meet a plain table and can be split.
@@ -256,56 +298,57 @@ def near_classes(documents: DataFrame, shingle: int = SHINGLE, similarity: float
     copies = signed_rows.select("doc_id", "h1", "h2").join(first, ["h1", "h2"]).select("doc_id", "rep")
     entries = signed_rows.join(first.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"]).select(
         F.explode("sketches").alias("key"), F.col("doc_id").alias("node")
-    )
+    ).distinct()
     shared = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "n")
     members = cut(entries.join(cut(shared), "key"))
-    copy_edges = copies.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     labels = None
     if not members.isEmpty():
-        central = members.groupBy("node").agg(F.sum("n").alias("c"))
+        central = cut(members.groupBy("node").agg(F.sum("n").alias("c")))
         source = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("node"), "text")
-        texts = cut(source.join(central.select("node"), "node", "left_semi"))
-        small = members.where(F.col("n") <= SMALL_BUCKET).select("key", "node")
-        pairs = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
-        still = cut(members.where(F.col("n") > SMALL_BUCKET).select("key", "node").join(central, "node").select("key", "node", "c", F.lit(0).alias("missed")))
-        tested = None
-        while True:
-            lead = cut(still.groupBy("key").agg(F.min(F.struct((-F.col("c")).alias("c"), "node"))["node"].alias("lead"), F.count("*").alias("n")))
-            led = _labelled(_labelled(still.join(lead, "key"), labels, "node", "ln"), labels, "lead", "ll").where("ln != ll")
-            led = led.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
-            pairs = (pairs.unionByName(led) if tested is None else led).distinct()
+        texts = cut(source.join(central.select("node"), "node", "left_semi").select("node", "text"))
+        still, tested = members.select("key", "node"), None
+        for _ in range(LEADERS):
+            ranked = still.join(central, "node").groupBy("key").agg(F.min(F.struct((-F.col("c")).alias("c"), "node"))["node"].alias("lead"))
+            led = cut(still.join(cut(ranked), "key").where("node != lead"))
+            pairs = led.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
             pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            edges = cut(_verified(pairs, texts, shingle, similarity))
-            if not edges.isEmpty():
-                labels = _merged(labels, edges)
-            # Open: members outside their leader's class. A bucket whose leader won nobody has missed once more.
-            apart = cut(_labelled(_labelled(still.join(lead, "key"), labels, "node", "ln"), labels, "lead", "ll").where("ln != ll"))
-            left = cut(apart.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
-            missed = F.when(F.col("m") == F.col("n") - 1, F.col("missed") + 1).otherwise(0)
-            still = cut(
-                apart.join(left, "key").select("key", "node", "c", missed.alias("missed")).where(F.col("missed") < PATIENCE)
-            )
+            tested = pairs if tested is None else cut(tested.unionByName(pairs))
+            labels = _with_links(labels, _verified(pairs, texts, shingle, similarity))
+            apart = _labelled(_labelled(led, labels, "node", "ln"), labels, "lead", "ll").where("ln != ll")
+            still = cut(apart.select("key", "node"))
             if still.isEmpty():
                 break
-        pairs = _rest(members, labels, texts, shingle, similarity)
-        if pairs is not None:
-            edges = cut(_verified(cut(pairs.join(tested, ["a", "b"], "left_anti")), texts, shingle, similarity))
-            if not edges.isEmpty():
-                labels = _merged(labels, edges)
+        apart = _apart(members, labels)
+        few = apart.where(F.col("n") <= PAIRS_UP_TO).select("key", "node", "l")
+        one, two = (few.select("key", F.col("node").alias(x), F.col("l").alias(f"l{x}")) for x in ("a", "b"))
+        pairs = one.join(two, "key").where("a < b and la != lb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        labels = _with_links(labels, _verified(cut(pairs), texts, shingle, similarity))
+        drop(apart)
+        many = _apart(members.where(F.col("n") > PAIRS_UP_TO), labels)
+        nodes = cut(many.where(F.col("n") > PAIRS_UP_TO).select("node", "l").distinct())
+        if not nodes.isEmpty():
+            labels = _with_links(labels, _rest(nodes, texts, shingle, similarity))
+        drop(members, texts, tested)
     # Copies share their representative's class; rows with the same doc_id join theirs.
     extra = copies.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     if not extra.isEmpty():
-        labels = _merged(labels, copy_edges)
+        labels = _merged(labels, copies.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
         copies = copies.select("doc_id", F.col("doc_id").alias("rep")).distinct()
     classes = _labelled(copies.groupBy("doc_id").agg(F.min("rep").alias("rep")), labels, "rep", "label")
-    classes = classes.select(F.col("doc_id").alias("_doc"), F.col("label"))
+    classes = classes.select(F.col("doc_id").alias("of"), F.col("label"))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"))
-    return rows.join(classes, rows["doc_id"] == classes["_doc"], "left").select("doc_id", F.coalesce("label", "doc_id").alias("class_id"))
+    return rows.join(classes, rows["doc_id"] == classes["of"], "left").select("doc_id", F.coalesce("label", "doc_id").alias("class_id"))
+
+
+def _with_links(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Labels with these links, which are computed once."""
+    links = cut(links)
+    return labels if links.isEmpty() else _merged(labels, links)
 
 
 def one_of_each(documents: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The documents, with their columns as they are, less those whose class has a lower doc_id. Rows that share the lowest
     doc_id of a class all stay, as do rows without an id."""
-    classes = near_classes(documents, shingle, similarity).where("doc_id != class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(classes, documents["doc_id"] == F.col("_gone"), "left_anti")
+    gone = unused(documents, "gone")
+    classes = near_classes(documents, shingle, similarity).where("doc_id != class_id").select(F.col("doc_id").alias(gone)).distinct()
+    return documents.join(classes, documents["doc_id"] == F.col(gone), "left_anti")

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
 from arbor.llm import decontaminate, order_minhash, spans
@@ -82,23 +83,6 @@ def test_spans_keep_columns_and_nothing(docs, no_docs):
     assert spans.deduplicated(no_docs).collect() == []
 
 
-def test_alignment_finds_the_longest_common_words():
-    import random
-
-    r = random.Random(2)
-
-    def common(a, b):
-        d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                d[i + 1][j + 1] = d[i][j] + 1 if x == y else max(d[i][j + 1], d[i + 1][j])
-        return d[-1][-1]
-
-    for _ in range(1500):
-        a, b = ([r.randrange(4) for _ in range(r.randrange(1, 14))] for _ in range(2))
-        assert sum(order_minhash._matched_runs(a, b, 40)) == common(a, b)
-
-
 def test_similarity_counts_whole_shingles():
     a = list(range(100))
     assert order_minhash.similarity_of(a, a) == 1
@@ -153,10 +137,99 @@ def test_near_classes_of_nothing(no_docs):
     assert order_minhash.near_classes(no_docs).collect() == []
 
 
-def test_components(spark):
-    edges = [(k, k + 1) for k in range(60)] + [(100, 200), (200, 300), (7, 7)]
-    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{k: 0 for k in range(61)}, 100: 100, 200: 100, 300: 100}
+def _components_of(edges):
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        up[y] = x
+    return {x: root(x) for x in up}
+
+
+@pytest.mark.parametrize("shape", ["path", "shuffled path", "star", "random", "loops", "none"])
+def test_components(spark, shape):
+    import random
+
+    r = random.Random(4)
+    ids = r.sample(range(10**6), 600)
+    edges = {
+        "path": [(k, k + 1) for k in range(600)],
+        "shuffled path": list(zip(ids, ids[1:])),
+        "star": [(10**7, k) for k in ids] + [(3, 5)],
+        "random": [(r.randrange(500), r.randrange(500)) for _ in range(330)],
+        "loops": [(7, 7), (8, 8), (8, 8), (9, 8), (8, 9)],
+        "none": [],
+    }[shape]
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {x.node: x.label for x in got} == _components_of(edges) and len(got) == len({x.node for x in got})
+
+
+def test_revisions_of_a_page_are_one_class(spark):
+    import random
+
+    r = random.Random(8)
+    page, ids, rows = [f"w{k}" for k in range(150)], r.sample(range(1, 10**6), 60), []
+    for k, i in enumerate(ids):
+        page[(k * 7) % 150] = f"v{k}"
+        rows.append((i, " ".join(page)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert order_minhash.similarity_of(rows[0][1].split(), rows[-1][1].split()) == 0
+    assert {x.class_id for x in order_minhash.near_classes(d).collect()} == {min(ids)}
+
+
+def test_alignment_against_the_usual_recurrence():
+    import random
+
+    r = random.Random(9)
+    for n in (5, 9, 40, 120):
+        for _ in range(30):
+            a = [r.randrange(n) for _ in range(n)]
+            b = [x for x in a if r.random() > 0.02]
+            b[r.randrange(len(b)) : 0] = [-1] * r.randrange(2)
+            x, y = (order_minhash.labelled_shingles(np.array([k + 2 for k in t], np.uint64)).tolist() for t in (a, b))
+            best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+            for i in range(len(x)):
+                for j in range(len(y)):
+                    best[i + 1][j + 1] = max(best[i][j] + (x[i] == y[j]), best[i][j + 1], best[i + 1][j])
+            want = best[-1][-1] / (len(x) + len(y) - best[-1][-1])
+            assert order_minhash.alignment(np.array(x), np.array(y)) == (pytest.approx(want) if want >= 0.8 else 0)
+
+
+def test_very_long_near_copies(spark):
+    words_of = [f"w{k * k % 99991}" for k in range(120_000)]
+    other = [w if k % 60 else "x" for k, w in enumerate(words_of)]
+    d = spark.createDataFrame([(5, " ".join(words_of)), (4, " ".join(other)), (6, " ".join(other[:50_000]))], "doc_id long, text string")
+    assert {x.doc_id: x.class_id for x in order_minhash.near_classes(d).collect()} == {4: 4, 5: 4, 6: 6}
+
+
+def test_blocks_leave_no_link_out(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(order_minhash, "BLOCK", 1 << 15)
+    monkeypatch.setattr(order_minhash, "PAIRS_UP_TO", 2)
+    r = random.Random(11)
+    base, rows = [f"b{k}" for k in range(200)], []
+    for k in range(90):
+        own = list(base)
+        for _ in range(r.randrange(2, 5)):
+            own[r.randrange(200)] = f"x{r.randrange(10**6)}"
+        rows.append(own)
+    linked = [(a, b) for a in range(90) for b in range(a) if order_minhash.similarity_of(rows[a], rows[b])]
+    want = {k: k for k in range(90)} | _components_of(linked)
+    assert 1 < len(set(want.values())) < 90
+    d = spark.createDataFrame([(k, " ".join(ws)) for k, ws in enumerate(rows)], "doc_id long, text string")
+    assert {x.doc_id: x.class_id for x in order_minhash.near_classes(d).collect()} == want
+
+
+def test_own_columns_of_any_name_stay(spark):
+    d = spark.createDataFrame([(1, "a b c d e f", "x", "y"), (2, "a b c d e f", "z", None), (None, None, "n", "n")], "doc_id long, text string, Gone string, _gone string")
+    kept = order_minhash.one_of_each(d)
+    assert kept.columns == d.columns and sorted(map(str, kept.collect())) == sorted(map(str, [d.collect()[0], d.collect()[2]]))
 
 
 def test_a_passage_without_stops_is_found_wherever_it_stands(spark):
