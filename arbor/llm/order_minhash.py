@@ -193,32 +193,56 @@ def _rest(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -
     shingles they share one of the first of each. The order is by how many of these documents hold a shingle; those that only
     one class holds come first and join nothing. Documents stand in blocks beside others of their class and of a like least
     shingle; two blocks meet if a shingle is among the first of both, for documents of different classes, and are compared
-    whole: the numbers of shingles in common are a product of matrices, and only what they leave is aligned. So pairs of
-    documents are never rows, and a text travels once for each block that its own meets.
+    whole: the numbers of shingles in common are a product of matrices, and only what they leave is aligned. A shingle is one
+    row for each block that holds it, pairs of documents are never rows, and a text travels once for each block that its own
+    meets.
     """
 
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
         for batch in batches:
+            rows = []
             for node, label, text in zip(batch["node"], batch["l"], batch["text"]):
-                ws = words(text)
-                if len(ws) >= shingle:
-                    own = np.unique(labelled_shingles(cache.of(ws), shingle))
-                    yield pd.DataFrame({"h": signed(own), "node": node, "l": label, "size": len(own), "least": signed(own[:1])[0]})
-
-    held = texts.join(nodes, "node").select("node", "l", "text").mapInPandas(explode, "h long, node long, l long, size long, least long")
-    held = cut(held)
-    shared = held.groupBy("h").agg(F.count("*").alias("f"), F.min("l").alias("low"), F.max("l").alias("high")).where("low < high")
-    ranked = held.join(cut(shared.select("h", "f")), "h").groupBy("node", "l", "size", "least").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("hs"))
-    first = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1 - (F.col("size") - F.size("hs"))
-    prefixed = cut(ranked.where(first > 0).select("node", "l", "least", F.slice("hs", F.lit(1), first.cast("int"))["h"].alias("hs")))
-    drop(held)
-    classes = cut(prefixed.groupBy("l").agg(F.min("least").alias("place")))
-    lengths = texts.groupBy("node").agg(F.sum(F.length("text")).alias("chars"))
-    heavy = F.greatest("chars", F.lit(LIGHTEST)).cast("long")
-    placed = _blocks(prefixed.join(classes, "l").join(lengths, "node"), heavy, ["place", "l", "least", "node"])
-    placed = cut(placed.select("node", "l", "block", "hs"))
-    at = placed.select("block", "l", F.explode("hs").alias("h")).groupBy("h", "block").agg(F.min("l").alias("low"), F.max("l").alias("high"))
+                own = labelled_shingles(cache.of(words(text)), shingle)
+                if len(own):
+                    rows.append((node, label, signed(own.min(keepdims=True))[0], len(text)))
+            yield pd.DataFrame(rows, columns=["node", "l", "least", "chars"])
+
+    def counted(rows: pd.DataFrame) -> pd.DataFrame:
+        cache = WordHashes()
+        each = [(np.unique(labelled_shingles(cache.of(words(t)), shingle)), label) for t, label in zip(rows["text"], rows["l"])]
+        found = pd.DataFrame({"h": signed(np.concatenate([h for h, _ in each])), "l": np.repeat([label for _, label in each], [len(h) for h, _ in each])})
+        found = found.groupby("h")["l"].agg(["count", "min", "max"]).reset_index()
+        return found.set_axis(["h", "n", "low", "high"], axis=1).assign(block=rows["block"].iloc[0])
+
+    def firsts(rows: pd.DataFrame, frequency: pd.DataFrame) -> pd.DataFrame:
+        cache = WordHashes()
+        order = frequency.sort_values("h")
+        known, f = order["h"].to_numpy(), order["f"].to_numpy()
+        out = []
+        for text, label in zip(rows["text"], rows["l"]):
+            own = np.unique(labelled_shingles(cache.of(words(text)), shingle))
+            some = np.intersect1d(signed(own), known, assume_unique=True)
+            # Those that aren't known come first, so the others have what they leave of the prefix.
+            n = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1 - (len(own) - len(some))
+            if n > 0:
+                some = some[np.lexsort((some, f[np.searchsorted(known, some)]))][:n]
+                out.append(pd.DataFrame({"h": some, "l": label}))
+        if not out:
+            return pd.DataFrame(columns=["h", "block", "low", "high"], dtype="int64")
+        found = pd.concat(out).groupby("h")["l"].agg(["min", "max"]).reset_index()
+        return found.set_axis(["h", "low", "high"], axis=1).assign(block=rows["block"].iloc[0])[["h", "block", "low", "high"]]
+
+    held = cut(texts.join(nodes, "node").select("node", "l", "text").mapInPandas(marked, "node long, l long, least long, chars long"))
+    classes = cut(held.groupBy("l").agg(F.min("least").alias("place")))
+    placed = _blocks(held.join(classes, "l"), F.greatest("chars", F.lit(LIGHTEST)).cast("long"), ["place", "l", "least", "node"])
+    placed = cut(placed.select("node", "l", "block").distinct())
+    inside = placed.join(texts, "node").select("block", "l", "text")
+    counts = cut(inside.groupBy("block").applyInPandas(counted, "h long, n long, low long, high long, block long"))
+    shared = counts.groupBy("h").agg(F.sum("n").alias("f"), F.min("low").alias("l0"), F.max("high").alias("l1")).where("l0 < l1")
+    frequency = counts.select("block", "h").join(cut(shared.select("h", "f")), "h")
+    at = inside.groupBy("block").cogroup(frequency.groupBy("block")).applyInPandas(firsts, "h long, block long, low long, high long")
+    at = cut(at)
     several = at.groupBy("h").agg(F.min("low").alias("l0"), F.max("high").alias("l1")).where("l0 < l1").select("h")
     at = cut(at.join(cut(several), "h"))
     one, two = (at.select("h", F.col("block").alias(x), F.struct("low", "high").alias(f"of_{x}")) for x in ("i", "j"))
