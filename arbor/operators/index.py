@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbor.functions import text as T
+from arbor.operators.lineage import delete
 from arbor.settings import FIELDS, Settings, load
 
-FORMAT = 1
+FORMAT = 2
+#: Folders of a saved index's postings, by a hash of the term; a query reads those of its terms.
+BUCKETS = 64
+TABLES = ("nodes", "postings", "term_stats", "field_stats")
 NODE_COLUMNS = {
     "doc_id": "string",
     "node_idx": "int",
@@ -66,11 +71,22 @@ def term_statistics(post: DataFrame) -> DataFrame:
     return post.groupBy("doc_id", "field", "term").agg(F.count("*").alias("df"))
 
 
-def field_statistics(nodes: DataFrame) -> DataFrame:
+def field_statistics(nodes: DataFrame, post: DataFrame) -> DataFrame:
     """n_nodes and avg_len for each document and field; nodes without the field count with length 0."""
-    lengths = [F.size(T.tokens(F.col("norms")[f])).alias(f) for f in FIELDS]
-    means = nodes.select("doc_id", *lengths).groupBy("doc_id").agg(F.count("*").alias("n_nodes"), *[F.avg(f).alias(f) for f in FIELDS])
-    return means.select("doc_id", "n_nodes", F.explode(F.create_map(*[x for f in FIELDS for x in (F.lit(f), F.col(f))])).alias("field", "avg_len"))
+    sizes = nodes.groupBy("doc_id").agg(F.count("*").alias("n_nodes")).select("doc_id", "n_nodes", F.explode(F.array(*[F.lit(f) for f in FIELDS])).alias("field"))
+    total = post.groupBy("doc_id", "field").agg(F.sum("tf").alias("total"))
+    mean = F.coalesce(F.col("total") / F.col("n_nodes"), F.lit(0.0))
+    return sizes.join(total, ["doc_id", "field"], "left").select("doc_id", "n_nodes", "field", mean.alias("avg_len"))
+
+
+def with_statistics(post: DataFrame, field_stats: DataFrame) -> DataFrame:
+    """Postings with what their weight takes: df, n_nodes and avg_len, so that a search joins no statistics."""
+    df = F.count("*").over(Window.partitionBy("doc_id", "field", "term"))
+    return post.withColumn("df", df).join(field_stats, ["doc_id", "field"])
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
 def bm25(tf: Column, df: Column, n: Column, length: Column, average: Column, k1: float, b: float) -> Column:
@@ -91,19 +107,48 @@ class Index:
     settings: Settings
 
     def save(self, path: str) -> None:
-        """Parquet tables, postings sorted by term so that row groups can be skipped, and a manifest."""
-        self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-        n = int(self.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.postings.repartitionByRange(n, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.term_stats.repartitionByRange(n, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
-        self.field_stats.write.mode("overwrite").parquet(f"{path}/field_stats")
-        manifest = json.dumps({"format": FORMAT, "settings": self.settings.as_dict()})
-        self.nodes.sparkSession.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
-
-    def append(self, path: str) -> None:
-        """Adds this index's documents to the tables at ``path``: statistics are by document, so nothing there changes."""
-        for name in ("nodes", "postings", "term_stats", "field_stats"):
-            getattr(self, name).write.mode("append").parquet(f"{path}/{name}")
+        """Writes the tables as a generation of their own, then the manifest that names it, then deletes those before. So an
+        index may be saved where it was loaded from, and a reader sees one or the other."""
+        spark, generation = self.nodes.sparkSession, uuid.uuid4().hex
+        self._write(f"{path}/{generation}", "first")
+        old = _manifest(spark, path)
+        manifest = json.dumps({"format": FORMAT, "generation": generation, "settings": self.settings.as_dict()})
+        spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+        if old:
+            delete(spark, f"{path}/{old['generation']}")
+
+    def append(self, path: str, batch: str | None = None) -> None:
+        """Adds this index's documents to the tables at ``path``: statistics are by document, so nothing there changes. Writing
+        the same ``batch`` again replaces it, and one that isn't written whole isn't seen."""
+        self._write(f"{path}/{_manifest(self.nodes.sparkSession, path)['generation']}", batch or uuid.uuid4().hex)
+
+    def _write(self, base: str, batch: str) -> None:
+        """Nodes, then their postings, tokenised once, then all statistics from these; last the mark that the batch is whole."""
+        spark = self.nodes.sparkSession
+
+        def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+            at = f"{base}/{name}/batch={batch}"
+            df.write.mode("overwrite").partitionBy(*by).parquet(at)
+            return spark.read.parquet(at)
+
+        delete(spark, f"{base}/whole/batch={batch}")
+        nodes = written(self.nodes, "nodes")
+        post = written(postings(field_rows(nodes)), "counted")
+        field_stats = written(field_statistics(nodes, post), "field_stats")
+        order = ("bucket", "term", "doc_id", "node_idx")
+        # Ranges of all of these, so that a term that is everywhere is dealt out; sorted, so that row groups can be skipped.
+        ranged = with_statistics(post, field_stats).withColumn("bucket", bucket(F.col("term"))).repartitionByRange(*order).sortWithinPartitions(*order)
+        ranged = written(ranged, "postings", "bucket")
+        written(ranged.select("doc_id", "field", "term", "df").distinct().sortWithinPartitions("term"), "term_stats")
+        delete(spark, f"{base}/counted/batch={batch}")
+        spark.createDataFrame([(batch,)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/whole/batch={batch}")
+
+
+def _manifest(spark: SparkSession, path: str) -> dict | None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    if not folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder):
+        return None
+    return json.loads(spark.read.text(f"{path}/manifest").first()["value"])
 
 
 def build_index(nodes: DataFrame, settings: Settings | None = None, composed: bool = False) -> Index:
@@ -111,15 +156,21 @@ def build_index(nodes: DataFrame, settings: Settings | None = None, composed: bo
     settings = settings or Settings()
     full = with_fields(complete(nodes), settings.index_include_text, composed)
     post = postings(field_rows(full))
-    return Index(full, post, term_statistics(post), field_statistics(full), settings)
+    field_stats = field_statistics(full, post)
+    return Index(full, with_statistics(post, field_stats), term_statistics(post), field_stats, settings)
 
 
 def load_index(spark: SparkSession, path: str) -> Index:
-    """The saved index. Settings that the manifest lacks take their defaults; stored zeros stay."""
-    manifest = json.loads(spark.read.text(f"{path}/manifest").first()["value"])
+    """The saved index, without batches that aren't whole. Settings that the manifest lacks take their defaults; stored zeros
+    stay."""
+    manifest = _manifest(spark, path)
+    if manifest is None or manifest.get("format") != FORMAT:
+        raise ValueError(f"no index of format {FORMAT} at {path}")
     stored = manifest.get("settings", {})
     for name in ("recursive_split_heading_patterns",):
         if name in stored:
             stored[name] = tuple(stored[name])
-    tables = [spark.read.parquet(f"{path}/{name}") for name in ("nodes", "postings", "term_stats", "field_stats")]
+    base = f"{path}/{manifest['generation']}"
+    whole = [r["value"] for r in spark.read.text(f"{base}/whole").select("value").collect()]
+    tables = [spark.read.option("basePath", f"{base}/{name}").parquet(*[f"{base}/{name}/batch={b}" for b in whole]).drop("batch") for name in TABLES]
     return Index(*tables, load(stored=stored))

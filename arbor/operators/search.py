@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbor.functions import text as T
-from arbor.operators.index import Index, bm25
+from arbor.operators.index import Index, bm25, bucket
 from arbor.settings import FIELDS, PHRASE_FIELDS, Settings
 
 #: Share of overlapping pages beyond which results are alike, and the length of a snippet without a hit.
 ALIKE = 0.7
 PLAIN_SNIPPET = 280
+#: Up to so many queries are known to the driver when the plan is made: their terms go into the scan as literals and the
+#: queries are broadcast. A larger table of queries is joined like any other; the results are the same.
+FEW_QUERIES = 1000
 SNIPPET_FIELDS = ("text", "summary", "prefix_summary", "title")
 
 
@@ -45,27 +48,48 @@ def analysed(queries: DataFrame, composed: bool = False) -> DataFrame:
     return q.select("qid", "query", "norm", T.terms(F.col("norm")).alias("terms"), T.phrases(F.col("query"), composed).alias("phrases"), F.trim("query").alias("raw_id"))
 
 
-def hits(index: Index, analysed_queries: DataFrame) -> DataFrame:
-    """A row for each query term in a field of a node: qid, doc_id, node_idx, field, term, ord, tf, positions, part."""
+def few(analysed_queries: DataFrame) -> list[Row] | None:
+    """The queries, if they are at most ``FEW_QUERIES``."""
+    rows = analysed_queries.select("qid", "norm", "terms", "phrases", "raw_id").limit(FEW_QUERIES + 1).collect()
+    return rows if len(rows) <= FEW_QUERIES else None
+
+
+def hits(index: Index, analysed_queries: DataFrame, known: list[Row] | None = None) -> DataFrame:
+    """A row for each query term in a field of a node: qid, doc_id, node_idx, field, term, ord, tf, positions, part.
+
+    ``known`` are the queries if they are few: only their terms are read then, and only folders of a saved index that may
+    hold them. Postings have their statistics with them, so nothing is shuffled here.
+    """
     s = index.settings
     wanted = analysed_queries.select("qid", F.posexplode("terms").alias("ord", "term"))
-    found = index.postings.join(wanted, "term")
-    found = found.join(index.term_stats, ["doc_id", "field", "term"]).join(index.field_stats, ["doc_id", "field"])
+    found = index.postings
+    if known is not None:
+        literal = sorted({t for r in known for t in r["terms"]})
+        found, wanted = found.where(F.col("term").isin(literal)), F.broadcast(wanted)
+        if "bucket" in found.columns and literal:
+            spark = found.sparkSession
+            places = spark.createDataFrame([(t,) for t in literal], "term string").select(bucket(F.col("term")).alias("b")).distinct().collect()
+            found = found.where(F.col("bucket").isin([r["b"] for r in places]))
+    found = found.join(wanted, "term")
     weight = F.element_at(F.create_map(*[x for f in FIELDS for x in (F.lit(f), F.lit(float(s.weights[f])))]), F.col("field"))
     part = F.when(weight > 0, weight * bm25(F.col("tf"), F.col("df"), F.col("n_nodes"), F.col("field_len"), F.col("avg_len"), s.bm25_k1, s.bm25_b)).otherwise(0.0)
     return found.select("qid", "doc_id", "node_idx", "field", "term", "ord", "tf", "positions", part.alias("part"))
 
 
-def candidates(index: Index, analysed_queries: DataFrame) -> DataFrame:
+def candidates(index: Index, analysed_queries: DataFrame, known: list[Row] | None = None) -> DataFrame:
     """Nodes with any term in any field, whose title is the query, or whose id is the query: qid, doc_id, node_idx, found.
 
-    ``found`` holds the hits of the node, one for each field and term, so all scoring is by row from here on.
+    ``found`` holds the hits of the node, one for each field and term, so all scoring is by row from here on. Rows are dealt
+    by node, which is how they then meet the nodes.
     """
-    hit = hits(index, analysed_queries).select("qid", "doc_id", "node_idx", F.struct("field", "ord", "term", "part", "positions").alias("h"))
-    none = F.lit(None).cast(hit.schema["h"].dataType)
-    title = index.nodes.join(analysed_queries, F.col("norms")["title"] == F.col("norm")).select("qid", "doc_id", "node_idx", none.alias("h"))
-    by_id = index.nodes.join(analysed_queries, F.col("node_id") == F.col("raw_id")).select("qid", "doc_id", "node_idx", none.alias("h"))
-    return hit.unionByName(title).unionByName(by_id).groupBy("qid", "doc_id", "node_idx").agg(F.collect_list("h").alias("found"))
+    hit = hits(index, analysed_queries, known).select("qid", "doc_id", "node_idx", F.struct("field", "ord", "term", "part", "positions").alias("h"))
+    names = F.explode(F.array(F.struct(F.lit("title").alias("kind"), F.col("norms")["title"].alias("name")), F.struct(F.lit("id").alias("kind"), F.col("node_id").alias("name"))))
+    named = index.nodes.select("doc_id", "node_idx", names.alias("n")).select("doc_id", "node_idx", "n.kind", "n.name")
+    asked = analysed_queries.select("qid", F.explode(F.array(F.struct(F.lit("title").alias("kind"), F.col("norm").alias("name")), F.struct(F.lit("id").alias("kind"), F.col("raw_id").alias("name")))).alias("n")).select("qid", "n.kind", "n.name")
+    if known is not None:
+        named, asked = named.where(F.col("name").isin(sorted({x for r in known for x in (r["norm"], r["raw_id"])}))), F.broadcast(asked)
+    by_name = named.join(asked, ["kind", "name"]).select("qid", "doc_id", "node_idx", F.lit(None).cast(hit.schema["h"].dataType).alias("h"))
+    return hit.unionByName(by_name).repartition("doc_id", "node_idx").groupBy("qid", "doc_id", "node_idx").agg(F.collect_list("h").alias("found"))
 
 
 def allowed(nodes: DataFrame, request: Request) -> DataFrame:
@@ -123,14 +147,18 @@ def scored(index: Index, queries: DataFrame, request: Request, composed: bool =
     s = index.settings
     bonus = {k: float(v) for k, v in s.bonuses.items()}
     asked = analysed(queries, composed)
-    cand = candidates(index, asked).join(asked, "qid").join(allowed(index.nodes, request), ["doc_id", "node_idx"])
+    known = few(asked)
+    nodes = allowed(index.nodes, request).select("doc_id", "node_idx", "node_id", "parent_id", "start_index", "end_index", "depth", "is_leaf", "norms")
+    phrased = known is None or any(r["phrases"] for r in known)
+    cand = candidates(index, asked, known).join(F.broadcast(asked) if known is not None else asked, "qid").join(nodes, ["doc_id", "node_idx"])
     found = F.filter("found", lambda h: h.isNotNull())
     live = F.filter(found, lambda h: h["part"] != 0)
     title = F.col("norms")["title"]
     cand = cand.withColumns({"found": found, "matched_terms": F.array_sort(F.array_distinct(live["term"]))})
     exact = F.when(((title == F.col("norm")) & (title != "")) | F.array_contains("phrases", title), bonus["exact_title"]).otherwise(0.0)
     by_id = F.when(F.col("node_id") == F.col("raw_id"), bonus["exact_title"]).otherwise(0.0)
-    held = [_phrases_in(F.col("norms")[f]) for f in PHRASE_FIELDS]
+    # Without a phrase in any query the long fields needn't be read.
+    held = [_phrases_in(F.col("norms")[f]) if phrased else F.array().cast("array<string>") for f in PHRASE_FIELDS]
     matches = F.map_filter(F.map_from_arrays(F.array(*[F.lit(f) for f in PHRASE_FIELDS]), F.array(*held)), lambda f, p: F.size(p) > 0)
     n_matches = sum((F.size(h) for h in held), F.lit(0))
     near = proximity(F.col("found"), s.proximity_window, bonus["proximity"])
@@ -150,16 +178,21 @@ def scored(index: Index, queries: DataFrame, request: Request, composed: bool =
     total = total + F.col("exact_bonus") + F.col("id_bonus") + F.col("phrase_bonus") + F.col("near")["value"] + F.col("leaf_bonus") + F.col("all_bonus")
     titled = F.when((F.col("exact_bonus") != 0) | (F.col("id_bonus") != 0), F.array(F.lit("title"))).otherwise(F.array().cast("array<string>"))
     out = parts.withColumns({"score": F.bround(total, 6), "matched_fields": F.array_sort(F.array_distinct(F.concat(F.map_keys("field_sums"), titled, F.map_keys("phrase_matches"))))})
-    return out.where("score > 0")
+    kept = out.where("score > 0").withColumn("same", _same()).drop("norms", "found", "query", "norm", "raw_id")
+    return kept.repartition("qid", "doc_id")
 
 
-def deduplicated(rows: DataFrame) -> DataFrame:
-    """The best of the nodes with the same summary, or the same title and pages if they have none, in a document."""
+def _same() -> Column:
+    """What nodes of a document must share to be one result: the summary, or the title and pages if they have none."""
     summary = F.col("norms")["summary"]
-    key = F.when(summary != "", F.struct(F.lit(0).alias("k"), summary.alias("v"), F.lit(0).alias("s"), F.lit(0).alias("e"))).otherwise(
+    return F.when(summary != "", F.struct(F.lit(0).alias("k"), summary.alias("v"), F.lit(0).alias("s"), F.lit(0).alias("e"))).otherwise(
         F.struct(F.lit(1).alias("k"), F.col("norms")["title"].alias("v"), F.col("start_index").alias("s"), F.col("end_index").alias("e"))
     )
-    best = Window.partitionBy("qid", "doc_id", key).orderBy(F.desc("score"), "node_idx")
+
+
+def deduplicated(rows: DataFrame) -> DataFrame:
+    """The best of the nodes with the same summary, or the same title and pages if they have none, in a document."""
+    best = Window.partitionBy("qid", "doc_id", "same").orderBy(F.desc("score"), "node_idx")
     return rows.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
 
@@ -180,8 +213,10 @@ def diverse(rows: DataFrame, top_k: int, penalty: float, keys: tuple[str, ...] =
     kth = F.max(F.when(F.col("_n") == top_k, F.col("score"))).over(Window.partitionBy(*keys))
     near = rows.withColumn("_n", F.row_number().over(order)).withColumn("_k", kth)
     near = near.where(F.col("_k").isNull() | (F.col("score") >= F.col("_k") - (top_k - 1) * penalty - 1e-9))
-    item = F.struct(F.col("_n").alias("n"), F.col("score").alias("score"), F.col("parent_id").alias("parent"), F.col("start_index").alias("s"), F.col("end_index").alias("e"), F.col("node_idx").alias("node_idx"))
-    gathered = near.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    others = [c for c in rows.columns if c not in keys]
+    # A row goes along whole, so that the chosen ones need no join back.
+    item = F.struct(F.col("_n").alias("n"), F.col("score").alias("score"), F.col("parent_id").alias("parent"), F.col("start_index").alias("s"), F.col("end_index").alias("e"), F.struct(*others).alias("row"))
+    gathered = near.groupBy(*keys).agg(F.collect_list(item).alias("items"))
     kind = gathered.schema["items"].dataType.simpleString()
 
     def pick(state: Column, _: Column) -> Column:
@@ -199,8 +234,8 @@ def diverse(rows: DataFrame, top_k: int, penalty: float, keys: tuple[str, ...] =
 
     start = F.struct(F.array().cast(kind).alias("chosen"), F.col("items").alias("rest"))
     picked = gathered.select(*keys, F.aggregate(F.sequence(F.lit(1), F.least(F.lit(top_k), F.size("items"))), start, pick)["chosen"].alias("chosen"))
-    ranks = picked.select(*keys, F.posexplode("chosen").alias("rank", "c")).select(*keys, (F.col("rank") + 1).alias("rank"), F.col("c.node_idx").alias("node_idx"))
-    return rows.join(ranks, [*keys, "node_idx"])
+    ranked = picked.select(*keys, F.posexplode("chosen").alias("rank", "c"))
+    return ranked.select(*keys, "c.row.*", (F.col("rank") + 1).alias("rank"))
 
 
 def cut_snippet(text: Column, hit: Column, most: int, context: int) -> Column:
@@ -223,11 +258,12 @@ def _found_in(low: Column, terms: Column) -> tuple[Column, Column]:
     return matched, F.array_min(F.transform(matched, lambda t: F.position(t, low) - 1))
 
 
-def snippet(fields: dict[str, Column], terms: Column, most: int, context: int) -> Column:
-    """(snippet, highlights, field): from the field with most different terms, the first of equals; else the first field."""
+def snippet(fields: dict[str, Column], terms: Column, most: int, context: int, compact: bool = False) -> Column:
+    """(snippet, highlights, field): from the field with most different terms, the first of equals; else the first field.
+    ``compact`` says that the fields are in ``T.compact``'s form already."""
     found = []
     for k, name in enumerate(SNIPPET_FIELDS):
-        text = T.compact(fields[name])
+        text = fields[name] if compact else T.compact(fields[name])
         low = F.lower(text)
         matched, hit = _found_in(low, terms)
         found.append(F.struct(F.size(matched).alias("n"), F.lit(-k).alias("k"), text.alias("text"), hit.alias("hit"), F.lit(name).alias("field")))
@@ -239,7 +275,7 @@ def snippet(fields: dict[str, Column], terms: Column, most: int, context: int) -
 
 def decorated(rows: DataFrame, settings: Settings, ancestors: int, explain: bool = False) -> DataFrame:
     """Result columns of ranked rows, with the parts of the score if ``explain``."""
-    shot = snippet({f: F.col(f) for f in SNIPPET_FIELDS}, F.col("terms"), settings.snippet_max_chars, settings.snippet_context_chars)
+    shot = snippet({f: F.col(f"compact_{f}") for f in SNIPPET_FIELDS}, F.col("terms"), settings.snippet_max_chars, settings.snippet_context_chars, compact=True)
     rows = rows.withColumn("_s", shot)
     up = F.slice("ancestor_ids", F.greatest(F.size("ancestor_ids") - ancestors + 1, F.lit(1)), ancestors) if ancestors > 0 else F.array().cast("array<string>")
     columns = [
@@ -271,8 +307,11 @@ def search_queries(index: Index, queries: DataFrame, request: Request | None = N
     """Results for a table of queries (qid, query): for each query and document up to top_k rows, ranked."""
     s = index.settings
     request = (request or Request()).filled(s)
-    rows = deduplicated(scored(index, queries, request, composed))
-    return decorated(diverse(rows, request.top_k, s.diversity_penalty), s, request.expand_ancestors, explain)
+    rows = diverse(deduplicated(scored(index, queries, request, composed)), request.top_k, s.diversity_penalty)
+    # Only the results meet the columns that are shown.
+    compact = [T.compact(F.col(f)).alias(f"compact_{f}") for f in SNIPPET_FIELDS]
+    shown = index.nodes.select("doc_id", "node_idx", "title", "summary", "prefix_summary", "path_titles", "ancestor_ids", *compact)
+    return decorated(rows.join(shown, ["doc_id", "node_idx"]), s, request.expand_ancestors, explain)
 
 
 def search_index(index: Index, query: str, request: Request | None = None, explain: bool | None = None) -> DataFrame:

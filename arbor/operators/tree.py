@@ -154,15 +154,16 @@ def numbered(rows: DataFrame, first: int = 0) -> DataFrame:
     return rows.withColumn("node_id", padded(F.row_number().over(in_document("pos")) - 1 + first))
 
 
-def linked_nodes(rows: DataFrame, most_depth: int = 64) -> DataFrame:
+def linked_nodes(rows: DataFrame) -> DataFrame:
     """Nodes from rows (doc_id, pos, parent_pos, node_id, title and others): node_idx, depth, parent_id, ancestor_ids,
-    path_titles, child_ids, is_leaf. One join for each level of depth; documents of all sizes go through the same joins."""
+    path_titles, child_ids, is_leaf. One join for each level of depth, as many as there are; documents of all sizes go through
+    the same joins. Rows whose parent is not among them are left out."""
     base = cut(rows).withColumn("node_idx", F.row_number().over(in_document("pos")) - 1)
     name = F.when(F.coalesce("title", F.lit("")) != "", F.array("title")).otherwise(F.array().cast("array<string>"))
     level = base.where("parent_pos is null").select("doc_id", "pos", F.lit(1).alias("depth"), F.lit(None).cast("string").alias("parent_id"), F.array().cast("array<string>").alias("ancestor_ids"), name.alias("path_titles"), F.col("node_id").alias("_own"))
     found = level
     edges = base.where("parent_pos is not null").select("doc_id", F.col("pos").alias("child_pos"), F.col("parent_pos").alias("pos"), F.col("node_id").alias("child_id"), name.alias("child_name"))
-    for _ in range(most_depth):
+    while True:
         level = edges.join(level, ["doc_id", "pos"]).select(
             "doc_id", F.col("child_pos").alias("pos"), (F.col("depth") + 1).alias("depth"), F.col("_own").alias("parent_id"), F.concat("ancestor_ids", F.array("_own")).alias("ancestor_ids"), F.concat("path_titles", "child_name").alias("path_titles"), F.col("child_id").alias("_own")
         )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from arbor import clients
 from arbor.functions import text as T
 from arbor.operators import corpus, index, pages, search, toc, tree
+from arbor.operators.lineage import shared_folder
 from arbor.plans import views as V
 from arbor.settings import Settings
 from arbor.sources import files
@@ -41,12 +43,22 @@ def oracle_sql() -> dict:
     return dict(_SQL)
 
 
+_saved: dict[tuple[str, str], str] = {}
+
+
 def _index(spark: SparkSession, sf_dir: str) -> index.Index:
-    return index.build_index(V.doc_nodes(spark, sf_dir), Settings(index_include_text=True), composed=True)
+    """The index of all documents. As an index is made to be asked many times, it is built and saved once for a session, in
+    the shared folder; a query reads what it needs of the saved one."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _saved:
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        index.build_index(V.doc_nodes(spark, sf_dir), Settings(index_include_text=True)).save(path)
+        _saved[key] = path
+    return index.load_index(spark, _saved[key])
 
 
 def _asked(spark: SparkSession, text: str = QUERY) -> DataFrame:
-    return search.analysed(spark.createDataFrame([(0, text)], "qid int, query string"), composed=True)
+    return search.analysed(spark.createDataFrame([(0, text)], "qid int, query string"))
 
 
 # Text
@@ -232,11 +244,10 @@ def toc_dedupe(spark, sf_dir):
     return toc.toc_entries(V.toc_lines(spark, sf_dir)).select("doc_id", "structure", "title", "page")
 
 
-@query(r"select p_partkey, (case when lower(p_type) in ('overview', 'summary') then -40 else 0 end) + (case when regexp_matches(p_name, '(?i)\b(table|figure|appendix|exhibit|chart)\b') then 100 else 0 end) + (case when len(string_split(p_name, ' ')) >= 5 then 20 else 0 end) + 20 as score from part")
+@query(r"select p_partkey, (case when lower(p_type) in ('overview', 'summary') then -40 else 0 end) + (case when regexp_matches(p_name, '(?i)\b(table|figure|appendix|exhibit|chart)\b') then 100 else 0 end) + (case when len(string_split(p_name, ' ')) + 1 >= 5 then 20 else 0 end) + 20 as score from part")
 def title_specificity(spark, sf_dir):
     title = F.concat(F.col("p_partkey").cast("string"), F.lit(" "), F.col("p_name"))
-    long = F.when(F.size(F.split("p_name", " ")) == 4, -20).otherwise(0)
-    return V.table(spark, sf_dir, "part").select("p_partkey", (toc.specificity(title) + long).cast("int").alias("score"))
+    return V.table(spark, sf_dir, "part").select("p_partkey", toc.specificity(title).cast("int").alias("score"))
 
 
 @query(f"with {V.LINES} select doc_id, cast((line_no - 1) // {V.PAGE} + 1 as int) as page_no, true as is_toc from lines where len({_STRIPPED} || ' 12') >= 15 group by 1, 2 having count(*) >= 2")
@@ -436,31 +447,31 @@ _PHRASED = _HITS.replace("@TERMS@", "('of', 0), ('the', 1), ('and', 2), ('that',
 
 @query(f"with {_PHRASED} select doc_id, node_idx, round(raw, 6) as score from scores")
 def score_full(spark, sf_dir):
-    s = search.scored(_index(spark, sf_dir), spark.createDataFrame([(0, PHRASED)], "qid int, query string"), search.Request(10, 1, False), composed=True)
+    s = search.scored(_index(spark, sf_dir), spark.createDataFrame([(0, PHRASED)], "qid int, query string"), search.Request(10, 1, False))
     return s.select("doc_id", "node_idx", "score")
 
 
 @query(f"with {_PHRASED} select doc_id, node_idx, round(v, 6) as bonus from prox")
 def proximity_bonus(spark, sf_dir):
-    s = search.scored(_index(spark, sf_dir), spark.createDataFrame([(0, PHRASED)], "qid int, query string"), search.Request(10, 1, False), composed=True)
+    s = search.scored(_index(spark, sf_dir), spark.createDataFrame([(0, PHRASED)], "qid int, query string"), search.Request(10, 1, False))
     return s.where("near.value > 0").select("doc_id", "node_idx", F.round("near.value", 6).alias("bonus"))
 
 
 @query(f"with {_PHRASED} select doc_id, node_idx, cast(v as double) as bonus from phr join (select doc_id, node_idx from scores) using (doc_id, node_idx)")
 def phrase_bonus(spark, sf_dir):
-    s = search.scored(_index(spark, sf_dir), spark.createDataFrame([(0, PHRASED)], "qid int, query string"), search.Request(10, 1, False), composed=True)
+    s = search.scored(_index(spark, sf_dir), spark.createDataFrame([(0, PHRASED)], "qid int, query string"), search.Request(10, 1, False))
     return s.where("phrase_bonus > 0").select("doc_id", "node_idx", F.col("phrase_bonus").cast("double").alias("bonus"))
 
 
 @query(f"with {V.NODES} select doc_id, node_idx, 5.0::double as bonus from nodes where {V.norm_sql('title')} = 'src3'")
 def exact_title_bonus(spark, sf_dir):
-    s = search.scored(_index(spark, sf_dir), spark.createDataFrame([(0, "SRC3")], "qid int, query string"), search.Request(10, 1, False), composed=True)
+    s = search.scored(_index(spark, sf_dir), spark.createDataFrame([(0, "SRC3")], "qid int, query string"), search.Request(10, 1, False))
     return s.where("exact_bonus > 0").select("doc_id", "node_idx", F.col("exact_bonus").cast("double").alias("bonus"))
 
 
 @query(f"with {V.NODES} select doc_id, node_idx, 5.0::double as bonus from nodes where node_id = '0003'")
 def node_id_bonus(spark, sf_dir):
-    s = search.scored(_index(spark, sf_dir), spark.createDataFrame([(0, " 0003 ")], "qid int, query string"), search.Request(10, 1, False), composed=True)
+    s = search.scored(_index(spark, sf_dir), spark.createDataFrame([(0, " 0003 ")], "qid int, query string"), search.Request(10, 1, False))
     return s.where("id_bonus > 0").select("doc_id", "node_idx", F.col("id_bonus").cast("double").alias("bonus"))
 
 
@@ -471,23 +482,43 @@ def node_id_bonus(spark, sf_dir):
     f"with {_PHRASED}, ranked as (select *, row_number() over (partition by doc_id, {V.norm_sql('title')}, start_index, end_index order by round(raw, 6) desc, node_idx) as k from scores) select doc_id, node_idx from ranked where k = 1"
 )
 def dedupe(spark, sf_dir):
-    s = search.scored(_index(spark, sf_dir), spark.createDataFrame([(0, PHRASED)], "qid int, query string"), search.Request(10, 1, False), composed=True)
+    s = search.scored(_index(spark, sf_dir), spark.createDataFrame([(0, PHRASED)], "qid int, query string"), search.Request(10, 1, False))
     return search.deduplicated(s).select("doc_id", "node_idx")
 
 
-_RANKED = _PHRASED + ", ranked as (select *, row_number() over (partition by doc_id order by round(raw, 6) desc, start_index, node_id) as k from scores)"
+def _greedy(pool: str, k: int, keys: str = "doc_id") -> str:
+    """CTEs that choose from ``pool`` (keys, node_idx, node_id, score, parent_id, start_index, end_index) in ``k`` rounds: each
+    the best by score less 0.75 for every row chosen before that has the same parent or shares over 0.7 of the shorter span."""
+    on = " and ".join(f"c.{x} = p.{x}" for x in keys.split(", "))
+    share = "greatest(0, least(c.end_index, p.end_index) - greatest(c.start_index, p.start_index) + 1) / cast(least(greatest(c.end_index - c.start_index + 1, 1), greatest(p.end_index - p.start_index + 1, 1)) as double)"
+    alike = f"(c.parent_id = p.parent_id or {share} > 0.7)"
+    out = [f"chosen0 as (select {keys}, node_idx, score, parent_id, start_index, end_index, node_id, 0 as rank from {pool} where false)"]
+    for n in range(1, k + 1):
+        out.append(
+            f"chosen{n} as (select * from chosen{n - 1} union all select {keys}, node_idx, score, parent_id, start_index, end_index, node_id, {n} as rank from (select p.*, row_number() over (partition by {', '.join(f'p.{x}' for x in keys.split(', '))} order by "
+            f"p.score - 0.75 * (select count(*) from chosen{n - 1} c where {on} and {alike}) desc, p.score desc, p.start_index, p.node_id, p.node_idx) as k from {pool} p where not exists (select 1 from chosen{n - 1} c where {on} and c.node_idx = p.node_idx)) where k = 1)"
+        )
+    return ", ".join(out)
+
+
+_POOL = _PHRASED + f", pool as (select doc_id, node_idx, node_id, round(raw, 6) as score, parent_id, start_index, end_index from (select *, row_number() over (partition by doc_id, {V.norm_sql('title')}, start_index, end_index order by round(raw, 6) desc, node_idx) as same from scores) where same = 1)"
 
 
-@query(f"with {_RANKED}, first as (select * from ranked where k = 1) select doc_id, node_id from first")
+@query(f"with {_POOL}, {_greedy('pool', 1)} select doc_id, node_id from chosen1")
 def best_of_each_document(spark, sf_dir):
-    s = search.search_queries(_index(spark, sf_dir), spark.createDataFrame([(0, PHRASED)], "qid int, query string"), search.Request(top_k=1), composed=True)
+    s = search.search_queries(_index(spark, sf_dir), spark.createDataFrame([(0, PHRASED)], "qid int, query string"), search.Request(top_k=1))
     return s.select("doc_id", "node_id")
 
 
-@query()
+_SECTIONED = _POOL + ", sectioned as (select doc_id, node_idx, node_id, score, 's' || cast(node_idx // 3 as varchar) as parent_id, start_index, start_index + 4 as end_index from pool)"
+
+
+@query(f"with {_SECTIONED}, {_greedy('sectioned', 5)} select doc_id, cast(rank as int) as rank, node_id, score from chosen5")
 def diversity_topk(spark, sf_dir):
-    s = search.search_queries(_index(spark, sf_dir), spark.createDataFrame([(0, PHRASED)], "qid int, query string"), search.Request(top_k=5), composed=True)
-    return s.select("doc_id", "rank", "node_id", "score")
+    """The five of each document when three lines in a row are of one section and a node spans five pages."""
+    s = search.deduplicated(search.scored(_index(spark, sf_dir), spark.createDataFrame([(0, PHRASED)], "qid int, query string"), search.Request(10, 1, False)))
+    s = s.withColumns({"parent_id": F.concat(F.lit("s"), F.floor(F.col("node_idx") / 3).cast("string")), "end_index": F.col("start_index") + 4})
+    return search.diverse(s, 5, 0.75).select("doc_id", "rank", "node_id", "score")
 
 
 @query(
@@ -515,11 +546,36 @@ def snippet(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").select("doc_id", made["snippet"].alias("snippet"))
 
 
-@query()
+_T = r"case when text is not null then regexp_replace(text, '\s+', ' ', 'g') else title end"
+_RESULTS = (
+    V.POSTINGS
+    + f""", asked as (select qid, query, {V.norm_sql('query')} as norm, list_distinct({V.tokens_sql(V.norm_sql('query'))}) as some, {V.tokens_sql(V.norm_sql('query'))} as toks from (select item_id as qid, {V.FIRST_WORDS.format('text', 3)} as query from benchmark)),
+wanted as (select qid, term, row_number() over (partition by qid order by first) - 1 as ord from (select qid, term, min(n) as first from (select qid, unnest(toks) as term, unnest(range(0, len(toks))) as n from asked) group by 1, 2)),
+hits as (select qid, doc_id, field, term, node_idx, positions, ord, (case field when 'title' then 5.0 when 'path_titles' then 3.5 when 'summary' then 3.0 when 'prefix_summary' then 2.5 else 1.0 end) * ln(1 + (n_nodes - df + 0.5) / (df + 0.5)) * 2.2 * tf / (1.2 * (0.25 + 0.75 * greatest(field_len, 1) / (case when avg_len > 0 then avg_len else 1 end)) + tf) as part
+  from postings join wanted using (term) join term_stats using (doc_id, field, term) join field_stats using (doc_id, field)),
+gaps as (select a.qid, a.doc_id, a.node_idx, list_min(flatten(list_transform(a.positions, lambda x: list_transform(b.positions, lambda y: abs(x - y))))) as gap from hits a join hits b on a.qid = b.qid and a.doc_id = b.doc_id and a.node_idx = b.node_idx and a.field = b.field and b.ord = a.ord + 1),
+prox as (select qid, doc_id, node_idx, max(1.5 / (1 + gap)) as v from gaps where gap <= 12 group by 1, 2, 3),
+bm as (select qid, doc_id, node_idx, sum(part) as v, count(distinct term) as n, string_agg(distinct term, ' ' order by term) as matched_terms from hits group by 1, 2, 3),
+titled as (select qid, doc_id, node_idx from nodes join asked on {V.norm_sql('title')} = norm),
+cand as (select qid, doc_id, node_idx from bm union select qid, doc_id, node_idx from titled),
+scored as (select c.qid, n.*, round(coalesce(bm.v, 0) + case when t.qid is not null then 5.0 else 0 end + coalesce(prox.v, 0) + case when is_leaf then 1.0 else 0 end + case when bm.n = len(a.some) then 2.0 else 0 end, 6) as score, coalesce(matched_terms, '') as matched_terms, a.toks
+  from cand c join nodes n using (doc_id, node_idx) join asked a on a.qid = c.qid left join bm on bm.qid = c.qid and bm.doc_id = c.doc_id and bm.node_idx = c.node_idx left join prox on prox.qid = c.qid and prox.doc_id = c.doc_id and prox.node_idx = c.node_idx left join titled t on t.qid = c.qid and t.doc_id = c.doc_id and t.node_idx = c.node_idx),
+pool as (select * from (select *, row_number() over (partition by qid, doc_id, {V.norm_sql('title')}, start_index, end_index order by score desc, node_idx) as same from scored) where same = 1 and score > 0)"""
+)
+_SHOWN = (
+    f"shown as (select c.qid, c.doc_id, c.rank, c.node_id, p.title, c.score, p.matched_terms, trim({_T}) as t, len(trim({_T})) as n, list_min(list_filter(list_transform(toks, lambda w: strpos(lower(trim({_T})), w) - 1), lambda x: x >= 0)) as hit "
+    "from chosen3 c join pool p on p.qid = c.qid and p.doc_id = c.doc_id and p.node_idx = c.node_idx), cuts as (select *, greatest(0, hit - 120) as s0, least(n, greatest(0, hit - 120) + 320) as e0 from shown), placed as (select *, case when e0 - s0 < 320 and s0 > 0 then greatest(0, e0 - 320) else s0 end as s from cuts)"
+)
+
+
+@query(
+    f"with {_RESULTS}, {_greedy('pool', 3, 'qid, doc_id')}, {_SHOWN} select qid, doc_id, cast(rank as int) as rank, node_id, title, score, matched_terms, "
+    "case when hit is null then trim(left(t, 280)) || case when n > len(trim(left(t, 280))) then '...' else '' end else (case when s > 0 then '...' else '' end) || trim(substr(t, cast(s as int) + 1, cast(e0 - s as int))) || (case when e0 < n then '...' else '' end) end as snippet from placed"
+)
 def search_results(spark, sf_dir):
-    """Up to three results in each document for a query of three words from each of the benchmark's items."""
+    """Up to three results in each document for a query of three words, as users ask them, from each of the benchmark's items."""
     asked = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), V.first_words(F.col("text"), 3).alias("query"))
-    s = search.search_queries(_index(spark, sf_dir), asked, search.Request(top_k=3), composed=True)
+    s = search.search_queries(_index(spark, sf_dir), asked, search.Request(top_k=3))
     return s.select("qid", "doc_id", "rank", "node_id", "title", "score", "snippet", F.array_join("matched_terms", " ").alias("matched_terms"))
 
 
@@ -554,13 +610,13 @@ def document_ids(spark, sf_dir):
 
 
 @query(
-    f"with {_RANKED} select doc_id, node_id, score, cast(row_number() over (order by score desc, doc_id, start_index, node_id) as int) as rank from (select doc_id, node_id, round(raw, 6) as score, start_index from ranked join (select distinct cast(doc_id as varchar) as doc_id from documents where lang = 'en') using (doc_id) where k = 1) "
-    "qualify row_number() over (order by score desc, doc_id, start_index, node_id) <= 1"
+    f"with {_POOL}, english as (select * from pool where doc_id in (select cast(doc_id as varchar) from documents where lang = 'en')), {_greedy('english', 10)} "
+    "select doc_id, node_id, score, cast(row_number() over (order by score desc, doc_id, start_index, node_id) as int) as rank from chosen10 qualify row_number() over (order by score desc, doc_id, start_index, node_id) <= 10"
 )
 def search_corpus(spark, sf_dir):
     c = corpus.Corpus(V.catalog(spark, sf_dir), _index(spark, sf_dir))
     asked = spark.createDataFrame([(0, PHRASED)], "qid int, query string")
-    s = corpus.search_corpus(c, asked, corpus.CorpusFilter(doc_type="en"), search.Request(top_k=1), composed=True)
+    s = corpus.search_corpus(c, asked, corpus.CorpusFilter(doc_type="en"), search.Request(top_k=10))
     return s.select("doc_id", "node_id", "score", "rank")
 
 

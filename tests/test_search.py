@@ -176,6 +176,31 @@ def test_save_load_and_append(spark, tmp_path):
     assert {r.doc_id for r in S.search_index(I.load_index(spark, str(tmp_path / "ix")), "alpha").collect()} == {"d", "e"}
 
 
+def test_a_saved_index_reads_only_folders_of_its_terms(spark, tmp_path):
+    ix = build(spark, random_rows(11, 12), FULL)
+    ix.save(str(tmp_path / "ix"))
+    again = I.load_index(spark, str(tmp_path / "ix"))
+    asked = S.analysed(spark.createDataFrame([(0, "alpha")], "qid int, query string"))
+    plan = S.hits(again, asked, S.few(asked))._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.splitlines() if "FileScan" in x]
+    assert len(scans) == 1 and "PartitionFilters: [" in scans[0] and "bucket" in scans[0].split("PartitionFilters: [")[1].split("]")[0]
+    assert "EqualTo(term,alpha)" in scans[0] or "In(term, [alpha])" in scans[0]
+    assert "Exchange hashpartitioning" not in plan
+    want = S.hits(ix, asked).select("doc_id", "node_idx", "field", "term", "tf").collect()
+    assert sorted(S.hits(again, asked, None).select("doc_id", "node_idx", "field", "term", "tf").collect()) == sorted(want)
+    again.save(str(tmp_path / "ix"))  # where it was loaded from
+    assert I.load_index(spark, str(tmp_path / "ix")).nodes.count() == 12
+
+
+def test_a_batch_that_comes_again_replaces_itself(spark, tmp_path):
+    path = str(tmp_path / "ix")
+    build(spark, random_rows(12, 6)).save(path)
+    more = build(spark, [("new", *r[1:]) for r in random_rows(13, 6)])
+    for _ in range(2):
+        more.append(path, "7")
+    assert I.load_index(spark, path).nodes.where("doc_id = 'new'").count() == 6
+
+
 def test_stream_appends(spark, tmp_path):
     from arbor.streaming import append_index
 
