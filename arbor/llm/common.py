@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbor.operators.lineage import cut, drop, shared_folder, unused
+
+__all__ = ["WordHashes", "cut", "drop", "held_out", "mixed", "partitions", "rolling", "seeds", "shared_folder", "signed", "table", "unused", "words"]
+
 #: ASCII characters other than letters and digits become spaces and A-Z become a-z; bytes over 0x7F stay.
 _WORD_BYTES = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
@@ -76,42 +75,5 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the checkpoint folder of the running context or of the session's settings.
-    A session whose master is on this machine may do without, as tests do; then it is a temporary one. A cluster may not."""
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="arbor-shared-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written as a table in the shared folder and read again, so that nothing before has to be computed again."""
-    path = f"{shared_folder(df.sparkSession)}/arbor-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop(*tables: DataFrame) -> None:
-    """Deletes the files of tables that ``cut`` wrote and that nothing reads any more."""
-    for table in tables:
-        for file in table.inputFiles()[:1]:
-            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            if path.getName().startswith("arbor-"):
-                path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
-def unused(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` doesn't have in any case: ``name`` with as many underscores before it as that takes."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
-
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

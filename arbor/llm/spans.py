@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbor.llm.common import WordHashes, cut, mixed, rolling, seeds, signed, words
+from arbor.llm.common import WordHashes, cut, mixed, rolling, seeds, signed, unused
+from arbor.llm.common import words as spaced_words
 
 #: Sentences of a span, and the fewest words a span needs: shorter ones recur by chance.
 SENTENCES = 3
@@ -21,10 +22,22 @@ SHORTEST = 4
 #: Words cut at a time, about.
 AT_ONCE = 200_000
 
+#: Letters of scripts that put no spaces between words: each is a word. Their stops and blanks are in no word.
+_ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_STOPS = "\u3000-\u3004\u3008-\u3040\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65"
+_UNSPACED = re.compile(f"[{_ALONE}{_STOPS}]")
 _WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
+_WORD_OR_LETTER = re.compile(f"[{_ALONE}]|(?:(?![{_ALONE}{_STOPS}])[0-9A-Za-z\\x80-\U0010ffff])+")
 _PLACE = seeds(2 * SHORTEST, 8000)
 
 
+def words(text: str | None) -> list[bytes]:
+    """The words of a text; where a script has no spaces between words, its letters."""
+    if text and not text.isascii() and _UNSPACED.search(text):
+        text = " ".join(_WORD_OR_LETTER.findall(text))
+    return spaced_words(text)
+
+
 def _starts(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Where sentences start in the words of texts laid end to end; ``lengths`` are the texts' numbers of words, over 0.
 
@@ -88,7 +101,8 @@ def _cut_words(texts: list[list[bytes]], cache: WordHashes) -> Iterator[tuple[np
 
 def _places(text: str, starts: np.ndarray) -> list[tuple[int, int]]:
     """(start, end) in the text of the sentences that start at these words."""
-    at = [m.start() for m in _WORD.finditer(text)]
+    pattern = _WORD_OR_LETTER if not text.isascii() and _UNSPACED.search(text) else _WORD
+    at = [m.start() for m in pattern.finditer(text)]
     edges = [0, *[at[k] for k in starts[1:].tolist()], len(text)]
     return list(zip(edges[:-1], edges[1:]))
 
@@ -114,49 +128,66 @@ def _spans(own: np.ndarray, starts: np.ndarray, size: int, n: int, least: int) -
     return rolling(own, n)[long], long
 
 
+def _told_apart(documents: DataFrame) -> list[Column]:
+    """What tells rows apart: none (whether there is no id), k (the id, or for rows without one a hash of the text) and t (that
+    hash). Rows without an id come after all with one."""
+    none, t = F.col("doc_id").isNull(), F.xxhash64("text")
+    return [none.alias("none"), F.when(none, t).otherwise(F.col("doc_id").cast("long")).alias("k"), t.alias("t")]
+
+
 def span_hashes(documents: DataFrame, n: int = SENTENCES, least: int = LEAST_WORDS) -> DataFrame:
-    """One row for each different span of a document: h, doc_id (0 for a null one)."""
+    """One row for each row of ``documents``: none, k and t (see ``_told_apart``), n_sentences, own (whether a span repeats
+    within it) and its different spans, as hashes of 64 bits (h) with 32 more (g) beside them."""
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
         for batch in batches:
-            h, ids = [], []
-            for i, (starts, own, size) in zip(batch["doc_id"], _cut_words([words(t) for t in batch["text"]], cache)):
-                own = np.unique(_spans(own, starts, size, n, least)[0])
-                h.append(own)
-                ids.append(np.full(len(own), i, np.int64))
-            if h:
-                yield pd.DataFrame({"h": signed(np.concatenate(h)), "doc_id": np.concatenate(ids)})
-
-    rows = documents.select(F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(spans, "h long, doc_id long")
-
-
-def repeated_spans(documents: DataFrame, n: int = SENTENCES, least: int = LEAST_WORDS) -> DataFrame:
-    """doc_id and the hashes of its spans whose first holder is another document, with the lowest doc_id."""
-    spans = span_hashes(documents, n, least)
-    first = spans.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
+            rows = []
+            for none, k, t, text, (starts, own, size) in zip(batch["none"], batch["k"], batch["t"], batch["text"], _cut_words([words(x) for x in batch["text"]], cache)):
+                all_spans = _spans(own, starts, size, n, least)[0]
+                once = np.unique(all_spans)
+                rows.append((none, k, t, max(len(starts), int(bool(text))), len(once) < len(all_spans), signed(once), _more(own, once, n)))
+            yield pd.DataFrame(rows, columns=["none", "k", "t", "n_sentences", "own", "h", "g"])
+
+    rows = documents.select(*_told_apart(documents), "text")
+    return rows.mapInPandas(spans, "none boolean, k long, t long, n_sentences int, own boolean, h array<long>, g array<int>")
+
+
+def _more(own: np.ndarray, spans: np.ndarray, n: int) -> np.ndarray:
+    """32 bits from another hash of the sentences of each of ``spans``, which are sorted and different."""
+    if not len(spans):
+        return np.empty(0, np.int32)
+    h = rolling(own, n)
+    order = np.argsort(h, kind="stable")
+    first = order[np.searchsorted(h[order], spans)]
+    return (rolling(mixed(own + np.uint64(0x632BE59BD9B4E019)), n)[first] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def repeated_spans(hashes: DataFrame) -> DataFrame:
+    """none, k and the hashes of the spans of each document whose first holder is another: the one with the lowest doc_id, or
+    without any id the lowest hash."""
+    spans = hashes.select("none", "k", F.explode(F.arrays_zip("h", "g")).alias("s")).select("none", "k", "s.h", "s.g")
+    given, rest = F.when(~F.col("none"), F.col("k")), F.when(F.col("none"), F.col("k"))
+    held = spans.groupBy("h", "g").agg(F.min(given).alias("first"), F.max(given).alias("last"), F.min(rest).alias("first_rest"), F.max(rest).alias("last_rest"))
+    several = (F.col("first") < F.col("last")) | F.col("first_rest").isNotNull() & F.col("first").isNotNull() | (F.col("first_rest") < F.col("last_rest"))
     # Cut, so that the rows of a hot span meet a plain table and can be split.
-    return spans.join(cut(first), "h").where("doc_id > first").groupBy("doc_id").agg(F.collect_list("h").alias("spans"))
+    again = spans.join(cut(held.where(several).select("h", "g", "first", "first_rest")), ["h", "g"])
+    again = again.where(F.when(F.col("none"), F.col("first").isNotNull() | (F.col("k") > F.col("first_rest"))).otherwise(F.col("k") > F.col("first")))
+    return again.groupBy("none", "k").agg(F.collect_set("h").alias("spans"))
 
 
 def _removal(n: int, least: int):
-    @F.pandas_udf("text string, n_sentences int, n_removed int, removed array<array<int>>")
+    @F.pandas_udf("text string, n_removed int, removed array<array<int>>")
     def remove(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
         rows = []
         for text, of, (starts, own, size) in zip(texts, spans, _cut_words([words(t) for t in texts], WordHashes())):
             if text is None:
-                rows.append((None, 0, 0, []))
+                rows.append((None, 0, []))
                 continue
             h, at = _spans(own, starts, size, n, least)
-            again = np.zeros(len(h), bool)
+            again = pd.Series(h).duplicated().to_numpy(bool)  # also within the document
             if of is not None and len(of):
-                again = np.isin(h, np.asarray(of, np.int64).view(np.uint64))
-            if len(np.unique(h)) < len(h):  # also within the document
-                again |= pd.Series(h).duplicated().to_numpy()
-            if not again.any():
-                rows.append((text, max(len(starts), int(text != "")), 0, []))
-                continue
+                again |= np.isin(h, np.asarray(of, np.int64).view(np.uint64))
             cut = _places(text, starts)
             gone = np.zeros(len(cut) + 1, np.int64)
             for k in at[again]:
@@ -164,8 +195,8 @@ def _removal(n: int, least: int):
             kept = "".join(text[a:b] for (a, b), g in zip(cut, gone) if not g)
             edges = np.flatnonzero(np.diff(np.concatenate([[0], gone])))
             removed = [[cut[a][0], cut[b - 1][1]] for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
-            rows.append((kept.rstrip(), len(cut), int(gone.sum()), removed))
-        return pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed", "removed"])
+            rows.append((kept.rstrip() if removed else text, int(gone.sum()), removed))
+        return pd.DataFrame(rows, columns=["text", "n_removed", "removed"])
 
     return remove
 
@@ -175,13 +206,23 @@ def deduplicated(documents: DataFrame, n: int = SENTENCES, least: int = LEAST_WO
 
     A span is ``n`` sentences in a row of at least ``least`` words; spans are alike if their words are, case and punctuation
     apart. Its first occurrence is the first in the document with the lowest doc_id; rows that share a doc_id count as one
-    document, null ids as 0. All others lose the sentences. Adds n_sentences, n_removed and removed (start and end of each
-    removed stretch, in code points of the old text). Null texts stay null, texts without a repeat stay as they are, and
-    other columns are kept. Spans are counted with map-side combining; a span that many documents share is one row there
-    and joins back by its hash, where a hot one is split. Needs columns doc_id and text.
+    document. Rows without an id come after all others and are told apart by their texts. All others lose the sentences. Adds
+    n_sentences, n_removed and removed (start and end of each removed stretch, in code points of the old text), in place of
+    columns of those names; other columns are kept, whatever they are called. Null texts stay null, texts without a repeat
+    stay as they are, and an empty table gives no rows. Needs columns doc_id and text.
+
+    Spans are hashed once and written; they are counted with map-side combining, and a span that many documents share is one
+    row there and joins back by its hash, where a hot one is split. Only texts that lose something are cut again.
     """
-    spans = repeated_spans(documents, n, least).select(F.col("doc_id").alias("_span_doc"), F.col("spans").alias("_spans"))
-    joined = documents.join(spans, F.coalesce(documents["doc_id"], F.lit(0)).cast("long") == F.col("_span_doc"), "left")
-    done = joined.withColumn("_s", _removal(n, least)(F.col("text"), F.col("_spans")))
-    others = [F.col("_s")["text"].alias("text") if c == "text" else F.col(c) for c in documents.columns if c not in ("n_sentences", "n_removed", "removed")]
-    return done.select(*others, F.col("_s")["n_sentences"].alias("n_sentences"), F.col("_s")["n_removed"].alias("n_removed"), F.col("_s")["removed"].alias("removed"))
+    hashes = cut(span_hashes(documents, n, least))
+    told = hashes.select("none", "k", "t", "n_sentences", "own").distinct().join(repeated_spans(hashes), ["none", "k"], "left")
+    none, k, t, count, own, gone, made, hit = (unused(documents, x) for x in ("none", "k", "t", "count", "own", "gone", "made", "hit"))
+    told = told.toDF(none, k, t, count, own, gone)
+    keys = [c.alias(x) for c, x in zip(_told_apart(documents), (none, k, t))]
+    rows = documents.select("*", *keys).join(told, [none, k, t], "left")
+    # Texts that lose nothing are neither sent to Python nor cut again.
+    rows = rows.withColumn(hit, F.col("text").isNotNull() & (F.col(own) | F.col(gone).isNotNull()))
+    rows = rows.withColumn(made, _removal(n, least)(F.when(F.col(hit), F.col("text")), F.col(gone)))
+    text = F.when(F.col(hit), F.col(made)["text"]).otherwise(F.col("text")).alias("text")
+    kept = [text if c == "text" else F.col(f"`{c}`") for c in documents.columns if c.lower() not in ("n_sentences", "n_removed", "removed")]
+    return rows.select(*kept, F.col(count).alias("n_sentences"), F.col(made)["n_removed"].alias("n_removed"), F.col(made)["removed"].alias("removed"))

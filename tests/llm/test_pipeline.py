@@ -31,15 +31,15 @@ def tables(spark, rows, tmp_path_factory):
 
 def brute_spans(docs):
     seen, out = {}, []
-    for doc_id, t, *rest in sorted(docs, key=lambda x: 0 if x[0] is None else x[0]):
-        doc = 0 if doc_id is None else doc_id
+    for doc_id, t, *rest in sorted(docs, key=lambda x: (x[0] is None, x[0])):
+        doc = (doc_id is None, t if doc_id is None else doc_id)
         cut = spans.sentences(t) if t else []
-        ws = [(k, words(t[a:b])) for k, (a, b) in enumerate(cut) if words(t[a:b])]
+        ws = [(k, spans.words(t[a:b])) for k, (a, b) in enumerate(cut) if spans.words(t[a:b])]
         gone, own = set(), set()
         for j in range(len(ws) - 2):
             if sum(len(w) for _, w in ws[j : j + 3]) >= spans.LEAST_WORDS:
                 key = tuple(b" ".join(w) for _, w in ws[j : j + 3])
-                if key in own or seen.get(key, doc) < doc:
+                if key in own or seen.get(key, doc) != doc:
                     gone |= set(range(ws[j][0], ws[j + 2][0] + 1))
                 own.add(key)
                 seen.setdefault(key, doc)

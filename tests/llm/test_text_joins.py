@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from arbor.llm import decontaminate, order_minhash, spans
-from arbor.llm.common import words
+from arbor.llm.common import WordHashes, mixed, words
 from arbor.llm.components import components
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -56,23 +56,38 @@ def test_sentences_cover_the_text(rows):
         assert "".join(t[a:b] for a, b in cut) == t
 
 
+def plain_sentences(ws, apart=4):
+    """Where sentences start, one after the other by the definition: the least hash first, as far as there is room."""
+    h = [int(x) for x in WordHashes().of(ws)]
+    rank = {k: int(mixed(np.array([(h[k - 1] * 0x9E3779B97F4A7C15 + h[k]) % 2**64], np.uint64))[0]) for k in range(apart, len(ws) - apart + 1)}
+    taken = [0] if ws else []
+    for k in sorted(rank, key=lambda k: (rank[k], k)):
+        if all(abs(k - t) >= apart for t in taken):
+            taken.append(k)
+    return sorted(taken)
+
+
 def test_spans_against_brute_force(docs, rows):
-    got = {(r.doc_id, r.text) for r in spans.deduplicated(docs).collect()}
-    seen, want = {}, set()
-    for r in sorted(rows, key=lambda x: 0 if x[0] is None else x[0]):
-        doc, t = (0 if r[0] is None else r[0]), r[1]
+    got = {(r.doc_id, r.text): r.n_sentences for r in spans.deduplicated(docs).collect()}
+    seen, want = {}, {}
+    for r in sorted(rows, key=lambda x: (x[0] is None, x[0])):
+        doc, t = (r[0] is None, r[0] if r[0] is not None else r[1]), r[1]
+        ws = spans.words(t)
+        starts = plain_sentences(ws)
         cut = spans.sentences(t) if t else []
-        ws = [(k, words(t[a:b])) for k, (a, b) in enumerate(cut) if words(t[a:b])]
+        assert [len(spans.words(t[a:b])) for a, b in cut if spans.words(t[a:b])] == np.diff([*starts, len(ws)]).tolist()
+        own_words = [ws[a:b] for a, b in zip(starts, [*starts[1:], len(ws)])]
         gone, own = set(), set()
-        for j in range(len(ws) - 2):
-            if sum(len(w) for _, w in ws[j : j + 3]) < spans.LEAST_WORDS:
+        for j in range(len(own_words) - 2):
+            some = own_words[j : j + 3]
+            if sum(map(len, some)) < spans.LEAST_WORDS:
                 continue
-            key = tuple(b" ".join(w) for _, w in ws[j : j + 3])
-            if key in own or seen.get(key, doc) < doc:
-                gone |= set(range(ws[j][0], ws[j + 2][0] + 1))
+            key = tuple(b" ".join(w) for w in some)
+            if key in own or seen.get(key, doc) != doc:
+                gone |= {j, j + 1, j + 2}
             own.add(key)
             seen.setdefault(key, doc)
-        want.add((r[0], "".join(t[a:b] for k, (a, b) in enumerate(cut) if k not in gone).rstrip() if gone else t))
+        want[r[0], "".join(t[a:b] for k, (a, b) in enumerate(cut) if k not in gone).rstrip() if gone else t] = len(cut)
     assert got == want
     assert any(r.n_removed for r in spans.deduplicated(docs).collect())
 
@@ -312,3 +327,32 @@ def test_items_without_an_id_contaminate(spark, block):
     assert (got[3].n_hit, got[3].n_items, got[3].contaminated) == (1, 1, True) and got[3].items_sha256 == hashlib.sha256(b"").hexdigest()
     assert not got[2].contaminated
     assert [r.doc_id for r in decontaminate.decontaminated(d, bench, block=block).collect()] == [2]
+
+
+def test_repeats_in_rows_without_an_id_lose_them(spark):
+    some = lambda k, n: " ".join(f"{k}{x * x}" for x in range(n))
+    passage = some("p", 54)
+    rows = [(None, f"{some('a', 9)} {passage}"), (None, f"{some('b', 30)} {passage}"), (0, f"{passage} {some('c', 20)}"), (None, None), (None, f"{some('a', 9)} {passage}"), (5, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text, r.n_removed) for r in spans.deduplicated(d).collect()), key=str)
+    assert len(got) == 6 and (0, rows[2][1], 0) in got and (None, None, 0) in got and (5, "", 0) in got
+    lost = [len(words(t)) for i, t, n in got if n]
+    assert len(lost) == 3 and all(x < 45 for x in lost)
+
+
+def test_a_passage_in_a_script_without_spaces_is_found(spark):
+    import random
+
+    r = random.Random(12)
+    some = lambda n: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(n))
+    passage = some(70)
+    rows = [(1, some(40) + "。" + passage), (2, some(33) + passage[:35] + "、" + passage[35:] + "。" + some(31))]
+    got = {x.doc_id: x for x in spans.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_removed == 0 and 64 <= len(got[2].text) < 90
+
+
+def test_repeated_passages_lose_no_own_columns(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    d = spark.createDataFrame([(1, text, "KEEP", 1, "x"), (2, text, "KEEP", 2, "y")], "doc_id long, text string, _spans string, Gone int, made string")
+    got = {r.doc_id: r for r in spans.deduplicated(d).collect()}
+    assert (got[2]["_spans"], got[2]["Gone"], got[2]["made"], got[2].text) == ("KEEP", 2, "y", "") and got[1].text == text
