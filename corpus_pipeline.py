@@ -6,7 +6,6 @@ returns packed pieces. A stage's result is written as Parquet and read again as
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,8 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbor.llm import decontaminate, order_minhash, packing, quality, spans
-from arbor.llm.common import table
-
+from arbor.llm.common import shared_folder, table
 
 
 def _as_documents(df: DataFrame, like: DataFrame) -> DataFrame:
@@ -30,15 +28,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the lowest doc_id."""
+    """Of each class of near-duplicates the document with the lowest doc_id. Rows without an id or a word stay."""
     return _as_documents(order_minhash.one_of_each(docs), docs)
 
 
 def span_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the sentences of repeated spans; n_chars follows the text."""
-    cleaned = spans.deduplicated(docs)
+    # Own columns that are called as what the operator adds go by other names for the time.
+    own = [f"own_{k}_{c}" if c.lower() in ("n_sentences", "n_removed", "removed") else c for k, c in enumerate(docs.columns)]
+    cleaned = spans.deduplicated(docs.toDF(*own))
     n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return _as_documents(cleaned.withColumn("n_chars", n_chars), docs)
+    return cleaned.withColumn("n_chars", n_chars).select(*[F.col(f"`{c}`") for c in own]).toDF(*docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,9 +65,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table ``documents``. Results of stages go to the shared checkpoint folder."""
-    sc = spark.sparkContext
-    base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="arbor-pipeline-")
-    folder = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
