@@ -7,6 +7,7 @@ words. The piece probabilities are fitted by expectation maximisation with the f
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -16,13 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbor.llm.common import cut, held_out
+from arbor.llm.common import cut, held_out, unused
 
 #: Documents of a language that are learned from, at most about so many, chosen by a hash of doc_id.
 SAMPLE = 400
 ROUNDS = 3
-#: Words are cut after so many letters, so that products of probabilities stay within a double's range.
-LONGEST = 30
+#: Sums are brought back to a double's range every so many letters, and so many cells of a table are worked on at once.
+RESCALE, CELLS = 8, 2_000_000
 #: The probability of a character that no piece holds, and the count that smooths every piece.
 UNKNOWN = 1e-7
 SMOOTHING = 0.02
@@ -46,53 +47,93 @@ def vocabulary(model: str = "piece_bpe_32k.model") -> dict[str, int]:
 
 
 def words_of(text: str | None) -> list[str]:
-    """The runs of letters of a text in lower case, each after a space, cut after ``LONGEST`` characters."""
+    """The runs of letters of a text in lower case, each whole and after a space."""
     if not text:
         return []
     out = []
     for w in _LETTERS.findall(text.lower()):
         if not w.isalpha():  # superscripts and the like
             w = "".join(c for c in w if c.isalpha())
-            if not w:
-                continue
-        if len(w) < LONGEST:
+        if w:
             out.append(" " + w)
-        else:
-            w = " " + w
-            out += [w[k : k + LONGEST] for k in range(0, len(w), LONGEST)]
     return out
 
 
 def forward(word: str, pieces: dict[str, int], p: np.ndarray | list, longest: int) -> list:
     """The summed probability of all segmentations of each prefix of ``word``; ``p`` gives a piece's probability."""
-    n = len(word)
-    alpha = [0.0] * (n + 1)
-    alpha[0] = 1.0
-    for j in range(1, n + 1):
-        total = alpha[j - 1] * UNKNOWN
+    return [math.exp(x) for x in forward_logs(word, pieces, p, longest)]
+
+
+def forward_logs(word: str, pieces: dict[str, int], p: np.ndarray | list, longest: int) -> list[float]:
+    """Logarithms of ``forward``. Each sum is taken relative to the one before, so words may have any length."""
+    logs = [0.0]
+    for j in range(1, len(word) + 1):
+        before, total = logs[j - 1], UNKNOWN
         for i in range(max(0, j - longest), j):
             k = pieces.get(word[i:j])
-            if k is not None:
-                total += alpha[i] * p[k]
-        alpha[j] = total
-    return alpha
+            if k is not None and p[k]:
+                total += math.exp(logs[i] - before) * p[k]
+        logs.append(before + math.log(total))
+    return logs
 
 
 def expected_counts(word: str, times: float, pieces: dict[str, int], p: list, longest: int, out: dict) -> None:
     """Adds how often each piece is expected in ``times`` occurrences of ``word``: its share of all segmentations."""
     n = len(word)
-    alpha = forward(word, pieces, p, longest)
-    beta = [0.0] * (n + 1)
-    beta[n] = 1.0
+    ahead = forward_logs(word, pieces, p, longest)
+    back = [0.0] * (n + 1)
     for i in range(n - 1, -1, -1):
-        total = beta[i + 1] * UNKNOWN
+        after, total = back[i + 1], UNKNOWN
         for j in range(i + 1, min(n, i + longest) + 1):
             k = pieces.get(word[i:j])
-            if k is not None:
-                total += p[k] * beta[j]
-                if alpha[i]:
-                    out[k] += times * alpha[i] * p[k] * beta[j] / alpha[n]
-        beta[i] = total
+            if k is not None and p[k]:
+                total += p[k] * math.exp(back[j] - after)
+                out[k] += times * p[k] * math.exp(ahead[i] + back[j] - ahead[n])
+        back[i] = after + math.log(total)
+
+
+def log_probabilities(words: list[str], pieces: dict[str, int], p: np.ndarray, longest: int) -> np.ndarray:
+    """A row for each word: the logarithm of ``forward`` at its end for each column of ``p``, by words of equal length."""
+    out = np.zeros((len(words), p.shape[1]))
+    padded = np.vstack([p, np.zeros((1, p.shape[1]))])
+    by_length: dict[int, list[int]] = defaultdict(list)
+    for at, word in enumerate(words):
+        by_length[len(word)].append(at)
+    for size, group in by_length.items():
+        step = max(1, CELLS // ((size + 1) * longest))
+        for k in range(0, len(group), step):
+            own = group[k : k + step]
+            out[own] = _log_forward([words[at] for at in own], size, pieces, padded, longest)
+    return out
+
+
+def _log_forward(words: list[str], size: int, pieces: dict[str, int], p: np.ndarray, longest: int) -> np.ndarray:
+    """The forward sums of words of ``size`` letters; the last row of ``p`` stands for what is no piece."""
+    row, end, length, found = [], [], [], []
+    for at, word in enumerate(words):
+        for j in range(1, size + 1):
+            for i in range(max(0, j - longest), j):
+                k = pieces.get(word[i:j])
+                if k is not None:
+                    row.append(at)
+                    end.append(j)
+                    length.append(j - i - 1)
+                    found.append(k)
+    piece = np.full((len(words), size + 1, longest), len(p) - 1, np.int32)
+    piece[row, end, length] = found
+    alpha = np.zeros((len(words), size + 1, p.shape[1]))
+    alpha[:, 0] = 1.0
+    scale = np.zeros((len(words), p.shape[1]))
+    for j in range(1, size + 1):
+        n = min(j, longest)
+        # Pieces of 1, 2, ... letters begin after the sums of as many letters before.
+        alpha[:, j] = alpha[:, j - 1] * UNKNOWN + np.einsum("wln,wln->wn", p[piece[:, j, :n]], alpha[:, j - n : j][:, ::-1])
+        if j % RESCALE == 0:
+            low = max(0, j - longest + 1)
+            by = alpha[:, j].copy()
+            scale += np.log(by)
+            alpha[:, low : j + 1] /= by[:, None, :]
+    return scale + np.log(alpha[:, size])
 
 
 class Model:
@@ -102,73 +143,59 @@ class Model:
         self.langs, self.p, self.model = langs, p, model
 
     def scorer(self):
-        """A function from text to (language, probability among the languages)."""
+        """A function from texts to (language, probability among the languages) for each."""
         pieces = vocabulary(self.model)
         longest = max(map(len, pieces))
-        langs, n = self.langs, len(self.langs)
-        columns = [self.p[:, c].tolist() for c in range(n)]
-        rows = list(zip(*columns))
-        most = 300_000
+        langs, n = self.langs, max(1, len(self.langs))
+        most = max(1000, CELLS // n)
         seen: dict[str, int] = {}
         log = np.zeros((most, n))
 
-        def word_row(word: str) -> int:
-            if len(seen) >= most:
-                return -1
-            at = seen[word] = len(seen)
-            log[at] = np.log(_forward_all(word, pieces, rows, longest, n))
-            return at
-
-        def score(text: str | None) -> tuple[str, float]:
-            ws = words_of(text)
-            if not ws or not n:
-                return UNDETERMINED, 0.0
-            if len(seen) + len(ws) >= most:
+        def look_up(ws: list[str]) -> np.ndarray:
+            """Rows of ``log`` for at most ``most`` words."""
+            new = list(dict.fromkeys(w for w in ws if w not in seen))
+            if len(seen) + len(new) > most:
                 seen.clear()
-            total, start = np.zeros(n), 0
-            while start < len(ws):  # a text of more words than are remembered is taken in parts
-                part = ws[start : start + most // 2]
-                if start:
-                    seen.clear()
-                at = [seen.get(w, -1) for w in part]
-                at = [word_row(w) if k < 0 and w not in seen else (seen[w] if k < 0 else k) for w, k in zip(part, at)]
-                total += log[at].sum(axis=0)
-                start += len(part)
-            best = int(total.argmax())
-            return langs[best], float(1 / np.exp(total - total[best]).sum())
+                new = list(dict.fromkeys(ws))
+            if new:
+                first = len(seen)
+                log[first : first + len(new)] = log_probabilities(new, pieces, self.p, longest)
+                seen.update(zip(new, range(first, first + len(new))))
+            return np.fromiter(map(seen.__getitem__, ws), np.int64, len(ws))
+
+        def score(texts: list[str | None]) -> list[tuple[str, float]]:
+            lists = [words_of(t) if langs else [] for t in texts]
+            total = np.zeros((len(lists), n))
+            some: list[str] = []
+            of: list[np.ndarray] = []
+
+            def add() -> None:
+                rows, owner = log[look_up(some)], np.concatenate(of)
+                for c in range(n):
+                    total[:, c] += np.bincount(owner, rows[:, c], len(lists))
+                some.clear()
+                of.clear()
+
+            for at, ws in enumerate(lists):
+                start = 0
+                while start < len(ws):  # as many words at a time as are remembered
+                    part = ws[start : start + most - len(some)]
+                    some += part
+                    of.append(np.full(len(part), at))
+                    start += len(part)
+                    if len(some) == most:
+                        add()
+            if some:
+                add()
+            out = []
+            for ws, sums in zip(lists, total):
+                best = int(sums.argmax())
+                out.append((langs[best], float(1 / np.exp(sums - sums[best]).sum())) if ws else (UNDETERMINED, 0.0))
+            return out
 
         return score
 
 
-def _forward_all(word: str, pieces: dict[str, int], rows: list[tuple], longest: int, n: int) -> list[float]:
-    """``forward`` at the word's end for all languages at once."""
-    size = len(word)
-    if n == 4:  # the loop over languages written out for a usual number of them
-        alpha = [(1.0, 1.0, 1.0, 1.0)]
-        for j in range(1, size + 1):
-            a, b, c, d = alpha[j - 1]
-            a, b, c, d = a * UNKNOWN, b * UNKNOWN, c * UNKNOWN, d * UNKNOWN
-            for i in range(max(0, j - longest), j):
-                k = pieces.get(word[i:j])
-                if k is not None:
-                    x, p = alpha[i], rows[k]
-                    a += x[0] * p[0]
-                    b += x[1] * p[1]
-                    c += x[2] * p[2]
-                    d += x[3] * p[3]
-            alpha.append((a, b, c, d))
-        return alpha[size]
-    alpha = [np.ones(n)]
-    for j in range(1, size + 1):
-        total = alpha[j - 1] * UNKNOWN
-        for i in range(max(0, j - longest), j):
-            k = pieces.get(word[i:j])
-            if k is not None:
-                total = total + alpha[i] * np.asarray(rows[k])
-        alpha.append(total)
-    return alpha[size]
-
-
 def train(documents: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, model: str = "piece_bpe_32k.model") -> Model:
     """Learns from text and lang of at most about ``sample`` documents a language, none of them held out.
 
@@ -216,13 +243,18 @@ def train(documents: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, mode
 
 
 def predicted(documents: DataFrame, model: Model) -> DataFrame:
-    """``documents`` with lang_pred and score, in place of columns of those names. A text without a letter is ``und``."""
+    """``documents`` with lang_pred and score, in place of columns of those names; other columns stay, whatever they are called.
+
+    A null or empty text, or one without a letter, is ``und`` with a score of 0, as is every text where nothing was learned.
+    Repeated rows are predicted each for itself, texts of any length whole, and an empty table gives no rows.
+    """
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         score = model.scorer()
         for batch in texts:
-            yield pd.DataFrame([score(t) for t in batch], columns=["lang_pred", "score"])
+            yield pd.DataFrame(score(batch.tolist()), columns=["lang_pred", "score"])
 
-    kept = [c for c in documents.columns if c not in ("lang_pred", "score")]
-    return documents.select(*kept, predict("text").alias("_p")).select(*kept, "_p.lang_pred", "_p.score")
+    kept = [F.col(f"`{c}`") for c in documents.columns if c.lower() not in ("lang_pred", "score")]
+    made = unused(documents, "made")
+    return documents.select(*kept, predict("text").alias(made)).select(*kept, F.col(made)["lang_pred"].alias("lang_pred"), F.col(made)["score"].alias("score"))

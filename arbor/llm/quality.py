@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbor.llm.common import held_out
+from arbor.llm.common import held_out, unused
 
 #: Labelled rows that are learned from, at most about so many, chosen by a hash of doc_id.
 SAMPLE = 20_000
@@ -184,7 +184,8 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Rule
 
     Labels are thinned by a hash of doc_id before they meet the texts, so what is joined and what reaches the driver (one
     row of statistics for each) is bounded by ``sample``. Of repeated or contradicting labels of a document the greatest
-    holds; null labels are passed over. The hash range is set by the count of labels.
+    holds; null labels are passed over. Of rows of ``documents`` that share a doc_id each counts. The hash range is set by the
+    count of labels. Without a usable label the ensemble has no rules.
     """
     usable = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = usable.count()
@@ -199,10 +200,15 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Rule
 
 
 def scored(documents: DataFrame, model: RuleEnsemble, threshold: float = THRESHOLD) -> DataFrame:
-    """``documents`` with score and predicted, in place of columns of those names. Null texts are scored as empty ones."""
+    """``documents`` with score and predicted, in place of columns of those names; other columns stay, whatever they are called.
+
+    Null texts are scored as empty ones, texts of any length whole, repeated rows each for itself. An empty table gives no
+    rows.
+    """
     used = {name for rule, _ in model.rules for name, _, _ in rule}
-    kept = [c for c in documents.columns if c not in ("score", "predicted")]
+    kept = [F.col(f"`{c}`") for c in documents.columns if c.lower() not in ("score", "predicted")]
     stats = {k: c for k, c in statistics(documents["text"]).items() if k in used}
-    wide = documents.select(*kept, F.struct(*[c.alias(k) for k, c in stats.items()], F.lit(0).alias("_")).alias("_stats"))
-    wide = wide.select(*kept, model.score({k: F.col("_stats")[k] for k in stats}).alias("score"))
+    made = unused(documents, "stats")
+    wide = documents.select(*kept, F.struct(*[c.alias(k) for k, c in stats.items()], F.lit(0).alias("_")).alias(made))
+    wide = wide.select(*kept, model.score({k: F.col(made)[k] for k in stats}).alias("score"))
     return wide.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -78,17 +78,49 @@ def test_forward_sums_all_segmentations():
     p = [0.3, 0.2, 0.1, 0.15, 0.05, 0.2]
     for word in ("abab", " abba", "abca", "ccc", "b"):
         assert langid.forward(word, pieces, p, 3)[-1] == pytest.approx(brute_forward(word, pieces, p), rel=1e-12)
-        rows = [(x, x / 2, x / 3, x / 5) for x in p]
-        four = langid._forward_all(word, pieces, rows, 3, 4)
-        assert four[2] == pytest.approx(brute_forward(word, pieces, [x / 3 for x in p]), rel=1e-12)
-        five = langid._forward_all(word, pieces, [(*x, 0.1) for x in rows], 3, 5)
-        assert five[1] == pytest.approx(four[1], rel=1e-12)
     out = dict.fromkeys(range(len(pieces)), 0.0)
     langid.expected_counts("abab", 2.0, pieces, p, 3, out)
     covered = sum(len(x) * out[k] for x, k in pieces.items())
     assert covered == pytest.approx(8.0, rel=1e-3)
 
 
+def test_words_of_any_length_in_any_number_of_languages():
+    r = random.Random(3)
+    pieces = {x: k for k, x in enumerate(("a", "b", "ab", "ba", "aba", " a", "bbab"))}
+    for n in (1, 4, 7):
+        p = np.array([[r.random() / 5 for _ in range(n)] for _ in pieces])
+        some = ["".join(r.choice("ab c") for _ in range(r.randint(1, 14))) for _ in range(60)] + ["", "ab" * 4000]
+        got = langid.log_probabilities(some, pieces, p, 4)
+        for word, row in zip(some, got):
+            for c in range(n):
+                if len(word) < 20:
+                    assert row[c] == pytest.approx(np.log(brute_forward(word, pieces, p[:, c])), rel=1e-10)
+                assert row[c] == pytest.approx(langid.forward_logs(word, pieces, p[:, c], 4)[-1], rel=1e-10)
+    # Piece counts of a long word, and scores of words that aren't cut anywhere.
+    out = dict.fromkeys(range(len(pieces)), 0.0)
+    langid.expected_counts("ab" * 3000, 1.0, pieces, [0.1] * 7, 4, out)
+    assert sum(len(x) * out[k] for x, k in pieces.items()) == pytest.approx(6000, rel=1e-3)
+    assert langid.words_of("x" * 500 + " y²") == [" " + "x" * 500, " y"]
+
+
+def test_a_batch_of_more_words_than_are_remembered(monkeypatch):
+    monkeypatch.setattr(langid, "CELLS", 40)
+    model = langid.Model(["p", "q"], np.random.default_rng(1).random((len(langid.vocabulary()), 2)) / 1e5, "piece_bpe_32k.model")
+    texts = [" ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(m)) for m in (3, 1500, 0, 2500)]
+    score = model.scorer()
+    assert score(texts) == [score([t])[0] for t in texts] and score([None, "12"]) == [("und", 0.0)] * 2
+
+
+def test_own_columns_stay(spark):
+    d = spark.createDataFrame([(1, "aa bb", "x", "y"), (2, None, "z", None)], "doc_id long, text string, made string, _p string")
+    model = langid.Model(["p"], np.full((len(langid.vocabulary()), 1), 1e-5), "piece_bpe_32k.model")
+    got = langid.predicted(d, model)
+    assert got.columns == ["doc_id", "text", "made", "_p", "lang_pred", "score"]
+    assert [tuple(r)[:5] for r in got.collect()] == [(1, "aa bb", "x", "y", "p"), (2, None, "z", None, "und")]
+    rules = quality.RuleEnsemble(0.0, ())
+    assert [tuple(r)[:4] for r in quality.scored(d.withColumnRenamed("made", "_stats"), rules).collect()] == [(1, "aa bb", "x", "y"), (2, None, "z", None)]
+
+
 def test_language_of_held_out_rows(spark):
     r = random.Random(5)
     syllables = {"xx": ["ka", "to", "mi", "ru"], "yy": ["str", "ung", "ein", "cht"], "zz": ["eau", "ou", "ette", "ique"]}
