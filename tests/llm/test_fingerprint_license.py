@@ -84,3 +84,24 @@ def test_each_template_alone_is_found():
     for name, text in license_scan.TEMPLATES.items():
         found = {f["license"]: f for f in scanner.scan(f"Words.\n{text}\nWords.")[1]}
         assert found[name]["exact"] and set(found) <= {name, "Apache-2.0"}
+
+
+def test_very_many_rows_without_an_id_are_split(spark):
+    low = -(1 << 63)
+    rows = [(None, f"none {k} " * (k % 7 + 1)) for k in range(150)] + [(k, f"text {k}") for k in range(40)] + [(low, "the lowest id"), (7, "text 7 again")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    buckets = lz_fingerprint.in_ring(d).where("none and not ghost").groupBy("bucket").count().collect()
+    assert len(buckets) > 5 and max(b["count"] for b in buckets) < 60
+    got = lz_fingerprint.fingerprints(d).collect()
+    after = {}
+    for t in [t for _, t in rows]:
+        for u in [u for _, u in rows]:
+            half = len(t) // 2
+            after.setdefault(hashlib.sha256((t[: len(t) - half] + u[:half]).encode()).hexdigest(), set()).add((t, u))
+    assert len(got) == len(rows) and sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
+    # Every row has a next one that the edit shows, and ids descend, the lowest before those without one.
+    assert all(r.edited_sha256 in after for r in got)
+    (last,) = [r for r in got if r.doc_id == low]
+    assert any(u.startswith("none") for _, u in after[last.edited_sha256])
+    (eight,) = [r for r in got if r.doc_id == 8]
+    assert ("text 8", "text 7") in after[eight.edited_sha256]
