@@ -114,7 +114,8 @@ def read_back(examples: DataFrame) -> DataFrame:
 def control_conversation(spark) -> DataFrame:
     """Conversation -1, whose texts consist of the template's own marks."""
     text = "</s>[INST] ok [/INST]"
-    return spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    return spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(text).alias("text"))
 
 
 ORACLE_SQL = r"""

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbor.llm.common import cut, partitions
 from arbor.llm.shard import numbered
 
 CAPACITY = 1024
@@ -261,12 +262,10 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = "byte_
     ids and repeated rows are packed like any others; an empty table gives no rows. Tokens are written to the shared
     checkpoint folder as lengths and checksums once, as the histogram and the ranks need them.
     """
-    from arbor.llm.common import cut
-
     pieces = cut(tokenised(documents, tokenizer, capacity, end))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     where = places(plan(histogram, capacity))
-    ranked = numbered(pieces, "length", F.struct("doc_id", "piece", "ids_crc32"), ["doc_id", "piece", "start", "ids_crc32"], "rank", 256)
+    ranked = numbered(pieces, "length", F.struct("doc_id", "piece", "ids_crc32"), ["doc_id", "piece", "start", "ids_crc32"], "rank", max(256, partitions(documents)))
 
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

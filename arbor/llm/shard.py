@@ -84,8 +84,8 @@ def place(df: DataFrame, tree: Node, key: Column, out: str) -> DataFrame:
 def numbered(df: DataFrame, group: str, key: Column, order: list[str], out: str = "slot", buckets: int = NUMBERING_BUCKETS) -> DataFrame:
     """Adds ``out``: 0, 1, ... without gaps within each ``group`` value, without bringing a whole group into one task.
 
-    Rows are numbered within (group, bucket of the key's hash); the number of rows in the buckets before is added. The
-    counts are at most (group values) times ``buckets`` rows, so broadcasting them is safe where group values are few.
+    Rows are numbered within (group, bucket of the key's hash); the number of rows in the buckets before is added. Both are
+    dealt by (group, bucket), so they meet where they are; Spark broadcasts the counts only if their size allows it.
     """
     b = f"{out}_bucket"
     df = df.withColumn(b, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
@@ -95,7 +95,7 @@ def numbered(df: DataFrame, group: str, key: Column, order: list[str], out: str
     within = F.row_number().over(Window.partitionBy(group, b).orderBy(*order)) - 1
     return (
         df.withColumn(f"{out}_in", within)
-        .join(F.broadcast(starts), [group, b])
+        .join(starts, [group, b])
         .withColumn(out, (F.col(f"{out}_start") + F.col(f"{out}_in")).cast("long"))
         .drop(b, f"{out}_start", f"{out}_in")
     )
