@@ -193,9 +193,9 @@ def _rest(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -
     shingles they share one of the first of each. The order is by how many of these documents hold a shingle; those that only
     one class holds come first and join nothing. Documents stand in blocks beside others of their class and of a like least
     shingle; two blocks meet if a shingle is among the first of both, for documents of different classes, and are compared
-    whole: the numbers of shingles in common are a product of matrices, and only what they leave is aligned. A shingle is one
-    row for each block that holds it, pairs of documents are never rows, and a text travels once for each block that its own
-    meets.
+    whole: the numbers of shingles in common are a product of matrices, and only what they leave is aligned. Shingles
+    are counted in arrays, once for each block that holds them, pairs of documents are never rows, and a text travels once for
+    each block that its own meets.
     """
 
     def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,12 +213,23 @@ def _rest(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -
         each = [(np.unique(labelled_shingles(cache.of(words(t)), shingle)), label) for t, label in zip(rows["text"], rows["l"])]
         found = pd.DataFrame({"h": signed(np.concatenate([h for h, _ in each])), "l": np.repeat([label for _, label in each], [len(h) for h, _ in each])})
         found = found.groupby("h")["l"].agg(["count", "min", "max"]).reset_index()
-        return found.set_axis(["h", "n", "low", "high"], axis=1).assign(block=rows["block"].iloc[0])
+        found["part"] = found["h"] % parts
+        own = [(part, rows["block"].iloc[0], *[g[c].tolist() for c in ("h", "count", "min", "max")]) for part, g in found.groupby("part")]
+        return pd.DataFrame(own, columns=["part", "block", "h", "n", "low", "high"])
+
+    def frequencies(rows: pd.DataFrame) -> pd.DataFrame:
+        sizes = rows["h"].map(len).to_numpy()
+        flat = pd.DataFrame({c: np.concatenate(rows[c].tolist()) for c in ("h", "n", "low", "high")}).assign(block=np.repeat(rows["block"].to_numpy(), sizes))
+        over = flat.groupby("h").agg(f=("n", "sum"), low=("low", "min"), high=("high", "max"))
+        over = over[over["low"] < over["high"]]["f"]
+        flat = flat[flat["h"].isin(over.index)]
+        flat = flat.assign(f=over.loc[flat["h"]].to_numpy()) if len(flat) else flat.assign(f=0)
+        return pd.DataFrame([(block, g["h"].tolist(), g["f"].tolist()) for block, g in flat.groupby("block")], columns=["block", "h", "f"])
 
     def firsts(rows: pd.DataFrame, frequency: pd.DataFrame) -> pd.DataFrame:
         cache = WordHashes()
-        order = frequency.sort_values("h")
-        known, f = order["h"].to_numpy(), order["f"].to_numpy()
+        known, f = (np.array([x for xs in frequency[c] for x in xs], np.int64) for c in ("h", "f"))
+        known, f = known[np.argsort(known)], f[np.argsort(known)]
         out = []
         for text, label in zip(rows["text"], rows["l"]):
             own = np.unique(labelled_shingles(cache.of(words(text)), shingle))
@@ -238,9 +249,10 @@ def _rest(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -
     placed = _blocks(held.join(classes, "l"), F.greatest("chars", F.lit(LIGHTEST)).cast("long"), ["place", "l", "least", "node"])
     placed = cut(placed.select("node", "l", "block").distinct())
     inside = placed.join(texts, "node").select("block", "l", "text")
-    counts = cut(inside.groupBy("block").applyInPandas(counted, "h long, n long, low long, high long, block long"))
-    shared = counts.groupBy("h").agg(F.sum("n").alias("f"), F.min("low").alias("l0"), F.max("high").alias("l1")).where("l0 < l1")
-    frequency = counts.select("block", "h").join(cut(shared.select("h", "f")), "h")
+    # A block's shingles are dealt in parts of their hashes, about a million in each part over all blocks.
+    parts = 1 + max(64, (placed.join(held, ["node", "l"]).agg(F.sum("chars")).first()[0] or 0) // 4_000_000)
+    counts = cut(inside.groupBy("block").applyInPandas(counted, "part long, block long, h array<long>, n array<long>, low array<long>, high array<long>"))
+    frequency = counts.groupBy("part").applyInPandas(frequencies, "block long, h array<long>, f array<long>")
     at = inside.groupBy("block").cogroup(frequency.groupBy("block")).applyInPandas(firsts, "h long, block long, low long, high long")
     at = cut(at)
     several = at.groupBy("h").agg(F.min("low").alias("l0"), F.max("high").alias("l1")).where("l0 < l1").select("h")
