@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
+from itertools import accumulate
 from collections.abc import Iterable
 
 import pandas as pd
@@ -144,19 +146,23 @@ def page_groups(pages: pd.DataFrame, most: int = 20_000) -> list[str]:
     A part ends before the page that would take it beyond the mean of an even share and ``most``; so a first page that is
     beyond it alone leaves an empty part in front.
     """
-    texts, sizes = pages["text"].tolist(), pages["token_count"].tolist()
-    total = sum(sizes)
-    if total <= most:
+    texts = pages["text"].tolist()
+    upto = [0, *accumulate(pages["token_count"].tolist())]
+    if upto[-1] <= most:
         return ["".join(texts)]
-    target = math.ceil((total / math.ceil(total / most) + most) / 2)
-    parts, first, held = [], 0, 0
-    for k, size in enumerate(sizes):
-        if held + size > target:
-            parts.append("".join(texts[first:k]))
-            first = max(k - 1, 0)
-            held = sum(sizes[first:k])
-        held += size
-    return [*parts, "".join(texts[first:])]
+    even = upto[-1] / math.ceil(upto[-1] / most)
+    room = math.ceil((even + most) / 2)
+
+    def end_of(first: int, soonest: int) -> int:
+        """The page before which a part from ``first`` on ends, but not before ``soonest``."""
+        return max(soonest, bisect_right(upto, upto[first] + room) - 1)
+
+    bounds, first, end = [], 0, end_of(0, 0)
+    while end < len(texts):
+        bounds.append((first, end))
+        # The next part takes up the last page of this one and has the page that did not fit in any case.
+        first, end = max(end - 1, 0), end_of(max(end - 1, 0), end + 1)
+    return ["".join(texts[a:b]) for a, b in [*bounds, (first, len(texts))]]
 
 
 def grouped_pages(pages: DataFrame, most: int = 20_000) -> DataFrame:

@@ -121,27 +121,22 @@ def subtree_tokens(headings: DataFrame, tokens: Callable[[Column], Column] = T.w
     return out.join(ends, ["doc_id", "end_pos"]).withColumn("subtree_tokens", F.col("_end") - F.col("_upto") + F.col("own_tokens")).drop("_upto", "_end")
 
 
-def thinned(headings: DataFrame, least: int, tokens: Callable[[str], int] = lambda t: len((t or "").split())) -> DataFrame:
-    """Subtrees of fewer than ``least`` tokens folded into their heading, from the last to the first.
+def thinned(headings: DataFrame, least: int, tokens: Callable[[Column], Column] = T.word_count) -> DataFrame:
+    """``headings`` with subtrees of fewer than ``least`` tokens folded into their top heading, whose text they join.
 
-    Each step sees what the steps before left, so a document is worked through in order, in one task.
+    Folding moves texts up but loses none, so a subtree has as many tokens before as after; which headings fold can be told at
+    once, and those below the highest of them go. Blank texts are left out of a joined one.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        level, text = rows["level"].tolist(), rows["text"].fillna("").tolist()
-        live = [True] * len(rows)
-        for k in range(len(rows) - 1, -1, -1):
-            end = next((j for j in range(k + 1, len(rows)) if level[j] <= level[k]), len(rows))
-            below = [j for j in range(k + 1, end) if live[j]]
-            joined = [text[k], *[text[j] for j in below]]
-            if below and tokens("\n".join(joined)) < least:
-                text[k] = "\n\n".join(t for t in joined if t.strip())
-                for j in below:
-                    live[j] = False
-        return rows.assign(text=text)[live]
-
-    return headings.groupBy("doc_id").applyInPandas(fold, headings.schema)
+    before, so_far = in_document("pos").rowsBetween(Window.unboundedPreceding, -1), in_document("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = subtree_tokens(headings.withColumn("text", F.coalesce("text", F.lit(""))), tokens)
+    rows = rows.withColumn("_folds", (F.col("end_pos") > F.col("pos")) & (F.col("subtree_tokens") < least))
+    rows = rows.withColumn("_reach", F.max(F.when(F.col("_folds"), F.col("end_pos"))).over(before))
+    rows = rows.withColumn("_stays", F.coalesce(F.col("_reach") < F.col("pos"), F.lit(True)))
+    rows = rows.withColumn("_top", F.last(F.when(F.col("_stays"), F.col("pos")), ignorenulls=True).over(so_far))
+    written = F.collect_list(F.when(F.trim(F.regexp_replace("text", T.SPACE, " ")) != "", F.struct("pos", "text")))
+    joined = rows.groupBy("doc_id", F.col("_top").alias("pos")).agg(F.array_join(F.transform(F.array_sort(written), lambda x: x["text"]), "\n\n").alias("_joined"))
+    kept = rows.where("_stays").join(joined, ["doc_id", "pos"])
+    return kept.withColumn("text", F.when(F.col("_folds"), F.col("_joined")).otherwise(F.col("text"))).select(*headings.columns)
 
 
 def padded(number: Column) -> Column:

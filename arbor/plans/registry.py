@@ -159,7 +159,12 @@ def node_numbering(spark, sf_dir):
     return tree.numbered(V.heading_rows(spark, sf_dir)).select("doc_id", "pos", "node_id")
 
 
-@query()
+@query(
+    f"with {V.HEADINGS}, ends as (select h.*, coalesce((select min(n.pos) from headings n where n.doc_id = h.doc_id and n.pos > h.pos and n.level <= h.level) - 1, (select max(m.pos) from headings m where m.doc_id = h.doc_id)) as end_pos from headings h), "
+    "sized as (select e.*, (select sum(x.own_tokens) from headings x where x.doc_id = e.doc_id and x.pos between e.pos and e.end_pos) as tokens, (select sum(5 * x.own_tokens) + 2 * (count(*) - 1) from headings x where x.doc_id = e.doc_id and x.own_tokens > 0 and x.pos between e.pos and e.end_pos) as chars from ends e), "
+    "folded as (select *, end_pos > pos and tokens < 60 as folds from sized) "
+    "select doc_id, pos, level, cast(case when folds then chars else 5 * own_tokens end as int) as n_chars from folded f where not exists (select 1 from folded a where a.doc_id = f.doc_id and a.folds and a.pos < f.pos and a.end_pos >= f.pos)"
+)
 def thinning(spark, sf_dir):
     return tree.thinned(V.heading_rows(spark, sf_dir), 60).select("doc_id", "pos", "level", F.length("text").alias("n_chars"))
 
@@ -336,7 +341,16 @@ def page_tree(spark, sf_dir):
     return n.select("doc_id", "node_idx", "node_id", "title", "start_index", "end_index", "depth", "parent_id", "is_leaf")
 
 
-@query()
+@query(
+    f"with recursive {V.PAGES}, sized as (select doc_id, page_no, text, token_count as size, row_number() over (partition by doc_id order by page_no) - 1 as k, lag(token_count, 1, 0) over (partition by doc_id order by page_no) as prior, count(*) over (partition by doc_id) as n, sum(token_count) over (partition by doc_id) as total from paged), "
+    "docs as (select doc_id, n, total, ceil((total / ceil(total / 300) + 300) / 2) as room from (select distinct doc_id, n, cast(total as double) as total from sized)), "
+    "walk as (select doc_id, cast(-1 as bigint) as k, cast(0 as bigint) as first, cast(0 as double) as held, cast(null as bigint) as cut_from from docs where total > 300 "
+    "union all select w.doc_id, s.k, case when w.held + s.size > d.room then greatest(s.k - 1, 0) else w.first end, case when w.held + s.size > d.room then s.prior + s.size else w.held + s.size end, case when w.held + s.size > d.room then w.first end "
+    "from walk w join sized s on s.doc_id = w.doc_id and s.k = w.k + 1 join docs d on d.doc_id = w.doc_id), "
+    "spans as (select doc_id, cut_from as a, k as b, k as done from walk where cut_from is not null union all select w.doc_id, w.first, d.n, d.n from walk w join docs d on d.doc_id = w.doc_id and w.k = d.n - 1 union all select doc_id, 0, n, n from docs where total <= 300), "
+    "numbered as (select *, row_number() over (partition by doc_id order by done) - 1 as part from spans) "
+    "select g.doc_id, cast(part as int) as part, cast(coalesce(sum(len(text)), 0) as int) as n_chars from numbered g left join sized s on s.doc_id = g.doc_id and s.k >= g.a and s.k < g.b group by g.doc_id, part"
+)
 def page_groups(spark, sf_dir):
     return toc.grouped_pages(V.paged(spark, sf_dir), 300).select("doc_id", "part", F.length("text").alias("n_chars"))
 
