@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 from arbor import clients, service
 from arbor.operators.corpus import CorpusFilter, build_corpus
 from arbor.operators.search import Request
+from arbor.settings import Settings
 
 _REQUEST = ("top_k", "expand_ancestors", "leaf_only", "depth", "min_page", "max_page")
 _FILTER = ("doc_id", "doc_type", "source", "created_from", "created_to")
@@ -25,27 +26,37 @@ class Api:
         return {"status": "ok"}
 
     def build_index(self, body: dict) -> dict:
-        settings = service.settings_of({"index_include_text": bool(body.get("include_text"))})
-        service.build_document(self.spark, body["path"], settings, body.get("pdf_parser", "plain")).save(body["index_path"])
+        service.build_document(self.spark, body["path"], self._settings(body), body.get("pdf_parser", "plain")).save(body["index_path"])
         return {"index_path": body["index_path"]}
 
     def build_corpus(self, body: dict) -> dict:
-        built = build_corpus(self.spark, body["directory"], body.get("exclude"), body.get("source"))
+        extract = service.files.text_extractor(body.get("pdf_parser", "plain"))
+        built = build_corpus(self.spark, body["directory"], body.get("exclude"), body.get("source"), self._settings(body), extract)
         built.save(body["corpus_path"])
         return {"corpus_path": body["corpus_path"], "documents": built.catalog.count()}
 
     def query(self, body: dict) -> dict:
-        return service.query_index(self.spark, body["index_path"], body["query"], self._request(body), bool(body.get("explain")))
+        return service.query_index(self.spark, body["index_path"], body["query"], self._request(body), bool(body.get("explain")), *self._reranking(body))
 
     def query_corpus(self, body: dict) -> dict:
         wanted = CorpusFilter(**{k: body.get(k) for k in _FILTER}, tags=tuple(body.get("tags") or ()))
-        return service.query_corpus(self.spark, body["corpus_path"], body["query"], wanted, self._request(body), bool(body.get("explain")))
+        return service.query_corpus(self.spark, body["corpus_path"], body["query"], wanted, self._request(body), bool(body.get("explain")), *self._reranking(body))
 
     def rerank(self, body: dict) -> dict:
+        request = self._request({"top_k": 5, **body})
+        client, _ = self._reranking({"rerank": True})
+        return service.query_index(self.spark, body["index_path"], body["query"], request, False, client, request.top_k)
+
+    def _settings(self, body: dict) -> Settings:
+        return service.settings_of({"index_include_text": bool(body.get("include_text")), **(body.get("settings") or {})})
+
+    def _reranking(self, body: dict) -> tuple[clients.Client | None, int]:
+        """The client if the body asks for reranking, and how many results it orders."""
+        if not body.get("rerank"):
+            return None, 0
         if self.client is None:
             raise ValueError("no language model is plugged in")
-        request = self._request({"top_k": 5, **body})
-        return service.query_index(self.spark, body["index_path"], body["query"], request, False, self.client, request.top_k)
+        return self.client, int(body.get("rerank_top_k") or 3)
 
     def _request(self, body: dict) -> Request:
         return Request(**{k: body.get(k) for k in _REQUEST})

@@ -13,7 +13,7 @@ from arbor.operators import corpus as C
 from arbor.operators import index as I
 from arbor.operators import search as S
 from arbor.operators import tree
-from arbor.settings import Settings, load
+from arbor.settings import Settings, load, read
 from arbor.sources import files
 
 
@@ -54,5 +54,12 @@ def query_corpus(spark: SparkSession, path: str, query: str, wanted: C.CorpusFil
     return results(found, os.path.basename(path.rstrip("/")), query, path)
 
 
-def settings_of(values: dict) -> Settings:
-    return load(user={k: v for k, v in values.items() if v is not None})
+def settings_of(values: dict, path: str | None = None) -> Settings:
+    """Settings from a file, if there is one, and over them the values that are given. Weights and bonuses are merged."""
+    given = read(path) if path else {}
+    for k, v in values.items():
+        if isinstance(v, dict):
+            given[k] = {**(given.get(k) or {}), **v}
+        elif v is not None:
+            given[k] = v
+    return load(user=given)

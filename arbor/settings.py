@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from dataclasses import asdict, dataclass, field, fields, replace
 
@@ -70,6 +71,25 @@ def load(user: dict | None = None, stored: dict | None = None) -> Settings:
     return out
 
 
+def read(path: str) -> dict:
+    """Settings in a file: a JSON object, or YAML where that module is there. Null values count as not given."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError(f"{path}: no YAML module here; write the settings as JSON") from e
+        values = yaml.safe_load(text) or {}
+    else:
+        values = json.loads(text)
+    if not isinstance(values, dict):
+        raise ValueError(f"{path}: settings are not an object")
+    if "recursive_split_heading_patterns" in values:
+        values["recursive_split_heading_patterns"] = tuple(values["recursive_split_heading_patterns"])
+    return values
+
+
 def yes(value: str | bool | None) -> bool:
     """Flags on the command line: only yes, in any case, is true."""
     return value if isinstance(value, bool) else str(value or "").lower() == "yes"

@@ -9,6 +9,7 @@ import pytest
 from arbor import cli, clients, http, service
 from arbor.operators import corpus as C
 from arbor.operators import search as S
+from arbor.operators.index import load_index
 from arbor.sources import files
 
 
@@ -77,6 +78,26 @@ def test_command_line(spark, folder, tmp_path):
     assert cli.main(["--document", "x.md"], tell=said.append) == 2
 
 
+def test_command_line_settings_and_rerank(spark, folder, tmp_path):
+    said, out = [], str(tmp_path / "ix")
+    (tmp_path / "s.json").write_text(json.dumps({"weights": {"title": 7, "text": 2}, "snippet_max_chars": 100, "bm25_b": 0, "model": None}))
+    build = ["--document", f"{folder}/Guide One.md", "--out", out, "--include-text", "yes", "--settings", str(tmp_path / "s.json")]
+    assert cli.main([*build, "--weight", "title=6", "--bonus", "leaf=0.5", "--recursive-split", "no"], tell=said.append) == 0
+    kept = load_index(spark, out).settings
+    assert (kept.weights["title"], kept.weights["text"], kept.weights["summary"], kept.bonuses["leaf"]) == (6, 2, 3, 0.5)
+    assert (kept.snippet_max_chars, kept.bm25_b, kept.recursive_split_enabled, kept.index_include_text) == (100, 0, False, True)
+    assert cli.main(["--index", out, "--query", "retrieval", "--rerank", "yes"], tell=said.append) == 2 and "--client" in said[-1]
+    last = clients.Recorded(lambda prompt: '["0002"]')
+    lines = iter(["/rerank no", "retrieval ranking", "/rerank yes", "retrieval ranking", "/exit"])
+    assert cli.main(["--index", out, "--interactive", "--rerank", "yes"], ask=lambda _: next(lines), tell=said.append, client=last) == 0
+    plain, ordered = (json.loads(x)["results"] for x in said[-2:])
+    assert ordered[0]["node_id"] == "0002" and sorted(r["node_id"] for r in plain) == sorted(r["node_id"] for r in ordered)
+    lines = iter(["/rerank yes", "/exit"])
+    assert cli.main(["--index", out, "--interactive"], ask=lambda _: next(lines), tell=said.append) == 0 and "--client" in said[-1]
+    with pytest.raises(ValueError):
+        cli.main([*build, "--weight", "nothing=1"], tell=said.append)
+
+
 def test_http(spark, folder, tmp_path):
     api = http.Api(spark, clients.Recorded(lambda prompt: '```json\n["0002", "nope",]\n```'))
     s = http.server(api)
@@ -98,6 +119,10 @@ def test_http(spark, folder, tmp_path):
         assert call("/rerank", {"index_path": ix, "query": "retrieval ranking"})[1]["results"][0]["node_id"] == "0002"
         assert call("/build-corpus", {"directory": folder, "corpus_path": co})[1]["documents"] == 4
         assert call("/query-corpus", {"corpus_path": co, "query": "retrieval", "doc_type": "word"})[1]["results"][0]["doc_id"] == "notes"
+        assert call("/query-corpus", {"corpus_path": co, "query": "retrieval", "doc_type": "pdf"})[1]["results"][0]["doc_id"] == "paper"
+        assert call("/query", {"index_path": ix, "query": "retrieval ranking", "rerank": True})[1]["results"][0]["node_id"] == "0002"
+        api.client = None
+        assert call("/query", {"index_path": ix, "query": "retrieval", "rerank": True})[0] == 422
     finally:
         s.shutdown()
 
