@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,13 +26,14 @@ RANGES = 4
 _LOWEST = -(1 << 63)
 
 
-def parse(text: str, start: int, end: int, phrases: set[str]) -> int:
-    """Adds the phrases of ``text[start:end]`` and returns where the unfinished last one begins.
+def parse(text: str, start: int, end: int, phrases: set[str], added: list[str] | None = None) -> int:
+    """Adds the phrases of ``text[start:end]``, to ``added`` too, and returns where the unfinished last one begins.
 
     The phrases known so far hold every prefix of each, so the longest known one at a place is found by stepping up or
     down from the length of the one before.
     """
     add, length = phrases.add, 2
+    note = (lambda phrase: None) if added is None else added.append
     while True:
         stop = start + length
         if stop > end:
@@ -47,7 +48,9 @@ def parse(text: str, start: int, end: int, phrases: set[str]) -> int:
                     break
         if stop >= end:
             return start
-        add(text[start : stop + 1])
+        phrase = text[start : stop + 1]
+        add(phrase)
+        note(phrase)
         length = max(1, stop - start)
         start = stop + 1
 
@@ -60,7 +63,17 @@ def finished(text: str, start: int, phrases: set[str]) -> set[str]:
     return phrases
 
 
-def signature(phrases: set[str], size: int = SIZE) -> np.ndarray:
+def additions(text: str, start: int, phrases: set[str]) -> list[str]:
+    """The phrases that the rest of ``text`` adds, with the unfinished one; ``phrases`` stay as they were."""
+    added: list[str] = []
+    at = parse(text, start, len(text), phrases, added)
+    phrases.difference_update(added)
+    if at < len(text):
+        added.append(text[at:])
+    return added
+
+
+def signature(phrases: Collection[str], size: int = SIZE) -> np.ndarray:
     """The ``size`` least 32-bit hashes of the phrases, ascending; all if they are fewer."""
     import xxhash
 
@@ -70,12 +83,17 @@ def signature(phrases: set[str], size: int = SIZE) -> np.ndarray:
 
 def likeness(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> float:
     """The estimated share of phrases in common, 0 to 1: of the least hashes of both together, those that both have."""
-    least = np.unique(np.concatenate([a, b]))[:size]
+    least = joined(a, b, size)
     if not len(least):
         return 1.0
     return float(np.isin(least, a).astype(int) @ np.isin(least, b).astype(int)) / len(least)
 
 
+def joined(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> np.ndarray:
+    """The signature of the phrases of two signatures together."""
+    return np.unique(np.concatenate([a, b]))[:size]
+
+
 def as_text(signature: np.ndarray) -> str:
     return signature.astype(">u4").tobytes().hex()
 
@@ -92,11 +110,13 @@ class _Document:
         self.left = len(text) - len(text) // 2
         self.phrases: set[str] = set()
         self.at = parse(text, 0, self.left, self.phrases)
-        self.signature = signature(finished(text, self.at, set(self.phrases)), size)
+        # What both texts begin with is parsed and hashed once.
+        self.begun = signature(self.phrases, size)
+        self.signature = joined(self.begun, signature(additions(text, self.at, self.phrases), size), size)
 
     def row(self, after: _Document) -> tuple:
         edited = self.text[: self.left] + after.text[: len(self.text) // 2]
-        other = signature(finished(edited, self.at, self.phrases), self.size)
+        other = joined(self.begun, signature(additions(edited, self.at, self.phrases), self.size), self.size)
         return (
             self.doc_id,
             len(self.text),
