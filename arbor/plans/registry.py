@@ -96,6 +96,13 @@ def extract_phrases(spark, sf_dir):
     return V.table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.phrases(asked)).alias("phrase"))
 
 
+@query(f"""select item_id, {V.norm_sql("replace(text, '\"', ' ')")} as phrase from benchmark""")
+def extract_phrases_whole(spark, sf_dir):
+    """Whole items in quotes."""
+    asked = F.concat(F.lit('x "'), F.replace("text", F.lit('"'), F.lit(" ")), F.lit('" "" tail'))
+    return V.table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.phrases(asked)).alias("phrase"))
+
+
 # Trees
 
 
@@ -212,6 +219,19 @@ def page_text(spark, sf_dir):
     return tree.page_text(a.unionByName(b), p).where("text != ''").select("doc_id", "node_id", "text")
 
 
+@query(
+    f"with {V.PAGES}, spans as (select doc_id, 'whole' as node_id, 1 as s, max(page_no) as e from paged group by doc_id union all select distinct doc_id, 'p' || cast(page_no - (page_no + 1) % 2 as varchar), page_no - (page_no + 1) % 2, page_no - (page_no + 1) % 2 + 1 from paged) "
+    "select n.doc_id, n.node_id, string_agg(p.text, '' order by p.page_no) as text from spans n join paged p on p.doc_id = n.doc_id and p.page_no between s and e group by 1, 2"
+)
+def page_text_whole(spark, sf_dir):
+    """Nodes over all pages: the whole document and each two pages."""
+    p = V.paged(spark, sf_dir)
+    s = (F.col("page_no") - (F.col("page_no") + 1) % 2).cast("int")
+    twos = p.select("doc_id", s.alias("start_index")).distinct().select("doc_id", F.concat(F.lit("p"), F.col("start_index").cast("string")).alias("node_id"), "start_index", (F.col("start_index") + 1).alias("end_index"))
+    whole = p.groupBy("doc_id").agg(F.max("page_no").alias("end_index")).select("doc_id", F.lit("whole").alias("node_id"), F.lit(1).alias("start_index"), "end_index")
+    return tree.page_text(twos.unionByName(whole), p).select("doc_id", "node_id", "text")
+
+
 @query(f"with {V.PAGES} select doc_id, cast(max(page_no) as int) as end_index, left(trim(string_agg(text, chr(10) order by page_no)), 400) as summary from paged group by doc_id")
 def whole_file_node(spark, sf_dir):
     p = V.paged(spark, sf_dir)
@@ -324,6 +344,13 @@ def heading_lines(spark, sf_dir):
     return rows.where(toc.looks_like_heading(F.col("title")))
 
 
+@query(rf"with {V.LINES}, clean as (select doc_id, line_no, trim(regexp_replace(trim(regexp_replace(line, '\s+', ' ', 'g')), '^[-*• \t]+', '')) as l from lines) select doc_id, line_no, l as title from clean where {_HEADING}")
+def heading_lines_whole(spark, sf_dir):
+    """Whole lines, as they stand."""
+    rows = V.doc_lines(spark, sf_dir).select("doc_id", "line_no", toc.heading_line(F.col("line")).alias("title"))
+    return rows.where(toc.looks_like_heading(F.col("title")))
+
+
 @query()
 def heading_children(spark, sf_dir):
     """Children of whole documents whose pages begin with a few words as a heading."""
