@@ -1,16 +1,17 @@
 """License scans by conditional compression.
 
-A template is split so that one part at least stands whole in any text that differs little enough; where a part stands, the
-words about it are aligned with the template, and a place is confirmed if the wording differs little enough. The confirmed
-place is compressed alone and with the template as a zstandard raw dictionary; the share of bytes that it saves ranks places
-that differ alike. The differing words are part of the result.
+A block of words that may be a notice is compressed alone and with each template as a zstandard raw dictionary. The share of
+bytes that a template saves ranks the templates. Those that save any are aligned with the block word by word, and a place is
+confirmed if the wording differs little enough; of templates that meet in a place, the one that saves most has it. The
+differing words are part of the result. Blocks are the words about any whole part of a template: each is split so that one
+part at least stands whole in any text that differs little enough, so no notice lies outside the blocks.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -56,12 +57,12 @@ class Scanner:
         import zstandard as z
 
         flags = {"level": 12, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+        self.words = {name: words(text) for name, text in templates.items()}
         self.alone = z.ZstdCompressor(**flags)
         self.given = {
-            name: z.ZstdCompressor(dict_data=z.ZstdCompressionDict(text.encode(), dict_type=z.DICT_TYPE_RAWCONTENT), **flags)
-            for name, text in templates.items()
+            name: z.ZstdCompressor(dict_data=z.ZstdCompressionDict(b" ".join(own), dict_type=z.DICT_TYPE_RAWCONTENT), **flags)
+            for name, own in self.words.items()
         }
-        self.words = {name: words(text) for name, text in templates.items()}
         self.most = {name: int(MOST_DIFFERENT * len(own) + 1e-9) for name, own in self.words.items()}
         # One part more than words may differ, under its first word: (part, template, where in it).
         self.parts: dict[bytes, list[tuple[list[bytes], str, int]]] = {}
@@ -71,10 +72,12 @@ class Scanner:
                 if a < b:
                     self.parts.setdefault(own[a], []).append((own[a:b], name, a))
 
-    def reduction(self, block: str, name: str) -> float:
-        """The share of the block's bytes that the template saves."""
-        data = block.encode("utf-8", "surrogatepass")
-        return 1 - len(self.given[name].compress(data)) / len(self.alone.compress(data))
+    def ranked(self, block: list[bytes], names: Iterable[str] | None = None) -> list[tuple[float, str]]:
+        """(share of the block's bytes saved, template) for each template, the largest first. Blocks are words, so case,
+        punctuation and line breaks save nothing."""
+        data = b" ".join(block)
+        alone = len(self.alone.compress(data))
+        return sorted(((1 - len(self.given[name].compress(data)) / alone, name) for name in names or self.given), key=lambda x: (-x[0], x[1]))
 
     def differences(self, theirs: list[bytes], name: str) -> tuple[list[str], list[str], int, int]:
         """The template's words that the words lack, the words inside the aligned part that it lacks, and that part."""
@@ -89,43 +92,54 @@ class Scanner:
         added = [theirs[k].decode("utf-8", "replace") for k in range(lo, hi) if k not in kept_theirs]
         return missing, added, lo, hi
 
-    def candidates(self, ws: list[bytes]) -> list[tuple[str, int]]:
-        """(template, word where it would begin) for each part of a template that stands in the words; each once."""
-        parts = self.parts
-        return sorted({(name, i - at) for i, w in enumerate(ws) if w in parts for part, name, at in parts[w] if ws[i : i + len(part)] == part})
+    def blocks(self, ws: list[bytes]) -> list[tuple[int, int]]:
+        """(first word, end) of each block of the words: where a template would stand whose whole part is found, with the
+        words that may have been added about it, and without; each once."""
+        parts, found = self.parts, set()
+        for i, w in enumerate(ws):
+            for part, name, at in parts.get(w, ()):
+                if ws[i : i + len(part)] == part:
+                    size, most, begin = len(self.words[name]), self.most[name], i - at
+                    found |= {(max(0, a), min(len(ws), b)) for a, b in ((begin - most, begin + size + most), (begin, begin + size))}
+        return sorted(found)
 
     def scan(self, text: str | None) -> tuple[int, list[dict]]:
         """The number of candidate blocks of a text and the confirmed notices, by place."""
         ws = words(text)
-        blocks = self.candidates(ws)
-        found = []
+        blocks = self.blocks(ws)
         places = [m.span() for m in _WORD.finditer(text)] if blocks else []
-        for name, at in blocks:
-            size, most = len(self.words[name]), self.most[name]
-            # With the words that may have been added about it, and without.
-            windows = {(max(0, at - most), at + size + most), (max(0, at), at + size)}
-            tried = [(*self.differences(ws[a:b], name), a) for a, b in sorted(windows)]
-            missing, added, lo, hi, a = min(tried, key=lambda x: len(x[0]) + len(x[1]))
-            if len(missing) + len(added) <= most:
-                start, end = places[a + lo][0], places[a + hi - 1][1]
-                end = _CLOSING.match(text, end).end()
-                found.append({"license": name, "start": start, "end": end, "reduction": self.reduction(text[start:end], name), "exact": not missing and not added, "missing": missing, "added": added})
-        # A place counts once for a template, as the closest match. One that differs gives way to a closer or equally close
-        # one, first the longest, then the one that saves most, of another template over half of it: GPL is all but LGPL.
-        found.sort(key=lambda f: (len(f["missing"]) + len(f["added"]), -len(self.words[f["license"]]), -f["reduction"], f["start"]))
+        found: dict[tuple[str, int, int], tuple[list[str], list[str]]] = {}
+        for a, b in blocks:
+            for reduction, name in self.ranked(ws[a:b]):
+                if reduction <= 0:
+                    break
+                missing, added, lo, hi = self.differences(ws[a:b], name)
+                if len(missing) + len(added) <= self.most[name]:
+                    found[name, a + lo, a + hi] = missing, added
+        hits = [(self.ranked(ws[lo:hi], [name])[0][0], name, lo, hi, *words_off) for (name, lo, hi), words_off in found.items()]
+        # A place counts once for a template, as the closest match, of these the widest.
+        hits.sort(key=lambda f: (len(f[4]) + len(f[5]), f[2] - f[3], -f[0], f[2]))
+        once: list[tuple] = []
+        for f in hits:
+            if not any(g[1] == f[1] and g[2] < f[3] and f[2] < g[3] for g in once):
+                once.append(f)
+        # One that differs gives way to one of another template that saves as much or more and takes up half of it: GPL is
+        # all but LGPL.
+        once.sort(key=lambda f: (-f[0], len(f[4]) + len(f[5]), -len(self.words[f[1]]), f[2]))
         kept: list[dict] = []
-        for f in found:
-            shared = [(g, min(f["end"], g["end"]) - max(f["start"], g["start"])) for g in kept]
-            if not any(n > 0 and (g["license"] == f["license"] or (not f["exact"] and 2 * n >= f["end"] - f["start"])) for g, n in shared):
-                kept.append(f)
+        for reduction, name, lo, hi, missing, added in once:
+            start, end = places[lo][0], _CLOSING.match(text, places[hi - 1][1]).end()
+            exact = not missing and not added
+            if exact or not any(2 * (min(g["end"], end) - max(g["start"], start)) >= end - start for g in kept):
+                kept.append({"license": name, "start": start, "end": end, "reduction": reduction, "exact": exact, "missing": missing, "added": added})
         return len(blocks), sorted(kept, key=lambda f: (f["start"], f["end"], f["license"]))
 
 
 def scanned(documents: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """``documents`` with n_blocks, licenses (sorted names, each once) and notices, in place of columns of those names.
 
-    A notice has license, start, end (code points of its place), reduction, exact, missing and added; n_blocks counts places
-    whose wording is compared. Null and empty texts have none, repeated rows are scanned each for itself, texts of any length
+    A notice has license, start, end (code points of its place), reduction (the share of bytes that the template saves of the
+    place's words), exact, missing and added; n_blocks counts the blocks that are compressed. Null and empty texts have none, repeated rows are scanned each for itself, texts of any length
     whole, an empty table gives no rows, and other columns stay, whatever they are called. Nothing is shuffled; a task holds
     one batch of texts.
     """
