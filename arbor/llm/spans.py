@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,7 @@ LEAST_WORDS = 12
 #: The fewest words of a sentence, so that any three are a span. None has over 2 * SHORTEST - 1, so that any 27 words of a
 #: text hold three whole ones.
 SHORTEST = 4
-#: Words cut at a time, about.
+#: Words cut at a time, and spans sent on at a time, about.
 AT_ONCE = 200_000
 
 #: Letters of scripts that put no spaces between words: each is a word. Their stops and blanks are in no word.
@@ -76,18 +76,22 @@ def _starts(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.flatnonzero(taken)
 
 
-def _cut_words(texts: list[list[bytes]], cache: WordHashes) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """For each text, given as words: the words that start its sentences, the sentences' hashes, its number of words."""
-    at = 0
-    while at < len(texts):
+def _cut_words(texts: Iterable[str | None], cache: WordHashes) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """For each text: the words that start its sentences, the sentences' hashes, its number of words. Of the texts, one is held
+    as words at a time, and as hashes of words no more than about ``AT_ONCE`` and one text."""
+    left = iter(texts)
+    while True:
         some, size = [], 0
-        while at < len(texts) and (not some or size < AT_ONCE):
-            some.append(texts[at])
-            size += len(texts[at])
-            at += 1
-        lengths = np.array([len(ws) for ws in some], np.int64)
+        for text in left:
+            some.append(cache.of(words(text)))
+            size += len(some[-1])
+            if size >= AT_ONCE:
+                break
+        if not some:
+            return
+        lengths = np.array([len(hs) for hs in some], np.int64)
         if size:
-            hashes = np.concatenate([cache.of(ws) for ws in some])
+            hashes = np.concatenate(some)
             starts = _starts(hashes, lengths[lengths > 0])
             place = np.arange(size) - np.repeat(starts, np.diff(np.append(starts, size)))
             own = mixed(np.add.reduceat(mixed(hashes * _PLACE[place]), starts))
@@ -115,7 +119,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
     """
     if not text:
         return []
-    ((starts, _, _),) = _cut_words([words(text)], WordHashes())
+    ((starts, _, _),) = _cut_words([text], WordHashes())
     return _places(text, starts)
 
 
@@ -140,14 +144,19 @@ def span_hashes(documents: DataFrame, n: int = SENTENCES, least: int = LEAST_WOR
     within it) and its different spans, as hashes of 64 bits (h) with 32 more (g) beside them."""
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHashes()
+        cache, columns = WordHashes(), ["none", "k", "t", "n_sentences", "own", "h", "g"]
         for batch in batches:
-            rows = []
-            for none, k, t, text, (starts, own, size) in zip(batch["none"], batch["k"], batch["t"], batch["text"], _cut_words([words(x) for x in batch["text"]], cache)):
+            rows, held = [], 0
+            for none, k, t, text, (starts, own, size) in zip(batch["none"], batch["k"], batch["t"], batch["text"], _cut_words(batch["text"], cache)):
                 all_spans = _spans(own, starts, size, n, least)[0]
                 once = np.unique(all_spans)
                 rows.append((none, k, t, max(len(starts), int(bool(text))), len(once) < len(all_spans), signed(once), _more(own, once, n)))
-            yield pd.DataFrame(rows, columns=["none", "k", "t", "n_sentences", "own", "h", "g"])
+                held += len(once)
+                if held >= AT_ONCE:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     rows = documents.select(*_told_apart(documents), "text")
     return rows.mapInPandas(spans, "none boolean, k long, t long, n_sentences int, own boolean, h array<long>, g array<int>")
@@ -180,7 +189,7 @@ def _removal(n: int, least: int):
     @F.pandas_udf("text string, n_removed int, removed array<array<int>>")
     def remove(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
         rows = []
-        for text, of, (starts, own, size) in zip(texts, spans, _cut_words([words(t) for t in texts], WordHashes())):
+        for text, of, (starts, own, size) in zip(texts, spans, _cut_words(texts, WordHashes())):
             if text is None:
                 rows.append((None, 0, []))
                 continue

@@ -92,6 +92,19 @@ def test_spans_against_brute_force(docs, rows):
     assert any(r.n_removed for r in spans.deduplicated(docs).collect())
 
 
+def test_texts_are_cut_a_few_at_a_time(rows, monkeypatch):
+    texts, read = [r[1] for r in rows], []
+    whole = list(spans._cut_words(texts, WordHashes()))
+    monkeypatch.setattr(spans, "AT_ONCE", 200)
+    few = []
+    for found in spans._cut_words((read.append(t) or t for t in texts), WordHashes()):
+        few.append(found)
+        # Of the texts not yet cut, none but the last is read once the others have the words for a turn.
+        assert sum(len(plain_words(t)) for t in read[len(few) : -1]) < 200
+    assert len(few) == len(texts) and all(np.array_equal(x, y) for a, b in zip(few, whole) for x, y in zip(a, b))
+    assert [n for _, _, n in few] == [len(spans.words(t)) for t in texts]
+
+
 def test_spans_keep_columns_and_nothing(docs, no_docs):
     out = spans.deduplicated(docs)
     assert out.columns[: len(docs.columns)] == docs.columns
