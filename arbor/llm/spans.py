@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbor.llm.common import WordHashes, cut, mixed, rolling, seeds, signed, unused
+from arbor.llm.common import WordHashes, cut, drop, mixed, rolling, seeds, signed, unused
 from arbor.llm.common import words as spaced_words
 
 #: Sentences of a span, and the fewest words a span needs: shorter ones recur by chance.
@@ -174,15 +174,18 @@ def _more(own: np.ndarray, spans: np.ndarray, n: int) -> np.ndarray:
 
 def repeated_spans(hashes: DataFrame) -> DataFrame:
     """none, k and the hashes of the spans of each document whose first holder is another: the one with the lowest doc_id, or
-    without any id the lowest hash."""
+    without any id the lowest hash. Which spans are of several rows is counted, which needs no highest id beside
+    the lowest; rows that only share a span with rows of their own id drop out when ids are compared."""
     spans = hashes.select("none", "k", F.explode(F.arrays_zip("h", "g")).alias("s")).select("none", "k", "s.h", "s.g")
     given, rest = F.when(~F.col("none"), F.col("k")), F.when(F.col("none"), F.col("k"))
-    held = spans.groupBy("h", "g").agg(F.min(given).alias("first"), F.max(given).alias("last"), F.min(rest).alias("first_rest"), F.max(rest).alias("last_rest"))
-    several = (F.col("first") < F.col("last")) | F.col("first_rest").isNotNull() & F.col("first").isNotNull() | (F.col("first_rest") < F.col("last_rest"))
+    held = spans.groupBy("h", "g").agg(F.min(given).alias("first"), F.min(rest).alias("first_rest"), F.count("*").alias("n"))
     # Cut, so that the rows of a hot span meet a plain table and can be split.
-    again = spans.join(cut(held.where(several).select("h", "g", "first", "first_rest")), ["h", "g"])
+    several = cut(held.where("n > 1").drop("n"))
+    again = spans.join(several, ["h", "g"])
     again = again.where(F.when(F.col("none"), F.col("first").isNotNull() | (F.col("k") > F.col("first_rest"))).otherwise(F.col("k") > F.col("first")))
-    return again.groupBy("none", "k").agg(F.collect_set("h").alias("spans"))
+    found = cut(again.groupBy("none", "k").agg(F.collect_set("h").alias("spans")))
+    drop(several)
+    return found
 
 
 def _removal(n: int, least: int):
@@ -221,10 +224,13 @@ def deduplicated(documents: DataFrame, n: int = SENTENCES, least: int = LEAST_WO
     stay as they are, and an empty table gives no rows. Needs columns doc_id and text.
 
     Spans are hashed once and written; they are counted with map-side combining, and a span that many documents share is one
-    row there and joins back by its hash, where a hot one is split. Only texts that lose something are cut again.
+    row there and joins back by its hash, where a hot one is split. What each row loses is written too, and the hashes are
+    deleted before any text is sent. Only texts that lose something are cut again.
     """
     hashes = cut(span_hashes(documents, n, least))
-    told = hashes.select("none", "k", "t", "n_sentences", "own").distinct().join(repeated_spans(hashes), ["none", "k"], "left")
+    found = repeated_spans(hashes)
+    told = cut(hashes.select("none", "k", "t", "n_sentences", "own").distinct().join(found, ["none", "k"], "left"))
+    drop(hashes, found)
     none, k, t, count, own, gone, made, hit = (unused(documents, x) for x in ("none", "k", "t", "count", "own", "gone", "made", "hit"))
     told = told.toDF(none, k, t, count, own, gone)
     keys = [c.alias(x) for c, x in zip(_told_apart(documents), (none, k, t))]

@@ -1,11 +1,12 @@
 import hashlib
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from arbor.llm import decontaminate, order_minhash, spans
-from arbor.llm.common import WordHashes, mixed, words
+from arbor.llm.common import WordHashes, mixed, shared_folder, words
 from arbor.llm.components import components
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -111,6 +112,24 @@ def test_spans_keep_columns_and_nothing(docs, no_docs):
     assert spans.deduplicated(no_docs).collect() == []
 
 
+def test_hashes_of_spans_are_deleted_before_texts_are_sent(spark, docs):
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    out = spans.deduplicated(docs)
+    (left,) = set(folder.iterdir()) - before
+    assert not {"h", "g", "first"} & set(spark.read.parquet(str(left)).columns)
+    assert len(out.collect()) == docs.count()
+
+
+def test_rows_of_one_id_are_one_holder(spark):
+    some = lambda k, n: " ".join(f"{k}{x * x}" for x in range(n))
+    passage = some("p", 54)
+    rows = [(1, f"{some('a', 9)} {passage}"), (1, f"{passage} {some('b', 20)}"), (2, some("c", 40)), (2, f"{some('c', 40)} {some('d', 9)}"), (3, f"{passage} {some('e', 20)}")]
+    got = [(r.doc_id, r.text, r.n_removed) for r in spans.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert {(i, t) for i, t, n in got if not n} == set(rows[:4])
+    assert [(i, len(words(t)) < 40) for i, t, n in got if n] == [(3, True)]
+
+
 def test_similarity_counts_whole_shingles():
     a = list(range(100))
     assert order_minhash.similarity_of(a, a) == 1
