@@ -2,32 +2,47 @@
 
 from __future__ import annotations
 
-import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: White space that a JVM pattern's \s leaves out.
 SPACE = r"[\s\x1C-\x1F\u0085   ]+"
 TOKEN = r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*"
 
 
-@F.pandas_udf(StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+#: White space that isn't a single blank.
+UNEVEN = f"[{SPACE[1:-2]}&&[^ ]]|  "
+DASHES, QUOTES = "—–−", "’‘"
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility composition. Spark has no function for it; text in ASCII is not touched by it."""
-    return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_nfkc(text))
+    """Compatibility composition. Spark has no function for it, but the library that its collations come with has."""
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    return F.when(text.isNull() | (F.char_length(text) == F.octet_length(text)), text).otherwise(composed)
+
+
+def spaced(text: Column) -> Column:
+    """White space runs as one blank. Most texts have single blanks and line ends only, which need no pattern."""
+    return let(F.replace(text, F.lit("\n"), F.lit(" ")), lambda t: F.when(t.rlike(UNEVEN), F.regexp_replace(t, SPACE, " ")).otherwise(t))
 
 
 def folded(text: Column) -> Column:
     """Lower case, dashes and quotes unified, white space runs as one space, trimmed; null is empty."""
-    text = F.translate(F.lower(F.coalesce(text, F.lit(""))), "—–−’‘", "---''")
-    return F.trim(F.regexp_replace(text, SPACE, " "))
+
+    def unified(t: Column) -> Column:
+        held = F.lit(False)
+        for c in DASHES + QUOTES:
+            held = held | F.contains(t, F.lit(c))
+        return F.when(held, F.translate(t, DASHES + QUOTES, "-" * len(DASHES) + "'" * len(QUOTES))).otherwise(t)
+
+    return F.trim(spaced(let(F.lower(F.coalesce(text, F.lit(""))), unified)))
 
 
 def normalized(text: Column, composed: bool = False) -> Column:
@@ -37,8 +52,14 @@ def normalized(text: Column, composed: bool = False) -> Column:
 
 def tokens(norm: Column) -> Column:
     """Runs of letters and digits; those joined by hyphens are one token, followed by its parts."""
-    found = F.regexp_extract_all(norm, F.lit(TOKEN), F.lit(0))
-    return F.flatten(F.transform(found, lambda t: F.when(F.contains(t, F.lit("-")), F.concat(F.array(t), F.split(t, "-"))).otherwise(F.array(t))))
+
+    def found(t: Column) -> Column:
+        return F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))
+
+    def with_parts(t: Column) -> Column:
+        return F.flatten(F.transform(found(t), lambda x: F.when(F.contains(x, F.lit("-")), F.concat(F.array(x), F.split(x, "-"))).otherwise(F.array(x))))
+
+    return let(norm, lambda t: F.when(F.contains(t, F.lit("-")), with_parts(t)).otherwise(found(t)))
 
 
 def terms(norm: Column) -> Column:
@@ -65,7 +86,7 @@ def term_counts(toks: Column) -> Column:
 
 def compact(text: Column) -> Column:
     """White space runs as one space, trimmed; null is empty."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "))
+    return F.trim(spaced(F.coalesce(text, F.lit(""))))
 
 
 def word_count(text: Column) -> Column:
