@@ -1,13 +1,18 @@
 """What queries must not do if they are to run over large tables: told by their plans and by odd rows."""
 
+import os
 import random
 import unicodedata
 
 from pyspark.sql import functions as F
 
 from arbor.functions import text as T
+from arbor.plans import registry
+from arbor.plans import views as V
 from tests.test_text_tree import plain_norm, plain_tokens
 
+DATA = "/root/testdata/sf0.001"
+
 
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -23,3 +28,22 @@ def test_composition_needs_no_python(spark):
     for x in rows.collect():
         t = texts[x.k]
         assert x.c == (None if t is None else unicodedata.normalize("NFKC", t)) and x.n == plain_norm(t) and x.toks == plain_tokens(x.n)
+
+
+def test_a_query_that_asks_once_saves_no_index_and_deals_texts_once(spark):
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(folder))
+    for name in ("title_lookup", "postings", "doc_frequency", "postings_union", "bm25_total", "score_full"):
+        df = registry.queries()[name](spark, DATA)
+        assert plan_of(df).count("Exchange hashpartitioning") <= 1, name
+    assert set(os.listdir(folder)) == before
+
+
+def test_documents_that_share_an_id_or_have_none_are_put_together(spark, tmp_path):
+    rows = [(1, "one line\n\n two  words", "en", "a"), (1, "other line", "en", "a"), (None, "no id", "en", "b"), (2, None, "en", "b")]
+    for name, some, lone in (("shared", rows, False), ("own", rows[:1] + rows[3:], True)):
+        spark.createDataFrame(some, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        assert V.one_row_each(spark, f"{tmp_path}/{name}") == lone
+        got, want = V.doc_nodes(spark, f"{tmp_path}/{name}"), V._nodes_of_lines(spark, f"{tmp_path}/{name}")
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert [(r.page_no, r.text, r.token_count) for r in V.paged(spark, f"{tmp_path}/own").collect()] == [(1, "one line\n two  words", 4)]
