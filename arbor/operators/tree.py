@@ -20,7 +20,7 @@ NODE_ROWS = (
 )
 
 
-def in_document(*order: str) -> Window:
+def in_document(*order: str | Column) -> Window:
     return Window.partitionBy("doc_id").orderBy(*order)
 
 
@@ -104,21 +104,26 @@ def with_parents(headings: DataFrame, levels: int = LEVELS) -> DataFrame:
 
 def subtree_ends(headings: DataFrame, levels: int = LEVELS) -> DataFrame:
     """``headings`` with end_pos, the last position of the subtree: before the next heading of the same or a lower level."""
-    after = in_document("pos").rowsBetween(1, Window.unboundedFollowing)
-    following = [F.min(F.when(F.col("level") == k, F.col("pos"))).over(after) for k in range(levels + 1)]
-    whole = F.max("pos").over(Window.partitionBy("doc_id"))
-    out = headings.withColumn("_next", F.array(*following))
-    nearest = F.array_min(F.slice("_next", F.lit(1), F.col("level") + 1))
-    return out.withColumn("end_pos", F.coalesce(nearest - 1, whole)).drop("_next")
+    return _ended(headings.withColumn("_from", F.lit(0)), levels).drop("_from", "_next")
+
+
+def _ended(rows: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """``rows`` with end_pos and _next, the next heading of the same or a lower level as (pos, _from). A document is gone
+    through from its end, so each frame only grows; from its beginning each row would look at all that follow."""
+    backwards = in_document(F.desc("pos"))
+    after = backwards.rowsBetween(Window.unboundedPreceding, -1)
+    following = [F.last(F.when(F.col("level") == k, F.struct("pos", "_from")), ignorenulls=True).over(after) for k in range(levels + 1)]
+    whole = F.max("pos").over(backwards.rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.withColumn("_next", F.array_min(F.slice(F.array(*following), F.lit(1), F.col("level") + 1)))
+    return out.withColumn("end_pos", F.coalesce(F.col("_next.pos") - 1, whole))
 
 
 def subtree_tokens(headings: DataFrame, tokens: Callable[[Column], Column] = T.word_count) -> DataFrame:
-    """``headings`` with own_tokens and subtree_tokens: the sum over the contiguous run of positions of the subtree."""
-    out = subtree_ends(headings).withColumn("own_tokens", tokens(F.col("text")))
-    total = F.sum("own_tokens").over(in_document("pos").rowsBetween(Window.unboundedPreceding, 0))
-    out = out.withColumn("_upto", total)
-    ends = out.select("doc_id", F.col("pos").alias("end_pos"), F.col("_upto").alias("_end"))
-    return out.join(ends, ["doc_id", "end_pos"]).withColumn("subtree_tokens", F.col("_end") - F.col("_upto") + F.col("own_tokens")).drop("_upto", "_end")
+    """``headings`` with own_tokens and subtree_tokens: what there is from the heading to the document's end less what there
+    is from the end of its subtree on."""
+    total = F.sum("own_tokens").over(in_document(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0))
+    out = _ended(headings.withColumn("own_tokens", tokens(F.col("text"))).withColumn("_from", total))
+    return out.withColumn("subtree_tokens", F.col("_from") - F.coalesce("_next._from", F.lit(0))).drop("_from", "_next")
 
 
 def thinned(headings: DataFrame, least: int, tokens: Callable[[Column], Column] = T.word_count) -> DataFrame:
@@ -133,10 +138,11 @@ def thinned(headings: DataFrame, least: int, tokens: Callable[[Column], Column]
     rows = rows.withColumn("_reach", F.max(F.when(F.col("_folds"), F.col("end_pos"))).over(before))
     rows = rows.withColumn("_stays", F.coalesce(F.col("_reach") < F.col("pos"), F.lit(True)))
     rows = rows.withColumn("_top", F.last(F.when(F.col("_stays"), F.col("pos")), ignorenulls=True).over(so_far))
-    written = F.collect_list(F.when(F.trim(F.regexp_replace("text", T.SPACE, " ")) != "", F.struct("pos", "text")))
-    joined = rows.groupBy("doc_id", F.col("_top").alias("pos")).agg(F.array_join(F.transform(F.array_sort(written), lambda x: x["text"]), "\n\n").alias("_joined"))
-    kept = rows.where("_stays").join(joined, ["doc_id", "pos"])
-    return kept.withColumn("text", F.when(F.col("_folds"), F.col("_joined")).otherwise(F.col("text"))).select(*headings.columns)
+    head = F.first(F.when(F.col("_stays"), F.struct("_folds", F.struct(*headings.columns).alias("row"))), ignorenulls=True)
+    written = F.collect_list(F.when((F.col("_folds") | ~F.col("_stays")) & (T.compact(F.col("text")) != ""), F.struct("pos", "text")))
+    kept = rows.groupBy("doc_id", "_top").agg(head.alias("head"), F.array_join(F.transform(F.array_sort(written), lambda x: x["text"]), "\n\n").alias("joined"))
+    text = F.when(F.col("head._folds"), F.col("joined")).otherwise(F.col("head.row.text"))
+    return kept.select(*[(text if c == "text" else F.col("head.row")[c]).alias(c) for c in headings.columns])
 
 
 def padded(number: Column) -> Column:

@@ -160,11 +160,13 @@ PAGES = (
 
 
 def heading_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, pos, level, title, text: the lines of an order as headings of level 1 to 6, ordered by all columns."""
-    li = table(spark, sf_dir, "lineitem")
-    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*li.columns))
+    """doc_id, pos, level, title, text: the lines of an order as headings of level 1 to 6, ordered by all columns. Those after
+    l_quantity can only order rows that give the same heading, so they are not read. All is dealt by doc_id, as are the
+    trees that are made of it."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("doc_id"), "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity"))
     return li.select(
-        F.col("l_orderkey").cast("string").alias("doc_id"), pos.alias("pos"), (1 + F.col("l_partkey") % 6).cast("int").alias("level"), F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("title"),
+        "doc_id", pos.alias("pos"), (1 + F.col("l_partkey") % 6).cast("int").alias("level"), F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("title"),
         F.repeat(F.lit("word "), F.col("l_quantity").cast("int")).alias("text"),
     )
 
@@ -178,7 +180,7 @@ headings as (
 
 def toc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, line_no, line: a table of contents for each brand, an entry for each part in its several usual forms."""
-    p = table(spark, sf_dir, "part")
+    p = table(spark, sf_dir, "part").repartition(4 * spark.sparkContext.defaultParallelism)  # a small file is one task, but takes long to parse
     number = F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 5 + 1).cast("string"))
     page = (F.col("p_partkey") % 400 + 1).cast("string")
     name = F.initcap("p_name")

@@ -7,6 +7,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from arbor.functions import text as T
+from arbor.operators import toc
 from arbor.plans import registry
 from arbor.plans import views as V
 from tests.test_text_tree import plain_norm, plain_tokens
@@ -47,3 +48,33 @@ def test_documents_that_share_an_id_or_have_none_are_put_together(spark, tmp_pat
         got, want = V.doc_nodes(spark, f"{tmp_path}/{name}"), V._nodes_of_lines(spark, f"{tmp_path}/{name}")
         assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
     assert [(r.page_no, r.text, r.token_count) for r in V.paged(spark, f"{tmp_path}/own").collect()] == [(1, "one line\n two  words", 4)]
+
+
+def test_trees_of_headings_are_dealt_once_and_joined_to_nothing(spark):
+    for name in ("subtree_tokens", "thinning"):
+        plan = plan_of(registry.queries()[name](spark, DATA))
+        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan, name
+
+
+def test_parents_by_code_need_no_join(spark):
+    rows = [("a", 1, "1"), ("a", 2, "1.1"), ("a", 3, "1"), ("a", 4, "1.2"), ("a", 5, None), (None, 6, "1"), (None, 7, "1.1"), ("b", 8, "1.1.1")]
+    got = toc.parents_by_code(spark.createDataFrame(rows, "doc_id string, pos int, structure string"))
+    assert "Join" not in plan_of(got)
+    assert {r.pos: r.parent_pos for r in got.collect()} == {1: None, 2: 1, 3: None, 4: 3, 5: None, 6: None, 7: None, 8: None}
+
+
+def test_groups_of_pages_equal_the_plain_ones(spark):
+    r = random.Random(3)
+    rows = [(f"d{d}", k, f"{d}.{k};", r.choice([0, 1, 40, 90, 300])) for d in range(40) for k in range(1, r.randint(2, 30))]
+    pages = spark.createDataFrame(rows, "doc_id string, page_no int, text string, token_count int")
+    got = toc.grouped_pages(pages, 100)
+    assert "Pandas" not in plan_of(got)
+    found = {(x.doc_id, x.part): x.text for x in got.collect()}
+    want = {(d, k): t for d, own in pages.toPandas().groupby("doc_id") for k, t in enumerate(toc.page_groups(own.sort_values("page_no"), 100))}
+    assert found == want
+
+
+def test_lines_of_contents_are_parsed_once(spark):
+    for name in ("toc_parse", "toc_detect"):
+        plan = registry.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("\\d{1,4}" in line for line in plan.splitlines()) == 1, name
