@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbor.functions.text import SPACE
+from arbor.functions.text import SPACE, compact, let
 from arbor.operators.lineage import cut
 from arbor.operators.tree import in_document
 from arbor.settings import HEADING_PATTERNS
@@ -27,7 +27,7 @@ _PREFIX = r"^[A-Z]?\d+(?:\.\d+)*\s+"
 
 def toc_line(line: Column) -> Column:
     """A line with single blanks and without the marks of a list at its ends."""
-    return F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(line, F.lit("")), SPACE, " ")), r"^[-*• ]+|[-*• ]+$", "")
+    return F.btrim(compact(line), F.lit("-*• "))
 
 
 def _all(lines: Column) -> Column:
@@ -36,7 +36,10 @@ def _all(lines: Column) -> Column:
 
 def is_toc_page(text: Column) -> Column:
     """True where a page shows a heading of contents and enough lines that end in a page number, else null (undecided)."""
-    lines = _all(F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r"))
+    return let(_all(F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r")), _shows_contents)
+
+
+def _shows_contents(lines: Column) -> Column:
     head = F.exists(F.slice(lines, 1, 5), lambda x: F.lower(x).isin(*IGNORED_LINES) | F.lower(x).startswith("table of contents"))
     named = F.exists(F.slice(lines, 1, 12), lambda x: F.contains(F.lower(x), F.lit("table of contents")))
     entry = F.size(F.filter(lines, lambda x: x.rlike(r"(?:\.{2,}|\s)\s*\d{1,4}$") & (x.rlike(r"^\d+(?:\.\d+)?\s*[A-Za-z]") | (F.char_length(x) >= 15))))
@@ -56,25 +59,37 @@ def toc_run(pages: DataFrame, most: int = 20) -> DataFrame:
 
 def parsed_line(raw: Column) -> Column:
     """(structure, title, page) of a line of a table of contents, or null where it is none."""
-    line = toc_line(raw)
+    return let(toc_line(raw), _parsed)
+
+
+def _parsed(line: Column) -> Column:
     low = F.lower(line)
     bad = low.isin(*IGNORED_LINES) | F.contains(low, F.lit("| page ")) | low.rlike(r"\bpage\s+\d+\s*/\s*\d+\b")
     bad = bad | (F.char_length(line) < LINE_LENGTH[0]) | (F.char_length(line) > LINE_LENGTH[1]) | ~line.rlike("[A-Za-z]")
     paged = r"^(.+?)(?:\s*:\s*|\s+)(\d{1,4})$"
     page = F.regexp_extract(line, paged, 2)
-    body = F.regexp_replace(F.regexp_extract(line, paged, 1), r"^[ :-]+|[ :-]+$", "")
     marked = r"^(\d+(?:\.\d+)*|[A-Z])[.)]\s+(.+)$"
     plain = r"^(\d+(?:\.\d+)*)\s+(.+)$"
-    structure = F.when(body.rlike(marked), F.regexp_extract(body, marked, 1)).when(body.rlike(plain), F.regexp_extract(body, plain, 1))
-    title = F.trim(F.when(body.rlike(marked), F.regexp_extract(body, marked, 2)).when(body.rlike(plain), F.regexp_extract(body, plain, 2)).otherwise(body))
-    good = ~bad & (page != "") & (body != "") & (title != "") & ~F.lower(title).isin(*IGNORED_LINES)
-    return F.when(good, F.struct(structure.alias("structure"), title.alias("title"), page.try_cast("int").alias("page")))
+
+    def entry(body: Column) -> Column:
+        structure = F.when(body.rlike(marked), F.regexp_extract(body, marked, 1)).when(body.rlike(plain), F.regexp_extract(body, plain, 1))
+        title = F.trim(F.when(body.rlike(marked), F.regexp_extract(body, marked, 2)).when(body.rlike(plain), F.regexp_extract(body, plain, 2)).otherwise(body))
+        made = F.struct(structure.alias("structure"), title.alias("title"), page.try_cast("int").alias("page"))
+        return let(made, lambda e: F.when((page != "") & (body != "") & (e["title"] != "") & ~F.lower(e["title"]).isin(*IGNORED_LINES), e))
+
+    return F.when(~bad, let(F.regexp_replace(F.regexp_extract(line, paged, 1), r"^[ :-]+|[ :-]+$", ""), entry))
+
+
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """doc_id, line_no, structure, title, page of those lines (doc_id, line_no, line) that are entries. Each is parsed once: a
+    condition on the parsed one would be moved before it and parse again."""
+    return lines.select("doc_id", "line_no", F.inline(F.filter(F.array(parsed_line(F.col("line"))), lambda e: e.isNotNull())))
 
 
 def toc_entries(lines: DataFrame, fewest: int = FEWEST_ENTRIES) -> DataFrame:
     """doc_id, pos, structure, title, page of the lines (doc_id, line_no, line) of tables of contents: each entry once, at
     its first place; documents with fewer than ``fewest`` have none."""
-    rows = lines.select("doc_id", "line_no", parsed_line(F.col("line")).alias("e")).where("e is not null").select("doc_id", "line_no", "e.*")
+    rows = parsed_lines(lines)
     key = Window.partitionBy("doc_id", "structure", F.lower("title"), "page").orderBy("line_no")
     rows = rows.withColumn("_n", F.row_number().over(key)).where("_n = 1")
     rows = rows.withColumn("_all", F.count("*").over(Window.partitionBy("doc_id"))).where(F.col("_all") >= fewest)
@@ -166,13 +181,27 @@ def page_groups(pages: pd.DataFrame, most: int = 20_000) -> list[str]:
 
 
 def grouped_pages(pages: DataFrame, most: int = 20_000) -> DataFrame:
-    """doc_id, part (from 0) and text: ``page_groups`` of each document."""
+    """doc_id, part (from 0) and text: ``page_groups`` of each document, as a fold over its pages' sizes."""
+    item = F.struct("page_no", F.col("token_count").cast("long").alias("size"), "text")
+    docs = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("pages"), F.sum("token_count").alias("total"))
+    docs = docs.withColumn("room", F.ceil((F.col("total") / F.ceil(F.col("total") / most) + most) / 2))
+    start = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("cuts"), F.lit(0).alias("first"), F.lit(0).alias("k"), F.lit(0).cast("long").alias("held"), F.lit(0).cast("long").alias("prior"))
+
+    def walk(st: Column, p: Column) -> Column:
+        over = st["held"] + p["size"] > F.col("room")
+        cut = F.array(F.struct(st["first"].alias("a"), st["k"].alias("b")))
+        return F.struct(
+            F.when(over, F.concat(st["cuts"], cut)).otherwise(st["cuts"]).alias("cuts"), F.when(over, F.greatest(st["k"] - 1, F.lit(0))).otherwise(st["first"]).alias("first"),
+            (st["k"] + 1).alias("k"), (F.when(over, st["prior"]).otherwise(st["held"]) + p["size"]).alias("held"), p["size"].alias("prior"),
+        )
 
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = page_groups(rows.sort_values("page_no"), most)
-        return pd.DataFrame({"doc_id": [rows["doc_id"].iloc[0]] * len(parts), "part": range(len(parts)), "text": parts})
+    def bounds(st: Column) -> Column:
+        return F.concat(st["cuts"], F.array(F.struct(st["first"].alias("a"), F.size("pages").alias("b"))))
 
-    return pages.select("doc_id", "page_no", "text", "token_count").groupBy("doc_id").applyInPandas(group, "doc_id string, part int, text string")
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.size("pages").alias("b")))
+    parts = F.when(F.col("total") <= most, whole).otherwise(F.aggregate("pages", start, walk, bounds))
+    out = docs.select("doc_id", F.transform("pages", lambda p: p["text"]).alias("texts"), F.posexplode(parts).alias("part", "p"))
+    return out.select("doc_id", "part", F.array_join(F.slice("texts", F.col("p.a") + 1, F.col("p.b") - F.col("p.a")), "").alias("text"))
 
 
 def matching_pages(toc: DataFrame, found: DataFrame) -> DataFrame:
@@ -239,10 +268,14 @@ def parents_by_code(items: DataFrame) -> DataFrame:
     """``items`` with parent_pos: the latest entry before whose code is this one's without its last part; none if there is
     no such entry or the code has one part."""
     up = F.regexp_extract("structure", r"^(.*)\.[^.]+$", 1)
-    child = items.withColumn("_up", F.when(up != "", up))
-    known = items.select("doc_id", F.col("structure").alias("_up"), F.col("pos").alias("_pos"))
-    best = child.join(known, ["doc_id", "_up"]).where("_pos < pos").groupBy("doc_id", "pos").agg(F.max("_pos").alias("parent_pos"))
-    return child.drop("_up").join(best, ["doc_id", "pos"], "left")
+    # Each entry stands twice among those of a code: as one that has it and as one that looks for it. Sorted by position, the
+    # latest before is a running maximum; to join all with all took the square of their number.
+    both = F.array(F.struct(F.lit(True).alias("_asks"), F.when(up != "", up).alias("_code")), F.struct(F.lit(False).alias("_asks"), F.col("structure").alias("_code")))
+    rows = items.select("*", F.inline(both)).where("_asks or _code is not null")
+    rows = rows.withColumn("_alone", F.when(F.col("_code").isNull(), F.col("pos")))
+    before = Window.partitionBy("doc_id", "_code", "_alone").orderBy("pos").rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("parent_pos", F.max(F.when(~F.col("_asks"), F.col("pos"))).over(before)).where("_asks").drop("_asks", "_code", "_alone")
+    return rows.withColumn("parent_pos", F.when(F.col("doc_id").isNotNull(), F.col("parent_pos")))
 
 
 # Headings in page texts
